@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import op04_quality_rules
+from plumbline.llm.op02_fingerprints import op2_fingerprints
+from plumbline.llm.op03_token_counts import op3_token_counts
 from plumbline.llm.op09_byte_bpe import op9_byte_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_fingerprints": op2_fingerprints,
+    "op3_token_counts": op3_token_counts,
     "op4_quality_rules": op04_quality_rules.op4_quality_rules,
     "op9_byte_bpe": op9_byte_bpe,
 }
