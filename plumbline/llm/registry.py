@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import op04_quality_rules, op06_line_dedup, op08_mixing
+from plumbline.llm import op01_warc, op04_quality_rules, op06_line_dedup, op08_mixing
 from plumbline.llm.op02_fingerprints import op2_fingerprints
 from plumbline.llm.op03_token_counts import op3_token_counts
 from plumbline.llm.op05_quality_classifier import op5_quality_classifier
 from plumbline.llm.op09_byte_bpe import op9_byte_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op01_warc.op1_warc,
     "op2_fingerprints": op2_fingerprints,
     "op3_token_counts": op3_token_counts,
     "op4_quality_rules": op04_quality_rules.op4_quality_rules,
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_warc": op01_warc.ORACLE,
     "op4_quality_rules": op04_quality_rules.ORACLE,
     "op6_line_dedup": op06_line_dedup.ORACLE,
     "op8_mixing": op08_mixing.ORACLE,
