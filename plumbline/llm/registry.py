@@ -11,6 +11,7 @@ from plumbline.llm.op02_fingerprints import op2_fingerprints
 from plumbline.llm.op03_token_counts import op3_token_counts
 from plumbline.llm.op05_quality_classifier import op5_quality_classifier
 from plumbline.llm.op09_byte_bpe import op9_byte_bpe
+from plumbline.llm.op10_minhash import op10_minhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op01_warc.op1_warc,
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_line_dedup": op06_line_dedup.op6_line_dedup,
     "op8_mixing": op08_mixing.op8_mixing,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_minhash": op10_minhash,
 }
 
 ORACLES: dict[str, str] = {
