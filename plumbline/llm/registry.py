@@ -10,6 +10,7 @@ from plumbline.llm import op01_warc, op04_quality_rules, op06_line_dedup, op08_m
 from plumbline.llm.op02_fingerprints import op2_fingerprints
 from plumbline.llm.op03_token_counts import op3_token_counts
 from plumbline.llm.op05_quality_classifier import op5_quality_classifier
+from plumbline.llm.op07_substring_dedup import op7_substring_dedup
 from plumbline.llm.op09_byte_bpe import op9_byte_bpe
 from plumbline.llm.op10_minhash import op10_minhash
 
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op04_quality_rules.op4_quality_rules,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_line_dedup": op06_line_dedup.op6_line_dedup,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_mixing": op08_mixing.op8_mixing,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_minhash": op10_minhash,
