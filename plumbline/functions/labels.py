@@ -34,7 +34,7 @@ def extracted_label(df: DataFrame, text: str, labels: list[str], into: str = "la
         return pd.DataFrame([closest(t or "", labels) for t in texts], columns=["label", "cost"])
 
     options = F.array(*map(F.lit, sorted(labels, key=len, reverse=True)))
-    said = F.lower(F.trim(F.coalesce(F.nullif(F.regexp_extract(text, r"\\boxed\{([^}]*)\}", 1), F.lit("")), F.col(text))))
+    said = F.lower(F.regexp_replace(F.coalesce(F.nullif(F.regexp_extract(text, r"\\boxed\{([^}]*)\}", 1), F.lit("")), F.col(text)), r"^\s+|\s+$", ""))
     named = F.get(F.filter(options, lambda o: said.startswith(F.lower(o))), 0)
     easy = df.withColumn("_named", named).withColumn("_near", F.when(named.isNull(), nearest(F.when(named.isNull(), said).otherwise(""))))
     return easy.withColumns({into: F.coalesce("_named", "_near.label"), f"{into}_failed": F.coalesce(F.col("_named").isNull() & (F.col("_near.cost") >= failed_at), F.lit(False))}).drop("_named", "_near")

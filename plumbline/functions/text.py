@@ -109,7 +109,7 @@ def tick(c: Column) -> Column:
 
 
 def compact_number(c: Column) -> Column:
-    out = F.format_string("%.0f", c)
+    out = F.when(c.isNotNull(), F.format_string("%.0f", c))
     for limit, mark in ((1e3, "K"), (1e6, "M"), (1e9, "B"), (1e12, "T")):
         out = F.when(c >= limit, F.concat(F.regexp_replace(F.format_string("%.1f", c / limit), r"\.0$", ""), F.lit(mark))).otherwise(out)
     return out

@@ -26,6 +26,11 @@ def _compare(n: Column, relation: str, value: int) -> Column:
     return n < value if relation in ("less than", "moins de", "menos de", "menys de") else n >= value
 
 
+def _strip(x: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(x, r"^\s+|\s+$", "")
+
+
 def _words(x: Column) -> Column:
     return F.regexp_extract_all(x, F.lit(r"(?U)\w+(?:['’-]\w+)*"), F.lit(0))
 
@@ -34,30 +39,30 @@ constraint("case:capital")(lambda x: (x == F.upper(x)) & (x != F.lower(x)))
 constraint("case:lowercase")(lambda x: (x == F.lower(x)) & (x != F.upper(x)))
 constraint("case:capital_words")(lambda x, relation, n: _compare(F.size(F.filter(_words(x), lambda w: (w == F.upper(w)) & (w != F.lower(w)))), relation, n))
 constraint("format:options")(lambda x, options: F.exists(F.array(*map(F.lit, options)), lambda o: F.contains(x, o)))
-constraint("end:phrase")(lambda x, phrase: F.lower(F.trim(F.regexp_replace(x, r'"\s*$', ""))).endswith(phrase.strip().lower()))
-constraint("end:quotation")(lambda x: F.trim(x).startswith('"') & F.trim(x).endswith('"') & (F.length(F.trim(x)) > 1))
-constraint("repeat:prompt")(lambda x, prompt: F.lower(F.trim(x)).startswith(prompt.strip().lower()))
+constraint("end:phrase")(lambda x, phrase: F.lower(_strip(F.regexp_replace(x, r'"\s*$', ""))).endswith(phrase.strip().lower()))
+constraint("end:quotation")(lambda x: _strip(x).startswith('"') & _strip(x).endswith('"') & (F.length(_strip(x)) > 1))
+constraint("repeat:prompt")(lambda x, prompt: F.lower(_strip(x)).startswith(prompt.strip().lower()))
 constraint("keywords:forbidden")(lambda x, words: ~F.exists(F.array(*map(F.lit, words)), lambda w: F.call_function("rlike", x, F.concat(F.lit(r"(?iU)\b"), w, F.lit(r"\b")))))
 constraint("keywords:existence")(lambda x, words: F.forall(F.array(*map(F.lit, words)), lambda w: F.call_function("rlike", x, F.concat(F.lit("(?iu)"), w))))
 constraint("keywords:frequency")(lambda x, word, relation, n: _compare(F.regexp_count(x, F.lit(f"(?iu){word}")), relation, n))
 constraint("keywords:letter")(lambda x, letter, relation, n: _compare(F.length(x) - F.length(F.replace(F.lower(x), F.lit(letter.lower()), F.lit(""))), relation, n))
-constraint("format:json")(lambda x: F.try_parse_json(F.trim(F.regexp_replace(x, r"(?i)^\s*```(?:json)?|```\s*$", ""))).isNotNull())
+constraint("format:json")(lambda x: F.try_parse_json(_strip(F.regexp_replace(x, r"(?i)^\s*```(?:json)?|```\s*$", ""))).isNotNull())
 constraint("format:sections")(lambda x, mark, n: F.size(F.split(x, rf"\s?{mark}\s?\d+\s?")) - 1 >= n)
-constraint("length:paragraphs")(lambda x, n: F.size(F.filter(F.split(x, r"\s?\*\*\*\s?"), lambda p: F.trim(p) != "")) == n)
-constraint("length:nth_paragraph")(lambda x, n, nth, first: (F.size(F.filter(F.split(x, r"\n\n"), lambda p: F.trim(p) != "")) == n) & (F.lower(F.regexp_extract(F.get(F.filter(F.split(x, r"\n\n"), lambda p: F.trim(p) != ""), nth - 1), r"(?U)^\W*(\w+)", 1)) == first.lower()))
+constraint("length:paragraphs")(lambda x, n: F.size(F.filter(F.split(x, r"\s?\*\*\*\s?"), lambda p: _strip(p) != "")) == n)
+constraint("length:nth_paragraph")(lambda x, n, nth, first: (F.size(F.filter(F.split(x, r"\n\n"), lambda p: _strip(p) != "")) == n) & (F.lower(F.regexp_extract(F.get(F.filter(F.split(x, r"\n\n"), lambda p: _strip(p) != ""), nth - 1), r"(?U)^\W*(\w+)", 1)) == first.lower()))
 constraint("format:bullets")(lambda x, n: F.regexp_count(x, F.lit(r"(?m)^\s*(?:\*[^*]|-).*$")) == n)
-constraint("format:highlights")(lambda x, n: F.size(F.filter(F.regexp_extract_all(x, F.lit(r"\*\*?([^\n*]+)\*\*?"), F.lit(1)), lambda h: F.trim(h) != "")) >= n)
+constraint("format:highlights")(lambda x, n: F.size(F.filter(F.regexp_extract_all(x, F.lit(r"\*\*?([^\n*]+)\*\*?"), F.lit(1)), lambda h: _strip(h) != "")) >= n)
 constraint("format:placeholders")(lambda x, n: F.regexp_count(x, F.lit(r"\[[^\]]+\]")) >= n)
-constraint("format:title")(lambda x: F.exists(F.regexp_extract_all(x, F.lit(r"<<([^\n]+)>>"), F.lit(1)), lambda t: F.trim(F.regexp_replace(t, "[<>]", "")) != ""))
+constraint("format:title")(lambda x: F.exists(F.regexp_extract_all(x, F.lit(r"<<([^\n]+)>>"), F.lit(1)), lambda t: _strip(F.regexp_replace(t, "[<>]", "")) != ""))
 constraint("format:postscript")(lambda x, mark: F.lower(x).rlike(r"(?s)\s*" + {"P.P.S": r"p\.\s?p\.\s?s", "P.S.": r"p\.\s?s\."}.get(mark, r"\Q" + mark.lower() + r"\E") + ".*"))
-constraint("length:sentences")(lambda x, relation, n: _compare(F.size(F.filter(F.split(x, r"(?<=[.!?])\s+"), lambda s: F.trim(s) != "")), relation, n))
+constraint("length:sentences")(lambda x, relation, n: _compare(F.size(F.filter(F.split(x, r"(?<=[.!?])\s+"), lambda s: _strip(s) != "")), relation, n))
 constraint("length:words")(lambda x, relation, n: _compare(F.size(_words(x)), relation, n))
 constraint("punctuation:no_comma")(lambda x: ~F.contains(x, F.lit(",")))
 constraint("content:no_digits")(lambda x: ~x.rlike(r"\d"))
 constraint("content:no_accents")(lambda x: ~x.rlike("[àâäáãåçéèêëíìîïñóòôöõúùûüÿÀÂÄÁÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜŸ]"))
 constraint("content:letters")(lambda x, letters: ~x.rlike(f"(?iu)[{letters}]"))
 constraint("content:informal")(lambda x, words: ~F.exists(F.array(*map(F.lit, words)), lambda w: F.call_function("rlike", x, F.concat(F.lit(r"(?iU)\b"), w, F.lit(r"\b")))))
-constraint("combination:two_responses")(lambda x: (F.size(F.filter(F.split(x, r"\*{6}"), lambda p: F.trim(p) != "")) == 2) & (F.size(F.array_distinct(F.transform(F.filter(F.split(x, r"\*{6}"), lambda p: F.trim(p) != ""), lambda p: F.trim(p)))) == 2))
+constraint("combination:two_responses")(lambda x: (F.size(F.filter(F.split(x, r"\*{6}"), lambda p: _strip(p) != "")) == 2) & (F.size(F.array_distinct(F.transform(F.filter(F.split(x, r"\*{6}"), lambda p: _strip(p) != ""), lambda p: _strip(p)))) == 2))
 
 
 def language_is(language: Column, wanted: str) -> Column:
@@ -68,7 +73,7 @@ def language_is(language: Column, wanted: str) -> Column:
 def met(response: Column, name: str, **arguments) -> Column | None:
     if name not in CONSTRAINTS:
         return None
-    return (F.trim(response) != "") & F.coalesce(CONSTRAINTS[name](response, **arguments), F.lit(False))
+    return (_strip(response) != "") & F.coalesce(CONSTRAINTS[name](response, **arguments), F.lit(False))
 
 
 def instruction_accuracy(df: DataFrame, by: list[str], response: str, instructions: list[tuple[str, dict]]) -> DataFrame:

@@ -252,7 +252,7 @@ def merged_ternary(a: Column, b: Column) -> Column:
     """Two annotators' labels of -1, 0, 1 as a word: one missing, the other; equal, either; adjacent, the one that is
     not neutral; opposite or both missing, null."""
     number = F.when(a.isNull() | b.isNull() | (a == b), F.coalesce(a, b)).when(F.abs(a - b) == 1, a + b)
-    return F.element_at(F.array(F.lit("negative"), F.lit("neutral"), F.lit("positive")), (number + 2).cast("int"))
+    return F.get(F.array(F.lit("negative"), F.lit("neutral"), F.lit("positive")), (number + 1).cast("int"))
 
 
 def answer_starts(answers: Column, context: Column) -> Column:

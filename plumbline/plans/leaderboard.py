@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
 from plumbline.operators import ranking, records
+from plumbline.session import settled
 
 
 def score_table(stored: DataFrame, tasks: DataFrame, config: DataFrame, banned_models: list[str] | None = None, api_models: list[str] | None = None, least_records: int = records.MIN_RECORDS) -> DataFrame:
@@ -14,7 +15,8 @@ def score_table(stored: DataFrame, tasks: DataFrame, config: DataFrame, banned_m
     wanted = stored.where(records.is_record()).join(F.broadcast(config.select("dataset").distinct()), records.dataset_name() == F.col("dataset"), "left_semi")
     wanted = wanted.where(~F.coalesce(T.flag(records.run_detail("use_bits_per_character")), F.lit(False)))
     valid = records.valid(records.deduplicated_rows(wanted), banned_models or [], api_models or [])
-    return records.without_val_duplicates(records.mirrored(records.scores(records.of_frequent_models(valid, least_records), tasks)))
+    flat = settled(records.scores(records.of_frequent_models(settled(valid), least_records), tasks))
+    return settled(records.without_val_duplicates(settled(records.mirrored(flat))))
 
 
 def long_scores(scores: DataFrame) -> DataFrame:
@@ -32,7 +34,7 @@ def board(scores: DataFrame, config: DataFrame, metadata: DataFrame | None = Non
     rows = long_scores(scores)
     full = ranking.eligible(rows.select("model", "dataset").distinct(), config)
     rows = rows.join(full, "model", "left_semi")
-    boot = ranking.bootstrap_scores(rows, config, replicates, seed)
+    boot = settled(ranking.bootstrap_scores(settled(rows), config, replicates, seed))
     interval = ranking.bootstrap_intervals(boot)
     ranks = ranking.significance_ranks(boot.withColumn("category", F.lit("all")), "category").select("model", "rank")
     languages = [r.language for r in config.select("language").distinct().orderBy("language").collect()]
