@@ -32,6 +32,8 @@ from plumbline.llm.op04_quality_rules import WORD
 LEVELS = ["domain", "lang", "source"]
 DOMAINS = ["web", "books", "news", "code"]
 _BUCKET_DIGITS = 3
+#: Leaves whose table may be broadcast: some megabytes.  With more, the documents are joined to it by a shuffle.
+BROADCAST_LEAVES = 100_000
 
 
 @dataclass(frozen=True)
@@ -105,21 +107,26 @@ def _hash(mixture: Mixture) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(mixture.seed)), F.col("epochs").cast("string"), _id_text()).cast("binary"))
 
 
+def _small(leaves: DataFrame) -> DataFrame:
+    """A stored table with a row for each leaf, to be joined to documents: a leaf with a third of them stays spread out."""
+    return F.broadcast(leaves) if leaves.count() <= BROADCAST_LEAVES else leaves
+
+
 def leaf_cuts(tokens: DataFrame, mixture: Mixture) -> DataFrame:
     """For each leaf with a budget: whole ``epochs``, and the last hash of the prefix of the next (``cut``, null: none)."""
     leaves = written(budgets(tokens, mixture).where("have > 0").withColumn("epochs", F.expr("budget div have")).withColumn("rest", F.expr("budget % have")), "mix-leaves")
-    rows = tokens.join(leaves, LEVELS).withColumn("h", _hash(mixture)).withColumn("bucket", F.substring("h", 1, _BUCKET_DIGITS))
+    rows = tokens.join(_small(leaves), LEVELS).withColumn("h", _hash(mixture)).withColumn("bucket", F.substring("h", 1, _BUCKET_DIGITS))
     sums = rows.groupBy(*LEVELS, "bucket").agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"))
     along = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     # The first bucket that goes over the rest; all before it are taken whole.
     edge = sums.withColumn("total", F.sum("n").over(along)).where("total > rest").groupBy(*LEVELS).agg(F.min_by(F.struct("bucket", (F.col("rest") - F.col("total") + F.col("n")).alias("room")), "bucket").alias("e"))
-    edge = edge.select(*LEVELS, F.col("e.bucket").alias("bucket"), F.col("e.room").alias("room"))
-    inside = rows.join(edge, [*LEVELS, "bucket"]).groupBy(*LEVELS, "bucket", "h").agg(F.sum("n_tokens").alias("n"), F.first("room").alias("room"))
+    edge = written(edge.select(*LEVELS, F.col("e.bucket").alias("bucket"), F.col("e.room").alias("room")), "mix-edges")
+    inside = rows.join(_small(edge), [*LEVELS, "bucket"]).groupBy(*LEVELS, "bucket", "h").agg(F.sum("n_tokens").alias("n"), F.first("room").alias("room"))
     within = Window.partitionBy(*LEVELS, "bucket").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
     last = inside.withColumn("total", F.sum("n").over(within)).where("total <= room").groupBy(*LEVELS).agg(F.max("h").alias("last"))
     cuts = leaves.join(edge.select(*LEVELS, "bucket"), LEVELS, "left").join(last, LEVELS, "left")
     # A prefix that ends before the edge bucket's first document ends just below the bucket.
-    return cuts.select(*LEVELS, "have", "budget", "epochs", F.coalesce("last", "bucket").alias("cut"))
+    return written(cuts.select(*LEVELS, "have", "budget", "epochs", F.coalesce("last", "bucket").alias("cut")), "mix-cuts")
 
 
 def _copies(mixture: Mixture) -> Column:
@@ -129,12 +136,12 @@ def _copies(mixture: Mixture) -> Column:
 def selected(docs: DataFrame, mixture: Mixture) -> DataFrame:
     """Id, leaf, tokens and ``copies`` (epochs that hold it) of every document taken at least once."""
     tokens = written(token_table(docs), "mix-tokens")
-    return tokens.join(leaf_cuts(tokens, mixture), LEVELS).withColumn("copies", _copies(mixture)).where("copies > 0").select("doc_id", *LEVELS, "n_tokens", "copies")
+    return tokens.join(_small(leaf_cuts(tokens, mixture)), LEVELS).withColumn("copies", _copies(mixture)).where("copies > 0").select("doc_id", *LEVELS, "n_tokens", "copies")
 
 
 def mix(docs: DataFrame, mixture: Mixture) -> DataFrame:
     """The rows of ``docs``, all columns as they are, each as often as its leaf's epochs hold it.  Texts are not shuffled."""
-    cuts = leaf_cuts(written(token_table(docs), "mix-tokens"), mixture).select(*[F.col(c).alias(f"_leaf_{c}") for c in LEVELS], F.col("epochs").alias("_epochs"), F.col("cut").alias("_cut"))
+    cuts = _small(leaf_cuts(written(token_table(docs), "mix-tokens"), mixture)).select(*[F.col(c).alias(f"_leaf_{c}") for c in LEVELS], F.col("epochs").alias("_epochs"), F.col("cut").alias("_cut"))
     leaf = F.struct(*_leaf_columns())
     rows = docs.withColumn("_leaf", leaf).join(cuts, [F.col(f"_leaf.{c}") == F.col(f"_leaf_{c}") for c in LEVELS])
     h = F.md5(F.concat_ws(":", F.lit(str(mixture.seed)), F.col("_epochs").cast("string"), _id_text()).cast("binary"))
