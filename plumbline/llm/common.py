@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of one Arrow batch handed to a Python worker.  Two workers of an executor hold a few batches each.
-ARROW_BATCH_BYTES = 4 << 20
-ARROW_BATCH_ROWS = 2000
+ARROW_BATCH_BYTES = 1 << 20
+ARROW_BATCH_ROWS = 1000
 
 _own_folder: str | None = None
 
