@@ -131,10 +131,9 @@ def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b).mean(axis=-1) - 1 / 256) / (1 - 1 / 256)
 
 
-def _shared_first(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The first band whose places all agree (as bytes), or the number of bands."""
-    whole = (a == b).reshape(*np.broadcast_shapes(a.shape, b.shape)[:-1], BANDS, ROWS).all(axis=-1)
-    return np.where(whole.any(axis=-1), whole.argmax(axis=-1), BANDS)
+def _shared_before(a: np.ndarray, b: np.ndarray, band: int) -> np.ndarray:
+    """Whether rows of band keys share a band before ``band``: the keys that make the buckets, so that bucket exists."""
+    return (a[..., :band] == b[..., :band]).any(axis=-1)
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -149,7 +148,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def _compare(percent: int):
     """Confirmed links of a group: its left rows against its right rows, where their components differ.
 
-    ``band`` is -1, or the bucket's band: then a pair that shares an earlier band as well is left to that one.
+    ``band`` is -1, or the bucket's band: then a pair that shares an earlier band's key as well (``keys``) is left to that one.
     """
 
     def run(group: pa.Table) -> pa.Table:
@@ -157,6 +156,7 @@ def _compare(percent: int):
         band = group.column("band")[0].as_py()
         low = np.stack([np.frombuffer(x.as_py(), np.uint8) for x in group.column("sketch")])
         full = [np.frombuffer(x.as_py(), U64) for x in group.column("shingles")]
+        keys = np.stack([np.frombuffer(x.as_py(), U64) for x in group.column("keys")]) if band > 0 else None
         root = {c: c for c in comps.tolist()}
 
         def find(c: int) -> int:
@@ -169,8 +169,8 @@ def _compare(percent: int):
         rows = np.flatnonzero(~left)
         for i in np.flatnonzero(left):
             near = rows[(comps[rows] != comps[i]) & (_agreement(low[rows], low[i]) >= LEAST_AGREEMENT)]
-            if band >= 0 and len(near):
-                near = near[_shared_first(low[near], low[i]) >= band]
+            if band > 0 and len(near):
+                near = near[~_shared_before(keys[near], keys[i], band)]
             for j in near:
                 a, b = find(int(comps[i])), find(int(comps[j]))
                 if a != b and similar(full[i], full[j], percent):
@@ -222,23 +222,24 @@ def links(df: DataFrame, sig: DataFrame, width: int, percent: int, id_col: str =
     lefts = rows.where("component <> main").withColumn("i", F.pmod(own, left_blocks).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), right_blocks - 1))).withColumn("is_left", F.lit(True))
     rights = rows.withColumn("j", F.pmod(own, right_blocks).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), left_blocks - 1))).withColumn("is_left", F.lit(False))
     columns = ["band", "key", "i", "j", "id", "component", "is_left"]
-    second = _with_content(lefts.select(columns).unionByName(rights.select(columns)), content).select(*columns, "sketch", "shingles")
+    second = _with_content(lefts.select(columns).unionByName(rights.select(columns)), content).select(*columns, "sketch", "shingles", "keys")
     more = second.groupBy("band", "key", "i", "j").applyInArrow(_compare(percent), "a long, b long")
     return same.unionByName(found).unionByName(more)
 
 
 def _contents(df: DataFrame, ids: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """Sets and sketches of the texts whose id takes part: ``id``, ``n_shingles``, ``sketch``, ``shingles`` (ascending hashes)."""
+    """Sets and sketches of the texts whose id takes part: ``id``, ``n_shingles``, ``sketch``, ``shingles`` (ascending hashes), ``keys`` (of its bands)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes, bounds = sets(batch.column(1), width)
-            low = (sketches(hashes, bounds) & U64(255)).astype(np.uint8)
+            sketch = sketches(hashes, bounds)
+            low = (sketch & U64(255)).astype(np.uint8)
             full = [hashes[bounds[i] : bounds[i + 1]].tobytes() for i in range(len(batch))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), pa.array([x.tobytes() for x in low], pa.binary()), pa.array(full, pa.binary())], names=["id", "n_shingles", "sketch", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), pa.array([x.tobytes() for x in low], pa.binary()), pa.array(full, pa.binary()), pa.array([x.tobytes() for x in bands(sketch)], pa.binary())], names=["id", "n_shingles", "sketch", "shingles", "keys"])
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text")).join(ids, "id", "left_semi")
-    return map_arrow(rows, run, "id long, n_shingles long, sketch binary, shingles binary").where("n_shingles > 0")
+    return map_arrow(rows, run, "id long, n_shingles long, sketch binary, shingles binary, keys binary").where("n_shingles > 0")
 
 
 def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

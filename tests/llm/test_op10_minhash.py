@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from plumbline.llm import op10_minhash as op
@@ -55,6 +56,23 @@ def test_sketches_are_full_unbiased_and_concentrated():
     assert abs(np.mean(errors)) < 0.02 and np.abs(errors).max() < 0.15
 
 
+def test_bytes_that_agree_by_chance_lose_no_pair():
+    """The two share band 2 and all later ones.  In band 1 only the places' low bytes agree: no bucket of band 1 holds both."""
+    sketch = np.stack([np.arange(op.COORDINATES, dtype=np.uint64)] * 2)
+    sketch[1, : op.ROWS] += np.uint64(1)
+    sketch[1, op.ROWS] += np.uint64(256)
+    full = np.arange(50, dtype=np.uint64).tobytes()
+
+    def compare(band, keys):
+        group = {"id": [1, 2], "component": [1, 2], "is_left": [True, False], "band": [band] * 2, "sketch": [x.tobytes() for x in sketch.astype(np.uint8)], "shingles": [full] * 2, "keys": [x.tobytes() for x in keys]}
+        return op._compare(80)(pa.table(group)).to_pylist()
+
+    keys = op.bands(sketch)
+    assert (keys[0] == keys[1]).tolist() == [False, False] + [True] * (op.BANDS - 2)
+    assert compare(2, keys) == [{"a": 1, "b": 2}]
+    assert compare(3, keys) == []  # left to the bucket of band 2
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(60)] + [(100, x) for x in range(101, 160)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(90)] + [(5, 5), (1, 0)]
