@@ -7,11 +7,11 @@ the distance to the dataset's best mean in pooled standard deviations; lower is
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.hashing import draw
+from plumbline.session import settled
 
 Z = 1.96
 
@@ -151,21 +151,37 @@ def significance_ranks(boot: DataFrame, category: str, alpha: float = 0.05) -> D
     """``category``, ``model``, ``rank``: models in order of their median; a new rank starts at the first that is
     significantly worse than the first model of the current rank.
 
-    The fold is sequential over models, so one category's medians and replicates go to one task: models times
-    replicates, a few thousand times a hundred, whatever the size of the scores.
+    Each model's replicates are one row's array, of bounded length.  A round takes each category's anchor (the first
+    model of the current rank; one row a category, broadcast), tests every later model within its row and finds the
+    next anchor by one aggregation, so there are as many rounds as ranks and no task holds a category.
+    ``boot`` is computed once, at the call.
     """
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index="model", columns="replicate", values="score")
-        order = sorted(wide.index, key=lambda m: (wide.loc[m].median(), m))
-        ranks, anchor, rank = [], None, 0
-        for model in order:
-            if anchor is None or (wide.loc[model] - wide.loc[anchor]).quantile(alpha / 2) > 0:
-                anchor, rank = model, rank + 1
-            ranks.append(rank)
-        return pd.DataFrame({category: pdf[category].iloc[0], "model": order, "rank": ranks})
-
-    rows = boot.where("language IS NULL").select(category, "model", "replicate", "score")
-    return rows.groupBy(category).applyInPandas(fold, f"{category} string, model string, rank int")
+    rows = boot.where("language IS NULL").select(F.col(category).cast("string").alias("category"), "model", F.col("replicate").cast("long").alias("replicate"), clean("score").alias("score"))
+    rows = rows.where("model IS NOT NULL AND replicate IS NOT NULL AND score IS NOT NULL").repartition("category", "model").groupBy("category", "model", "replicate").agg(F.avg("score").alias("score"))
+    lists = rows.groupBy("category", "model").agg(F.sort_array(F.collect_list(F.struct("replicate", "score"))).alias("of"))
+    scores = F.col("of.score")
+    models = settled(lists.select("category", F.struct(_quantile(scores, 0.5).alias("median"), "model").alias("at"), F.col("of.replicate").alias("replicates"), scores.alias("scores")))
+    spark, schema = boot.sparkSession, models.schema
+    anchors, found = models.groupBy("category").agg(F.min_by(F.struct("at", "replicates", "scores"), "at").alias("first")).select("category", "first.*").collect(), []
+    while anchors:
+        found += [(r["category"], r["at"]) for r in anchors]
+        now = spark.createDataFrame(anchors, schema).select(F.col("category").alias("_category"), F.col("at").alias("_at"), F.col("replicates").alias("_replicates"), F.col("scores").alias("_scores"))
+        later = models.join(F.broadcast(now), F.col("category").eqNullSafe(F.col("_category"))).where("at > _at")
+        of_anchor = F.map_from_arrays("_replicates", "_scores")
+        matched = F.filter(F.zip_with("replicates", "scores", lambda r, x: x - F.try_element_at(of_anchor, r)), lambda x: x.isNotNull())
+        differences = F.when(F.col("replicates") == F.col("_replicates"), F.zip_with("scores", "_scores", lambda x, y: x - y)).otherwise(matched)
+        worse = later.withColumn("_differences", differences).where(_quantile(F.col("_differences"), alpha / 2) > 0)
+        anchors = worse.groupBy("category").agg(F.min_by(F.struct("at", "replicates", "scores"), "at").alias("first")).select("category", "first.*").collect()
+    starts = spark.createDataFrame(found, models.select("category", "at").schema).groupBy(F.col("category").alias("_category")).agg(F.collect_list("at").alias("_starts"))
+    ranked = models.join(F.broadcast(starts), F.col("category").eqNullSafe(F.col("_category")))
+    return ranked.select(F.col("category").alias(category), F.col("at.model").alias("model"), F.size(F.filter("_starts", lambda x: x <= F.col("at"))).alias("rank"))
+
+
+def _quantile(values: Column, q: float) -> Column:
+    """Quantile of an array of numbers with linear interpolation; null if it is empty."""
+    ordered, place = F.sort_array(values), (F.size(values) - 1) * F.lit(q)
+    low, high = (F.get(ordered, end(place).cast("int")) for end in (F.floor, F.ceil))
+    return F.when(F.size(values) > 0, low + (high - low) * (place - F.floor(place)))
 
 
 def eligible(results: DataFrame, required: DataFrame) -> DataFrame:

@@ -82,6 +82,39 @@ def test_ranks_compare_with_the_first_of_the_group(spark):
     assert got == {"a": 1, "b": 1, "c": 2, "d": 3}
 
 
+def plain_ranks(boot):
+    """{(category, model): rank} of rows (category, model, replicate, score), by the sequential fold."""
+    out = {}
+    for category in {r[0] for r in boot}:
+        by = {}
+        for c, m, k, x in boot:
+            if c == category:
+                by.setdefault(m, {})[k] = x
+        anchor, rank = None, 0
+        for m in sorted(by, key=lambda m: (np.median(list(by[m].values())), m)):
+            both = [by[m][k] - by[anchor][k] for k in by[m] if k in by[anchor]] if anchor else []
+            if anchor is None or (both and np.quantile(both, 0.025) > 0):
+                anchor, rank = m, rank + 1
+            out[category, m] = rank
+    return out
+
+
+def test_ranks_of_many_models_without_one_task_for_a_category(spark):
+    """Also missing replicates, a model with none in common with the rest, equal medians and two categories."""
+    rng = random.Random(5)
+    rows = [(c, f"m{m}", k, 1 + m // 3 * 0.04 + rng.gauss(0, 0.1)) for c in "xy" for m in range(80) for k in range(30) if m % 7 or rng.random() < 0.8]
+    rows += [("x", "apart", k, 2.0) for k in range(100, 110)] + [("y", n, k, 1.5) for n in ("same1", "same0") for k in range(30)]
+    boot = spark.createDataFrame([(c, m, None, k, x) for c, m, k, x in rows], "category string, model string, language string, replicate int, score double")
+    got = ranking.significance_ranks(boot.repartition(3), "category")
+    assert {(r.category, r.model): r["rank"] for r in got.collect()} == (want := plain_ranks(rows)) and max(want.values()) > 3
+    assert "InPandas" not in got._jdf.queryExecution().toString()
+
+
+def test_ranks_of_no_models(spark):
+    boot = spark.createDataFrame([], "category string, model string, language string, replicate int, score double")
+    assert ranking.significance_ranks(boot, "category").count() == 0
+
+
 def test_analytic_ranks(spark):
     ranked = spark.createDataFrame([("m", "x", 1.0, 0.5, 1.5), ("m", "y", 2.0, 1.0, 3.0)], "model string, dataset string, rank_score double, lower double, upper double")
     config = spark.createDataFrame([("da", "t", "x"), ("da", "t", "y")], "language string, task string, dataset string")
