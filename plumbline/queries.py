@@ -108,8 +108,8 @@ _BOOT = f"""WITH {_SCORES}, {_CONFIG}, {_MEANS}, {_STATS}, {_PLACED},
     {_hierarchy_sql('(SELECT replicate, model, dataset, rank_score FROM ranked)', 'replicate, ')}"""
 
 
-def _boot(spark, d) -> DataFrame:
-    return ranking.bootstrap_scores(event_scores(spark, d), event_config(spark, d), REPLICATES)
+def _boot(spark, d, replicates: int = REPLICATES) -> DataFrame:
+    return ranking.bootstrap_scores(event_scores(spark, d), event_config(spark, d), replicates)
 
 
 @query(f"{_BOOT} SELECT model, round(quantile_cont(score, 0.025), 6) AS lower, round(quantile_cont(score, 0.5), 6) AS median, round(quantile_cont(score, 0.975), 6) AS upper FROM board WHERE language IS NULL GROUP BY model")
@@ -119,7 +119,7 @@ def bootstrap_overall_ci(spark, d):
 
 @query()
 def significance_rank(spark, d):
-    return ranking.significance_ranks(_boot(spark, d).withColumn("category", F.lit("all")), "category")
+    return ranking.significance_ranks(_boot(spark, d, 100).withColumn("category", F.lit("all")), "category")
 
 
 @query(f"""WITH {_SCORES}, {_MEANS}, {_STATS}, lists AS (SELECT model, model_no, dataset, list(raw ORDER BY position, raw) AS raws, count(*) AS n FROM scores GROUP BY ALL),

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from plumbline import queries
 from plumbline.operators import ranking
 
 
@@ -110,6 +111,14 @@ def test_ranks_of_many_models_without_one_task_for_a_category(spark):
     assert "InPandas" not in got._jdf.queryExecution().toString()
 
 
+def test_significance_rank_takes_a_hundred_replicates(spark, monkeypatch):
+    boots, whole = [], ranking.bootstrap_scores
+    monkeypatch.setattr(ranking, "bootstrap_scores", lambda *a: boots.append(whole(*a)) or boots[-1])
+    got = {("all", r.model): r["rank"] for r in queries.significance_rank(spark, "/root/testdata/sf0.001").collect()}
+    rows = [("all", r.model, r.replicate, r.score) for r in boots[0].where("language IS NULL").collect()]
+    assert {r[2] for r in rows} == set(range(100)) and got == plain_ranks(rows)
+
+
 def test_ranks_of_no_models(spark):
     boot = spark.createDataFrame([], "category string, model string, language string, replicate int, score double")
     assert ranking.significance_ranks(boot, "category").count() == 0
