@@ -25,8 +25,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that stand on many sources."""
-    rows = op06_line_dedup.remove_boilerplate(docs, "source")
+    """Texts without the lines that stand on many sources; a text of nothing else is left to the next stage."""
+    rows = op06_line_dedup.remove_boilerplate(docs, "source", max_share=None)
     new = {"text": F.col("_kept"), "n_chars": F.when(F.col("_n_removed") > 0, F.length("_kept")).otherwise(F.col("n_chars")).cast("long")}
     return rows.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 

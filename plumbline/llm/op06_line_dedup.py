@@ -59,8 +59,9 @@ def boilerplate_lines(df: DataFrame, site_col: str, text_col: str = "text", min_
     return sure.unionByName(exact.where(F.col("n_sites") >= min_sites).select("line"))
 
 
-def remove_boilerplate(df: DataFrame, site_col: str, id_col: str = "doc_id", text_col: str = "text", min_sites: int = MIN_SITES, max_share: int = MAX_SHARE) -> DataFrame:
-    """``df`` with ``_kept`` (the text that stays), ``_n_lines`` and ``_n_removed``."""
+def remove_boilerplate(df: DataFrame, site_col: str, id_col: str = "doc_id", text_col: str = "text", min_sites: int = MIN_SITES, max_share: int | None = MAX_SHARE) -> DataFrame:
+    """``df`` with ``_kept`` (the text that stays), ``_n_lines`` and ``_n_removed``.  Without ``max_share`` only a
+    document without a line of its own is left whole."""
     flagged = written(boilerplate_lines(df, site_col, text_col, min_sites), "boilerplate")
     own = df.select(F.col(id_col).alias("_id"), F.explode(F.array_distinct(F.transform(_lines(F.col(text_col)), _key))).alias("line"))
     bad = own.join(flagged, "line").groupBy("_id").agg(F.collect_set("line").alias("_bad"))
@@ -72,7 +73,8 @@ def remove_boilerplate(df: DataFrame, site_col: str, id_col: str = "doc_id", tex
 
     removed = F.filter(lines, lambda x: ~stays(x))
     of_removed = F.aggregate(removed, F.lit(0).cast("long"), lambda n, x: n + F.regexp_count(x, F.lit(WORD)))
-    cut = F.when(F.col("_bad").isNotNull(), 100 * of_removed <= max_share * F.regexp_count(text_col, F.lit(WORD))).otherwise(False)
+    n_words = F.regexp_count(text_col, F.lit(WORD))
+    cut = F.when(F.col("_bad").isNotNull(), of_removed < n_words if max_share is None else 100 * of_removed <= max_share * n_words).otherwise(False)
     return rows.withColumn("_cut", cut).select(
         *[F.col(f"`{c}`") for c in df.columns],
         F.when(F.col("_cut"), F.array_join(F.filter(lines, stays), "\n")).otherwise(F.col(text_col)).alias("_kept"),

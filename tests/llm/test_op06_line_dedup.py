@@ -26,6 +26,16 @@ def test_against_plain_python(spark, min_sites):
     assert sorted(((r.doc_id, r.text, r._kept) for r in got.collect()), key=str) == sorted(((i, t, k) for (i, _, t), k in zip(data, want, strict=True)), key=str)
 
 
+def test_long_boilerplate_goes_where_a_document_has_lines_of_its_own(spark):
+    """The licence is more than half of each text's words; a copy of nothing but the licence stays whole."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    licence = " ".join(f"clause{i}" for i in range(60))
+    data = [(i, f"{licence}\n\nOwn line {i}" if i else f"{licence}\n", "en", f"site{i}", 9) for i in range(12)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in pipeline.line_dedup(spark, docs, "").collect()}
+    assert got == {0: (f"{licence}\n", 9)} | {i: (f"\nOwn line {i}", len(f"\nOwn line {i}")) for i in range(1, 12)}
+
+
 def test_near_threshold_counts_are_exact(spark):
     """Lines on 9, 10 and 11 of many sites fall on the right side of 10."""
     data = [(k * 1000 + i, f"s{(i * 7 + k) % 97}", f"line of {9 + k % 3} sites, number {k}\nand its own body {k} {i} to keep the share low enough here") for k in range(60) for i in range(9 + k % 3)]
