@@ -411,7 +411,7 @@ def generation_metrics(spark, d):
 
 @query()
 def extracted_labels(spark, d):
-    return L.extracted_label(table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 12).alias("said")), "said", ["positive", "negative", "neutral"]).select("item_id", "label", "label_failed")
+    return L.extracted_label(table(spark, d, "benchmark").select("item_id", F.col("text").alias("said")), "said", ["positive", "negative", "neutral"]).select("item_id", "label", "label_failed")
 
 
 @query()
