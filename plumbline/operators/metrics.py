@@ -10,7 +10,6 @@ import json
 import math
 from collections import Counter
 from collections.abc import Callable
-from itertools import permutations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -213,17 +212,44 @@ def _mean_udf(name: str, score: Callable[..., float]) -> Callable[..., DataFrame
 def permuted_cells(prediction: str, label: str) -> float:
     """Share of right cells under the best matching of the prediction's objects to the label's (logic puzzles).
 
-    Both are JSON objects of lists; objects are few, so all matchings are tried.
+    Both are JSON objects of lists; the matching is an exact assignment, so any number of objects will do.
     """
     try:
         p, r = json.loads(prediction), json.loads(label)
         mine, theirs = [[str(x).casefold() for x in v] for v in p.values()], [[str(x).casefold() for x in v] for v in r.values()]
     except (ValueError, TypeError, AttributeError):
         return 0.0
-    if len(mine) != len(theirs) or len(mine) > 8 or not theirs:
+    if len(mine) != len(theirs) or not theirs:
         return 0.0
     cells = sum(map(len, theirs))
-    return max(sum(len(set(a) & set(b)) for a, b in zip(order, theirs, strict=True)) for order in permutations(mine)) / max(cells, 1)
+    return _best_assignment([[len(set(a) & set(b)) for b in theirs] for a in mine]) / max(cells, 1)
+
+
+def _best_assignment(gain: list[list[int]]) -> int:
+    """Largest total of a square table with one entry of each row and column (Hungarian method, cubic time)."""
+    n = len(gain)
+    rows, columns, owner = [0] * (n + 1), [0] * (n + 1), [0] * (n + 1)  # potentials; the row of each column, from 1
+    for i in range(1, n + 1):
+        owner[0], at = i, 0
+        least, back, done = [math.inf] * (n + 1), [0] * (n + 1), [False] * (n + 1)
+        while owner[at]:
+            done[at], row = True, owner[at]
+            for j in range(1, n + 1):
+                if not done[j] and (cost := -gain[row - 1][j - 1] - rows[row] - columns[j]) < least[j]:
+                    least[j], back[j] = cost, at
+            to = min((j for j in range(1, n + 1) if not done[j]), key=least.__getitem__)
+            step = least[to]
+            for j in range(n + 1):
+                if done[j]:
+                    rows[owner[j]] += step
+                    columns[j] -= step
+                else:
+                    least[j] -= step
+            at = to
+        while at:
+            owner[at] = owner[back[at]]
+            at = back[at]
+    return sum(gain[owner[j] - 1][j - 1] for j in range(1, n + 1))
 
 
 def tool_call_right(functions: str, prediction: str, reference: str) -> float:

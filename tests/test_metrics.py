@@ -1,3 +1,4 @@
+import itertools
 import json
 import random
 
@@ -104,3 +105,15 @@ def test_constraints(spark, name, arguments, good, bad):
 def test_instruction_accuracy_skips_unknown_names(spark):
     df = spark.createDataFrame([("g", "a, b"), ("g", "a")], "g string, x string")
     assert one(constraints.instruction_accuracy(df, ["g"], "x", [("punctuation:no_comma", {}), ("content:no_digits", {}), ("no:such", {})]), "instruction_accuracy") == 0.75
+
+
+def test_puzzles_of_many_objects_and_exact_matching():
+    right = {f"o{i}": [f"a{i}", f"b{i}"] for i in range(12)}
+    moved = {k: right[f"o{(i * 5 + 1) % 12}"] for i, k in enumerate(right)}
+    assert metrics.permuted_cells(json.dumps(moved), json.dumps(right)) == 1.0
+    rng = random.Random(2)
+    for n in range(1, 7):
+        for _ in range(20):
+            a, b = ([[rng.choice("abcdef") for _ in range(3)] for _ in range(n)] for _ in "ab")
+            best = max(sum(len(set(x) & set(y)) for x, y in zip(order, b, strict=True)) for order in itertools.permutations(a))
+            assert metrics.permuted_cells(json.dumps(dict(enumerate(a))), json.dumps(dict(enumerate(b)))) == best / (3 * n)
