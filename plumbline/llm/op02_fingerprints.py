@@ -4,18 +4,23 @@ The word shingles of a text are hashed once.  A hash falls into one of ``BINS``
 bins, and each bin keeps its least hash.  A bin that stays empty copies the bin
 that a fixed random sequence of its own reaches first among the filled ones
 (optimal densification), so that two texts' bins agree with the probability of
-their likeness.  Of each bin the low ``BITS`` bits are stored, two bins to a
-byte, written as hexadecimal.  Unequal bins agree in ``BITS`` bits by chance with
-probability ``2 ** -BITS``; ``likeness`` takes that out.
+their likeness.  Of each bin the low ``BITS`` bits of its value, mixed with the
+bin's number, are stored, two bins to a byte, written as hexadecimal.  Unequal bins
+agree in ``BITS`` bits by chance with probability ``2 ** -BITS``, and bins that copy
+the same two values do so independently, since their numbers differ; ``likeness``
+takes that chance out.
 
 A shingle is five consecutive words; a text of one to four words is one shingle.
 
 Edge cases: a null or empty text, or one without words, has the empty
 fingerprint, whose likeness is 1 to another empty one and 0 to any other; equal
-texts have equal fingerprints whatever the rows around them; rows of equal id
-follow one another by text, and null ids come first; the last row's successor
-is the first, so one row alone is followed by itself; an empty table gives an
-empty result; other columns of the input are ignored, whatever their names.
+texts have equal fingerprints whatever the rows around them; ids are whole
+numbers, or the call fails; rows of equal id follow one another by text (an id
+should not be that of a large share of the rows: they are one range), and null ids
+come first, by a hash of their text and then the text, so that they are many ranges;
+the last row's successor is the first, so one row alone is followed by itself; an
+empty table gives an empty result; other columns of the input are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.llm import kernels
 from plumbline.llm.common import map_arrow, table
@@ -88,8 +94,13 @@ class Fingerprinter:
         data, offsets = kernels.text_bytes(texts)
         starts, _, hashes = kernels.words(data, offsets)
         shingles, bounds = kernels.shingles(hashes, kernels.word_bounds(offsets, starts), self.width)
-        low = self.minima(shingles, bounds) & U64((1 << self.bits) - 1)
-        return low.astype(np.uint8), np.diff(bounds) > 0
+        return self.low_bits(self.minima(shingles, bounds)), np.diff(bounds) > 0
+
+    def low_bits(self, rows: np.ndarray) -> np.ndarray:
+        """Low bits of every bin's value mixed with the bin's number."""
+        with np.errstate(over="ignore"):
+            numbers = mix(np.arange(self.bins, dtype=U64) + U64(0x3C6EF372))
+        return (mix(rows ^ numbers) & U64((1 << self.bits) - 1)).astype(np.uint8)
 
     def packed(self, codes: np.ndarray, some: np.ndarray) -> list[str]:
         per = 8 // self.bits
@@ -121,29 +132,41 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def with_successor(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Rows in ranges of ascending id; each range also holds the row that follows it, marked ``_after``.
 
-    Columns ``_range``, ``_after``, ``_id``, ``_text``, sorted so within partitions.  The cut points are
-    ids picked by a quantile sketch (at most ``MAX_RANGES``), so each is the first id of its range: its row is
-    copied to the range before.  The texts are shuffled once, and the driver sees the cut points only.
+    Columns ``_range``, ``_after``, ``_id``, ``_text``, sorted so within partitions.  The cut points come from a
+    quantile sketch (at most ``MAX_RANGES``) and need be no ids of the table: the least key that each range really
+    has is found by one aggregation, and the rows of that key are copied to the range before it.  Null ids are
+    dealt to ranges of their own by a hash of their text.  The texts are shuffled once; the driver sees the cut
+    points and the least keys only.
     """
-    rows = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    n, least, nulls = rows.agg(F.count(F.lit(1)), F.min("_id"), F.count_if(F.col("_id").isNull())).head()
-    ranges = max(1, min(MAX_RANGES, n // rows_per_range))
+    if not isinstance(df.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must be a whole number")
+    key = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    rows = df.select(F.col(id_col).alias("_id"), key.alias("_key"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    n, nulls = rows.agg(F.count(F.lit(1)), F.count_if(F.col("_id").isNull())).head()
+    ranges = max(1, min(MAX_RANGES, (n - nulls) // rows_per_range))
     picked = rows.agg(F.percentile_approx("_id", [i / ranges for i in range(1, ranges)], 20 * ranges)).head()[0] if ranges > 1 else []
-    first = None if nulls else least
-    cuts = sorted({c for c in picked or [] if c != first})
-    # Binary search: the number of cut points that are at most the id.  A null id is below all.
+    cuts = sorted(set(picked or []))
+    # Ranges of null ids come first: slices of equal width of the hash's upper half.
+    slices = max(1, min(MAX_RANGES, nulls // rows_per_range)) if nulls else 0
+    of_null = F.floor((F.shiftright("_key", 32) + (1 << 31)) * slices / (1 << 32)).cast("int")
+    # Binary search: the number of cut points that are at most the id.
     steps = [1 << i for i in reversed(range(len(cuts).bit_length()))]
     at = F.lit(0)
     if cuts:
         array = F.lit(cuts)
-        at = F.aggregate(F.lit(steps), F.lit(0), lambda low, step: F.when((low + step <= len(cuts)) & (F.get(array, low + step - 1) <= F.col("_id")), low + step).otherwise(low))
-    rows = rows.withColumn("_at", at)
-    copy = F.when(F.col("_id").eqNullSafe(F.lit(first)), len(cuts))
-    if cuts:
-        copy = copy.when((F.col("_at") > 0) & (F.get(F.lit(cuts), F.col("_at") - 1) == F.col("_id")), F.col("_at") - 1)
+        at = F.aggregate(F.lit(steps), F.lit(0), lambda low, step: F.when((low + step <= len(cuts)) & (F.get(array, low + step - 1) <= F.col("_key")), low + step).otherwise(low))
+    rows = rows.withColumn("_at", F.when(F.col("_id").isNull(), of_null).otherwise(at + slices).cast("int"))
+    firsts = sorted(tuple(r) for r in rows.groupBy("_at").agg(F.min("_key")).collect())
+    # The rows of a range's least key go to the range before it as well, those of the first range to the last.
+    before = {at: firsts[i - 1][0] for i, (at, _) in enumerate(firsts)}
+    size = max(before, default=0) + 1
+    least, previous = [None] * size, [None] * size
+    for at, key in firsts:
+        least[at], previous[at] = key, before[at]
+    copy = F.when(F.get(F.lit(least).cast("array<bigint>"), F.col("_at")) == F.col("_key"), F.get(F.lit(previous).cast("array<int>"), F.col("_at"))) if firsts else F.lit(None).cast("int")
     places = F.array_compact(F.array(F.struct(F.col("_at").alias("range"), F.lit(False).alias("after")), F.when(copy.isNotNull(), F.struct(copy.alias("range"), F.lit(True).alias("after")))))
-    out = rows.select(F.explode(places).alias("p"), "_id", "_text").select(F.col("p.range").alias("_range"), F.col("p.after").alias("_after"), "_id", "_text")
-    return out.repartitionByRange(len(cuts) + 1, "_range").sortWithinPartitions("_range", "_after", "_id", "_text")
+    out = rows.select(F.explode(places).alias("p"), "_id", "_key", "_text").select(F.col("p.range").alias("_range"), F.col("p.after").alias("_after"), "_id", "_text", "_key")
+    return out.repartitionById(size, F.col("_range")).sortWithinPartitions("_range", "_after", "_key", "_text").drop("_key")
 
 
 def edited(text: str, following: str) -> str:

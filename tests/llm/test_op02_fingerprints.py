@@ -58,3 +58,27 @@ def test_query_on_the_small_table(spark):
         assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         errors.append(got[i].near_edited - brute.jaccard(brute.shingles(docs[i], 5, False), brute.shingles(edited, 5, False)))
     assert abs(np.mean(errors)) < 0.02 and np.sqrt(np.mean(np.square(errors))) < 0.05
+
+
+def test_wide_ids_and_many_null_ids(spark):
+    """Ids beyond the doubles' exact range, and null ids in ranges of their own: every row has the next one's text."""
+    base = 2**60
+    rows = [(base + i, f"wide {i} " + "a b c " * (i % 7)) for i in range(150)] + [(None, f"null {i}") for i in range(150)]
+    got = op.edit_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), rows_per_range=10).collect()
+    assert len(got) == 300
+    known = {r.doc_id: r.edited_sha256 for r in got if r.doc_id is not None}
+    texts = dict(r for r in rows if r[0] is not None)
+    for i in range(base, base + 149):
+        assert known[i] == hashlib.sha256(op.edited(texts[i], texts[i + 1]).encode()).hexdigest()
+    nulls = {t: hashlib.sha256(t.encode()).hexdigest() for i, t in rows if i is None}
+    # A null id's successor is another null id, and the last one's is the least id.
+    after = {hashlib.sha256(op.edited(t, u).encode()).hexdigest() for t in nulls for u in [*nulls, texts[base]]}
+    assert all(r.edited_sha256 in after for r in got if r.doc_id is None)
+    assert known[base + 149] in {hashlib.sha256(op.edited(texts[base + 149], t).encode()).hexdigest() for t in nulls}
+
+
+def test_bins_that_copy_one_value_agree_independently():
+    """One pair of unequal values copied into all bins: about one bin in sixteen agrees, not all or none."""
+    maker = op.Fingerprinter()
+    share = [(maker.low_bits(np.full((1, maker.bins), a, np.uint64)) == maker.low_bits(np.full((1, maker.bins), a + 16, np.uint64))).mean() for a in range(1, 200)]
+    assert abs(np.mean(share) - 1 / 16) < 0.005 and max(share) < 0.15
