@@ -7,9 +7,12 @@ they are safe, and refuses the model otherwise.
 
 First tier: a broadcast table of at most ``TABLE_SIZE`` frequent pre-tokens and
 their lengths.  Second tier: a cache of bounded size in each Python worker, which
-encodes what the table lacks.  No pre-token is shuffled.  The table is learned
-from the first ``SAMPLE_ROWS`` rows that Spark reads, ``SAMPLE_CHARS`` characters
-of each; it decides what is looked up where and never a count.
+encodes what the table lacks.  No text's pre-tokens are shuffled.  The table is learned
+from every whole text: each task keeps a summary of at most ``SUMMARY_SIZE`` counters
+(Misra and Gries' heavy hitters, in the mergeable form of Agarwal et al., 2012), which
+holds every pre-token that makes up more than one part in ``SUMMARY_SIZE`` of the task's;
+the summaries are added up by aggregation, and the driver gets the ``TABLE_SIZE`` first.
+The table decides what is looked up where and never a count.
 
 Edge cases: a null text counts as empty, with no bytes and no tokens; a text of
 any length is counted whole, and one without a space is one pre-token; repeated
@@ -19,6 +22,7 @@ other columns of the input are ignored, whatever their names.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -31,8 +35,8 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import map_arrow, table
 
 TABLE_SIZE = 1 << 16
-SAMPLE_ROWS = 1000
-SAMPLE_CHARS = 1 << 15
+#: Counters that a task's summary of its pre-tokens keeps.
+SUMMARY_SIZE = 1 << 16
 CACHE_SIZE = 1 << 18
 #: Longer pre-tokens are encoded each time.
 CACHED_CHARS = 64
@@ -78,13 +82,35 @@ class Lengths(dict):
         return sum(map(self.__getitem__, pre_tokens(text)))
 
 
+def reduced(counts: Counter[str], size: int) -> Counter[str]:
+    """At most ``size`` counters: all are lowered by the largest count that does not fit."""
+    if len(counts) <= size:
+        return counts
+    least = heapq.nlargest(size + 1, counts.values())[-1]
+    return Counter({token: n - least for token, n in counts.items() if n > least})
+
+
+def summaries(df: DataFrame, text_col: str = "text", size: int = SUMMARY_SIZE) -> DataFrame:
+    """``token`` and ``n``: the pre-tokens that each task has most of, and at least how often; single ones are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                counts.update(x for x in pre_tokens(text.as_py() or "") if len(x) <= CACHED_CHARS)
+                if len(counts) > 4 * size:
+                    counts = reduced(counts, size)
+        kept = [(token, n) for token, n in reduced(counts, size).items() if n > 1]
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["token", "n"])
+
+    return map_arrow(df.select(text_col), run, "token string, n long")
+
+
 def frequent_lengths(df: DataFrame, path: str, text_col: str = "text", size: int = TABLE_SIZE) -> dict[str, int]:
-    """The first tier: lengths of the most frequent pre-tokens of a bounded sample."""
-    seen: Counter[str] = Counter()
-    for row in df.select(F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("t")).limit(SAMPLE_ROWS).toLocalIterator():
-        seen.update(pre_tokens(row.t or ""))
+    """The first tier: lengths of the most frequent pre-tokens of all texts."""
+    first = summaries(df, text_col).groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(size)
     lengths = Lengths({}, load(path))
-    return {token: lengths[token] for token, n in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:size] if n > 1 and len(token) <= CACHED_CHARS}
+    return {token: lengths[token] for token in first.toArrow().column("token").to_pylist()}
 
 
 def token_counts(df: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text", size: int = TABLE_SIZE) -> DataFrame:

@@ -46,3 +46,23 @@ def test_query(spark, model):
     docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     got = {r.doc_id: r.n_tokens for r in op.op3_token_counts(spark, "/root/testdata/sf0.001").collect()}
     assert got == {i: len(model.encode(t or "")) for i, t in docs.items()}
+
+
+def test_summary_keeps_every_heavy_pre_token():
+    rng, true, counts = random.Random(2), op.Counter(), op.Counter()
+    for _ in range(300):
+        batch = [f"t{min(int(rng.paretovariate(0.8)), 5000)}" for _ in range(100)]
+        true.update(batch)
+        counts.update(batch)
+        if len(counts) > 40:
+            counts = op.reduced(counts, 20)
+    counts = op.reduced(counts, 20)
+    assert len(counts) <= 20 and all(counts[t] <= n for t, n in true.items())
+    assert {t for t, n in true.items() if n > 30_000 / 20} <= set(counts)
+
+
+def test_table_covers_every_partition(spark):
+    """A word that stands in the last rows only, and behind a long beginning, is in the table as well."""
+    rows = [(i, "x y " * 5) for i in range(3000)] + [(4000 + i, "x " * 20_000 + "late " * 30) for i in range(3)]
+    known = op.frequent_lengths(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), PATH, size=3)
+    assert set(known) == {"▁x", "▁y", "▁late"}
