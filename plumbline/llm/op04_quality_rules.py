@@ -17,6 +17,8 @@ input has them (``filter_documents``).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,9 +117,11 @@ def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return m.withColumn("failed_bits", _bits())
 
 
-def _bits(prefix: str = "") -> Column:
+def _bits(where: dict[str, str] | None = None) -> Column:
+    """The rules that fail, as bits; ``where`` says in which columns the measurements are."""
     total = F.lit(0)
     for name, rule in RULES:
+        rule = re.sub(r"[a-z_]+", lambda x: (where or {}).get(x[0], x[0]), rule)
         total = total.bitwiseOR(F.when(F.expr(rule), BITS[name]).otherwise(0))
     return total.cast("int")
 
@@ -141,19 +145,24 @@ def ablations(ledger_df: DataFrame, policy: str = CURRENT) -> DataFrame:
     )
 
 
+def with_failed_bits(df: DataFrame, text_col: str = "text", into: str = "_failed_bits") -> DataFrame:
+    """``df`` with its ledger's ``failed_bits`` as the column ``into``, which must not be one of its own."""
+    m = "_measures_of_rules"
+    where = {**{x: f"{m}.w.{x}" for x in ("n_words", "word_chars", "n_repeat_words")}, **{x: f"{m}.l.{x}" for x in ("n_lines", "n_dup_lines")}, **{x: f"{m}.{x}" for x in ("n_symbols", "n_upper")}}
+    return measured(df, text_col, m).withColumn(into, _bits(where)).drop(m)
+
+
 def filter_documents(df: DataFrame, policy: str = CURRENT, text_col: str = "text") -> DataFrame:
-    """The rows of ``df``, all columns as they are, that the policy keeps."""
-    own = df.columns
-    m = measured(df, text_col, "_measures_of_rules")
-    named = {"w": ["n_words", "word_chars", "n_repeat_words"], "l": ["n_lines", "n_dup_lines"], "": ["n_symbols", "n_upper"]}
-    where = {x: f"_measures_of_rules.{k + '.' if k else ''}{x}" for k, names in named.items() for x in names}
-    keep = F.lit(True)
-    for name in POLICIES[policy]:
-        rule = dict(RULES)[name]
-        for x in sorted(where, key=len, reverse=True):
-            rule = rule.replace(x, where[x])
-        keep = keep & ~F.expr(rule)
-    return m.where(keep).select(*[F.col(f"`{c}`") for c in own])
+    """The rows of ``df``, all columns as they are, without a bit of the policy's mask: every rule is evaluated once, into the bits."""
+    own = [F.col(f"`{c}`") for c in df.columns]
+    rows = df.select(F.struct(*own).alias("row"), F.col(text_col).alias("own_text"))
+    bits = F.col("bits").bitwiseAND(F.lit(mask(policy)))
+    return with_failed_bits(rows, "own_text", "bits").where(bits == 0).select(*[F.col("row").getField(c).alias(c) for c in df.columns])
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the current policy rejects, and what only it does, of the documents."""
+    return ablations(ledger(table(spark, sf_dir, "documents")))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,3 +209,9 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        ({BITS_SQL}) = 0 AS kept, ({BITS_SQL})::INTEGER AS failed_bits
 FROM ({MEASURES_SQL.replace("{docs}", "documents")})
 """
+#: Ablations of the current policy, whose mask is every rule.
+ABLATIONS_ORACLE = f"""
+SELECT rule, bit, coalesce(sum(CASE WHEN (failed & bit) <> 0 THEN 1 ELSE 0 END), 0)::BIGINT AS n_failed, coalesce(sum(CASE WHEN failed = bit THEN 1 ELSE 0 END), 0)::BIGINT AS n_only
+FROM (SELECT {BITS_SQL} AS failed FROM ({MEASURES_SQL.replace("{docs}", "documents")})), (VALUES {", ".join(f"('{name}', {BITS[name]})" for name in POLICIES[CURRENT])}) r(rule, bit)
+GROUP BY rule, bit
+"""

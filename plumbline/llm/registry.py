@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fingerprints": op2_fingerprints,
     "op3_token_counts": op3_token_counts,
     "op4_quality_rules": op04_quality_rules.op4_quality_rules,
+    "quality_ablations": op04_quality_rules.quality_ablations,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_line_dedup": op06_line_dedup.op6_line_dedup,
     "op7_substring_dedup": op7_substring_dedup,
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_warc": op01_warc.ORACLE,
     "op4_quality_rules": op04_quality_rules.ORACLE,
+    "quality_ablations": op04_quality_rules.ABLATIONS_ORACLE,
     "op6_line_dedup": op06_line_dedup.ORACLE,
     "op8_mixing": op08_mixing.ORACLE,
 }
