@@ -16,6 +16,9 @@ from pyspark.sql import types as T
 ARROW_BATCH_BYTES = 1 << 20
 ARROW_BATCH_ROWS = 1000
 
+#: Narrow rows that may be broadcast: about 16 MB of them.
+BROADCAST_ROWS = 1_000_000
+
 _own_folder: str | None = None
 
 
@@ -66,10 +69,6 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
-def extra_columns(df: DataFrame, own: list[str]) -> list[str]:
-    return [c for c in df.columns if c not in own]
-
-
-def min_per_key(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    """One row per key: the least value and the number of rows.  Combined before the shuffle, so a hot key is no burden."""
-    return df.groupBy(key).agg(F.min(value).alias(name), F.count(F.lit(1)).alias("n"))
+def small_enough(stored: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a stored table of narrow rows (ids, hashes) may be broadcast: the check of its size."""
+    return stored.count() <= rows

@@ -3,10 +3,11 @@
 A line that stands on many sites is boilerplate.  Each line's sites are counted by a
 HyperLogLog sketch, merged in the tasks before the shuffle and again after it.  Lines
 whose estimate is near the threshold get an exact distinct count, so that no decision
-rests on the sketch's error.  Lines at or over the threshold go from every document;
-but a document of which they make up more than ``MAX_SHARE`` percent of the words is a
-copy of something, not a page around which boilerplate stands, and is left whole for
-the near-duplicate operators.
+rests on the sketch's error.  Lines at or over the threshold go from every document.
+
+With ``spare_copies`` a document without a word outside such lines stays as it is: it is
+a copy of a text that stands on many sites, not a page around which boilerplate stands,
+and where all copies lost all lines none would be left to choose from.
 
 Two lines are the same if they are equal after white space at their ends is cut; lines
 without a word are neither counted nor removed.
@@ -14,7 +15,8 @@ without a word are neither counted nor removed.
 Edge cases: a null text has no lines and stays null; a null site adds nothing to a
 line's spread; a line repeated in a document counts once; documents of equal id are
 handled alike (what is flagged depends on the lines only), a null id counts as an id;
-an empty table gives an empty result; other columns pass through (``remove_boilerplate``).
+an empty table gives an empty result; other columns pass through whatever their names
+(``without_boilerplate``) or are ignored (``line_report``).
 """
 
 from __future__ import annotations
@@ -22,11 +24,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import table, written
+from plumbline.llm.common import small_enough, table, written
 from plumbline.llm.op04_quality_rules import WORD
 
 MIN_SITES = 10
-MAX_SHARE = 50
 #: Sketches of ``2 ** LG_K`` registers: a standard error of 1.04 / 64, so BAND is six of them.
 LG_K = 12
 BAND = 0.1
@@ -55,49 +56,70 @@ def boilerplate_lines(df: DataFrame, site_col: str, text_col: str = "text", min_
     sketched = spread.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites)
     maybe = written(sketched.select("line", F.hll_sketch_estimate("sketch").alias("estimate")).where(F.col("estimate") >= min_sites - near), "line-estimates")
     sure = maybe.where(F.col("estimate") > min_sites + near).select("line")
-    exact = spread.join(maybe.where(F.col("estimate") <= min_sites + near).select("line"), "line", "left_semi").groupBy("line").agg(F.count_distinct("site").alias("n_sites"))
+    close = written(maybe.where(F.col("estimate") <= min_sites + near).select("line"), "line-near")
+    # A line in a third of all documents must not be one task's: each (line, site) is reduced to one row in the
+    # tasks, before the count where the lines to count are few enough to broadcast, and before the join else.
+    if small_enough(close):
+        pairs = spread.join(F.broadcast(close), "line", "left_semi").distinct()
+    else:
+        pairs = spread.distinct().join(close, "line", "left_semi")
+    exact = pairs.groupBy("line").agg(F.count("site").alias("n_sites"))
     return sure.unionByName(exact.where(F.col("n_sites") >= min_sites).select("line"))
 
 
-def remove_boilerplate(df: DataFrame, site_col: str, id_col: str = "doc_id", text_col: str = "text", min_sites: int = MIN_SITES, max_share: int | None = MAX_SHARE) -> DataFrame:
-    """``df`` with ``_kept`` (the text that stays), ``_n_lines`` and ``_n_removed``.  Without ``max_share`` only a
-    document without a line of its own is left whole."""
+def _cut(df: DataFrame, site_col: str, id_col: str, text_col: str, min_sites: int, spare_copies: bool) -> DataFrame:
+    """``row`` (the input's columns) and ``cut``: ``kept`` (the text that stays), ``n_lines`` and ``n_removed``."""
     flagged = written(boilerplate_lines(df, site_col, text_col, min_sites), "boilerplate")
-    own = df.select(F.col(id_col).alias("_id"), F.explode(F.array_distinct(F.transform(_lines(F.col(text_col)), _key))).alias("line"))
-    bad = own.join(flagged, "line").groupBy("_id").agg(F.collect_set("line").alias("_bad"))
-    rows = df.join(bad, df[id_col].eqNullSafe(bad["_id"]), "left").drop(bad["_id"])
-    lines = _lines(F.col(text_col))
-
-    def stays(x: Column) -> Column:
-        return ~(F.array_contains("_bad", _key(x)) & x.rlike(WORD))
-
-    removed = F.filter(lines, lambda x: ~stays(x))
-    of_removed = F.aggregate(removed, F.lit(0).cast("long"), lambda n, x: n + F.regexp_count(x, F.lit(WORD)))
-    n_words = F.regexp_count(text_col, F.lit(WORD))
-    cut = F.when(F.col("_bad").isNotNull(), of_removed < n_words if max_share is None else 100 * of_removed <= max_share * n_words).otherwise(False)
-    return rows.withColumn("_cut", cut).select(
-        *[F.col(f"`{c}`") for c in df.columns],
-        F.when(F.col("_cut"), F.array_join(F.filter(lines, stays), "\n")).otherwise(F.col(text_col)).alias("_kept"),
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("_n_lines"),
-        F.when(F.col("_cut"), F.size(removed)).otherwise(0).cast("long").alias("_n_removed"),
-    )
+    if small_enough(flagged):
+        flagged = F.broadcast(flagged)
+    own = df.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(F.transform(_lines(F.col(text_col)), _key))).alias("line"))
+    bad = own.join(flagged, "line").groupBy("id").agg(F.collect_set("line").alias("bad"))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).alias("own_id"))
+    rows = rows.join(bad, F.col("own_id").eqNullSafe(F.col("id")), "left").select("row", "bad")
+    text = F.col("row").getField(text_col)
+    lines = _lines(text)
+
+    def goes(x: Column) -> Column:
+        return F.array_contains("bad", _key(x)) & x.rlike(WORD)
+
+    removed = F.filter(lines, goes)
+    touched = F.size(removed) > 0
+    if spare_copies:
+        touched = touched & F.exists(lines, lambda x: x.rlike(WORD) & ~goes(x))
+    touched = F.coalesce(F.col("bad").isNotNull() & touched, F.lit(False))
+    kept = F.when(touched, F.array_join(F.filter(lines, lambda x: ~goes(x)), "\n")).otherwise(text)
+    n_removed = F.when(touched, F.size(removed)).otherwise(0).cast("long")
+    return rows.select("row", F.struct(kept.alias("kept"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), n_removed.alias("n_removed")).alias("cut"))
+
+
+def line_report(df: DataFrame, site_col: str, id_col: str = "doc_id", text_col: str = "text", min_sites: int = MIN_SITES, spare_copies: bool = False) -> DataFrame:
+    """``id_col``, ``kept`` (the text that stays), ``n_lines`` and ``n_removed`` of every row."""
+    rows = _cut(df.select(*dict.fromkeys([id_col, site_col, text_col])), site_col, id_col, text_col, min_sites, spare_copies)
+    return rows.select(F.col("row").getField(id_col).alias(id_col), "cut.kept", "cut.n_lines", "cut.n_removed")
+
+
+def without_boilerplate(df: DataFrame, site_col: str, id_col: str = "doc_id", text_col: str = "text", min_sites: int = MIN_SITES, spare_copies: bool = False, length_col: str | None = None) -> DataFrame:
+    """The rows of ``df``, its columns as they are but for the text, and the text's length (``length_col``) where it is cut."""
+    rows = _cut(df, site_col, id_col, text_col, min_sites, spare_copies)
+    new = {text_col: F.col("cut.kept")}
+    if length_col:
+        new[length_col] = F.when(F.col("cut.n_removed") > 0, F.length("cut.kept")).otherwise(F.col("row").getField(length_col)).cast(df.schema[length_col].dataType)
+    return rows.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in df.columns])
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = remove_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "source")
-    return rows.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2(F.coalesce("_kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    rows = line_report(table(spark, sf_dir, "documents"), "source")
+    return rows.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 _HAS_WORD = r"regexp_matches(line, '[^\x20\x09-\x0D]')"
-_N_WORDS = r"len(regexp_extract_all({}, '[^\x20\x09-\x0D]+'))"
 #: Rows ``doc_id, kept, n_lines, n_removed``; for a table whose ids are unique.
 SQL = rf"""
-SELECT d.doc_id, d.text, CASE WHEN cut THEN kept ELSE d.text END AS kept, coalesce(n_lines, 0)::BIGINT AS n_lines, CASE WHEN cut THEN n_bad ELSE 0 END::BIGINT AS n_removed
+SELECT d.doc_id, d.text, coalesce(kept, d.text) AS kept, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_bad, 0)::BIGINT AS n_removed
 FROM {{docs}} d LEFT JOIN (
-    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE bad) AS n_bad, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT bad), '') AS kept,
-           count(*) FILTER (WHERE bad) > 0 AND 100 * coalesce(sum(n_words) FILTER (WHERE bad), 0) <= {MAX_SHARE} * sum(n_words) AS cut
-    FROM (SELECT l.doc_id, l.line, l.pos, l.n_words, f.key IS NOT NULL AND l.has_word AS bad
-          FROM (SELECT doc_id, line, pos, trim(line, e'\t\n\x0b\x0c\r ') AS key, {_N_WORDS.format("line")} AS n_words, {_HAS_WORD} AS has_word
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE bad) AS n_bad, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT bad), '') AS kept
+    FROM (SELECT l.doc_id, l.line, l.pos, f.key IS NOT NULL AND l.has_word AS bad
+          FROM (SELECT doc_id, line, pos, trim(line, e'\t\n\x0b\x0c\r ') AS key, {_HAS_WORD} AS has_word
                 FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM {{docs}})) l
           LEFT JOIN (SELECT key FROM (SELECT source, trim(line, e'\t\n\x0b\x0c\r ') AS key
                                       FROM (SELECT source, unnest(string_split(text, chr(10))) AS line FROM {{docs}}) WHERE {_HAS_WORD})

@@ -82,7 +82,7 @@ def rules_fail(text):
     )
 
 
-def without_boilerplate(rows, min_sites, max_share):
+def without_boilerplate(rows, min_sites, spare_copies=False):
     """(id, site, text) -> text that stays, in order."""
     sites = {}
     for _, site, text in rows:
@@ -93,9 +93,10 @@ def without_boilerplate(rows, min_sites, max_share):
     out = []
     for _, _, text in rows:
         lines = (text or "").split("\n")
-        gone = [x for x in lines if WORD.search(x) and x.strip(ENDS) in bad]
-        if gone and 100 * sum(len(words(x)) for x in gone) <= max_share * len(words(text)):
-            text = "\n".join(x for x in lines if not (WORD.search(x) and x.strip(ENDS) in bad))
+        gone = [WORD.search(x) is not None and x.strip(ENDS) in bad for x in lines]
+        spared = spare_copies and not any(WORD.search(x) and not g for x, g in zip(lines, gone, strict=True))
+        if any(gone) and not spared:
+            text = "\n".join(x for x, g in zip(lines, gone, strict=True) if not g)
         out.append(text)
     return out
 

@@ -13,7 +13,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def expected(rows):
     """Ids and texts that the first four stages leave, in plain Python."""
     rows = [r for r in rows if not any(brute.rules_fail(r[1]))]
-    texts = brute.without_boilerplate([(r[0], r[3], r[1]) for r in rows], op06_line_dedup.MIN_SITES, op06_line_dedup.MAX_SHARE)
+    texts = brute.without_boilerplate([(r[0], r[3], r[1]) for r in rows], op06_line_dedup.MIN_SITES, spare_copies=True)
     rows = [(r[0], t, *r[2:]) for r, t in zip(rows, texts, strict=True)]
     groups = brute.near([(r[0], r[1]) for r in rows], 5, 80)
     rows = [r for r in rows if groups[r[0]][1] == r[0]]
