@@ -10,7 +10,6 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from plumbline.llm import op04_quality_rules, op06_line_dedup, op08_mixing, op09_byte_bpe, op10_minhash
 from plumbline.llm.common import table, written
@@ -20,15 +19,13 @@ MIXTURE = op08_mixing.Mixture(target_percent=80, max_epochs=1)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the current policy keeps."""
+    """Documents without a bit of the current policy's mask in the ledger."""
     return op04_quality_rules.filter_documents(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that stand on many sources; a text of nothing else is left to the next stage."""
-    rows = op06_line_dedup.remove_boilerplate(docs, "source", max_share=None)
-    new = {"text": F.col("_kept"), "n_chars": F.when(F.col("_n_removed") > 0, F.length("_kept")).otherwise(F.col("n_chars")).cast("long")}
-    return rows.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+    return op06_line_dedup.without_boilerplate(docs, "source", spare_copies=True, length_col="n_chars")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
