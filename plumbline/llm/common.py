@@ -72,3 +72,9 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 def small_enough(stored: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether a stored table of narrow rows (ids, hashes) may be broadcast: the check of its size."""
     return stored.count() <= rows
+
+
+def whole_numbers(df: DataFrame, column: str) -> None:
+    """Raises where a column that is to order or name rows is no whole number."""
+    if not isinstance(df.schema[column].dataType, T.IntegralType):
+        raise TypeError(f"{column} must be a whole number, not {df.schema[column].dataType.simpleString()}")

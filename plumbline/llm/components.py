@@ -2,8 +2,9 @@
 
 Alternating large-star and small-star steps (Kiveris et al., 2014): each is an
 aggregation by node, combined before the shuffle, and an equi-join; no node's
-neighbours are ever collected.  The steps end when the edges are stars around the
-least node of each component.
+neighbours are ever collected.  The join has a second key, a few salts, so that it does
+not share the aggregation's exchange and Spark can split a node with a large share of the
+edges.  The steps end when the edges are stars around the least node of each component.
 """
 
 from __future__ import annotations
@@ -14,22 +15,32 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import written
 
 
+#: A node's edges are joined to it by so many keys.
+SALTS = 4
+
+
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
+def _joined(edges: DataFrame, least: DataFrame, node: str, other: str) -> DataFrame:
+    """``edges`` with their node's ``m`` of ``least``."""
+    salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return edges.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int")).join(salted, [node, "salt"])
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Links every larger neighbour of a node to the least node among its neighbours and itself."""
     both = _both_ways(edges)
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+    return _joined(both, least, "a", "b").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Links every smaller neighbour of a node, and the node, to the least of them."""
     down = edges.select(F.greatest("a", "b").alias("n"), F.least("a", "b").alias("x"))
     least = down.groupBy("n").agg(F.min("x").alias("m"))
-    linked = down.join(least, "n").select(F.col("m").alias("a"), F.col("x").alias("b")).where("a <> b")
+    linked = _joined(down, least, "n", "x").select(F.col("m").alias("a"), F.col("x").alias("b")).where("a <> b")
     return linked.unionByName(least.select(F.col("m").alias("a"), F.col("n").alias("b"))).distinct()
 
 

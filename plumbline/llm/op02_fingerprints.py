@@ -32,10 +32,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from plumbline.llm import kernels
-from plumbline.llm.common import map_arrow, table
+from plumbline.llm.common import map_arrow, table, whole_numbers
 from plumbline.llm.kernels import U64, mix
 
 WIDTH = 5
@@ -138,8 +137,7 @@ def with_successor(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     dealt to ranges of their own by a hash of their text.  The texts are shuffled once; the driver sees the cut
     points and the least keys only.
     """
-    if not isinstance(df.schema[id_col].dataType, T.IntegralType):
-        raise TypeError(f"{id_col} must be a whole number")
+    whole_numbers(df, id_col)
     key = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     rows = df.select(F.col(id_col).alias("_id"), key.alias("_key"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     n, nulls = rows.agg(F.count(F.lit(1)), F.count_if(F.col("_id").isNull())).head()

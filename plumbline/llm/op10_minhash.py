@@ -18,10 +18,12 @@ Links are confirmed on full sets, in two steps that never emit the pairs of a gr
    are compared with each other, block by block; blocks have a fixed size, so a large
    bucket is many tasks' work.  Only confirmed links are emitted.
 
-Classes whose sketches agree in less than ``LEAST_AGREEMENT`` of the places are not
-compared on full sets: at likeness 0.8 and 240 places that is six standard deviations low.
+Classes of one bucket whose sketches agree in less than ``least_agreement`` of the places
+are not compared on full sets.  By the Chernoff bound a pair of likeness 0.8 falls under
+0.55 of 240 places with probability 3e-17, less than what 64-bit hashes confuse; 0 turns
+the test off and compares all classes of a bucket on full sets.
 
-Edge cases: a null text, or one without words, has the empty set and links with nothing; a
+Edge cases: ids are whole numbers, or the call fails; a null text, or one without words, has the empty set and links with nothing; a
 text with fewer words than a shingle is one shingle; rows of equal id are one node, which
 has the links of all its texts; a row of null id is kept and links with nothing; an empty
 table gives an empty result; other columns are ignored (``near_duplicates``) or pass
@@ -38,17 +40,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import kernels
-from plumbline.llm.common import map_arrow, table, written
+from plumbline.llm.common import map_arrow, small_enough, table, whole_numbers, written
 from plumbline.llm.components import components
 from plumbline.llm.kernels import U64, mix
 
 COORDINATES, ROWS = 240, 6
 BANDS = COORDINATES // ROWS
-LEAST_AGREEMENT = 0.65
+LEAST_AGREEMENT = 0.55
 #: Classes of one block.  A task compares two blocks at most.
 BLOCK = 128
-#: Ids that may be broadcast: 8 MB of them.
-BROADCAST_IDS = 1_000_000
 _UNSET = np.uint64(2**64 - 1)
 
 
@@ -145,7 +145,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _compare(percent: int):
+def _compare(percent: int, least_agreement: float = LEAST_AGREEMENT):
     """Confirmed links of a group: its left rows against its right rows, where their components differ.
 
     ``band`` is -1, or the bucket's band: then a pair that shares an earlier band's key as well (``keys``) is left to that one.
@@ -168,7 +168,9 @@ def _compare(percent: int):
         out_a, out_b = [], []
         rows = np.flatnonzero(~left)
         for i in np.flatnonzero(left):
-            near = rows[(comps[rows] != comps[i]) & (_agreement(low[rows], low[i]) >= LEAST_AGREEMENT)]
+            near = rows[comps[rows] != comps[i]]
+            if least_agreement > 0 and len(near):
+                near = near[_agreement(low[near], low[i]) >= least_agreement]
             if band > 0 and len(near):
                 near = near[~_shared_before(keys[near], keys[i], band)]
             for j in near:
@@ -186,35 +188,41 @@ def _with_content(rows: DataFrame, content: DataFrame) -> DataFrame:
     return rows.join(content, "id")
 
 
-def links(df: DataFrame, sig: DataFrame, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def links(df: DataFrame, sig: DataFrame, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text", least_agreement: float = LEAST_AGREEMENT) -> DataFrame:
     """``a``, ``b``: confirmed links that connect whatever is linked, between texts of different sets, and
-    from the least id to the others where sets are equal."""
+    from the least id to the others where sets are equal.
+
+    What is aggregated by a key is stored before it is joined on that key: the join then has an exchange of its
+    own, which Spark splits where a key is that of a large share of the rows, or broadcasts where it is small.
+    """
     known = sig.where("id IS NOT NULL AND n_shingles > 0")
-    classes = known.groupBy("s1", "s2", "n_shingles").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
-    same = known.join(classes.where("n > 1"), ["s1", "s2", "n_shingles"]).where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
-    heads = known.join(classes.select("s1", "s2", "n_shingles", F.col("least").alias("id")), ["s1", "s2", "n_shingles", "id"], "left_semi")
+    name = ["s1", "s2", "n_shingles"]
+    repeated = written(known.groupBy(*name).agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*name, "least"), "minhash-classes")
+    of_class = known.join(repeated, name, "left")
+    same = of_class.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    heads = of_class.where("least IS NULL OR id = least")
     rows = heads.select("id", F.posexplode("bands").alias("band", "key"))
-    buckets = rows.groupBy("band", "key").agg(F.min("id").alias("centre"), F.max("id").alias("most")).where("centre <> most").select("band", "key", "centre")
+    buckets = written(rows.groupBy("band", "key").agg(F.min("id").alias("centre"), F.max("id").alias("most")).where("centre <> most").select("band", "key", "centre"), "minhash-centres")
     members = written(rows.join(buckets, ["band", "key"]).select("band", "key", "id", "centre").distinct(), "minhash-buckets")
 
     taking_part = written(members.select("id").distinct(), "minhash-ids")
-    if taking_part.count() <= BROADCAST_IDS:
+    if small_enough(taking_part):
         taking_part = F.broadcast(taking_part)
     content = written(_contents(df, taking_part, width, id_col, text_col), "minhash-sets")
 
     stars = members.where("id <> centre").select("centre", "id").distinct().withColumn("part", F.pmod(F.xxhash64("id"), F.lit(1 << 20)))
-    sizes = stars.groupBy("centre").agg(F.count(F.lit(1)).alias("n"))
+    sizes = written(stars.groupBy("centre").agg(F.count(F.lit(1)).alias("n")), "minhash-sizes")
     stars = stars.join(sizes, "centre").select("centre", "id", F.pmod("part", F.ceil(F.col("n") / BLOCK)).alias("part"))
     spokes = stars.select("centre", "part", "id", F.lit(False).alias("is_left"))
     hubs = stars.select("centre", "part").distinct().select("centre", "part", F.col("centre").alias("id"), F.lit(True).alias("is_left"))
     first = _with_content(spokes.unionByName(hubs), content).select("centre", "part", "id", "is_left", F.lit(-1).alias("band"), F.xxhash64("id", "sketch", "n_shingles").alias("component"), "sketch", "shingles")
-    found = written(first.groupBy("centre", "part").applyInArrow(_compare(percent), "a long, b long"), "minhash-stars")
+    found = written(first.groupBy("centre", "part").applyInArrow(_compare(percent, least_agreement), "a long, b long"), "minhash-stars")
 
     labels = written(components(found), "minhash-labels").withColumnRenamed("node", "id")
     open_ = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")).select("band", "key", "id", "component")
     parts = open_.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("n"))
     unsettled = parts.groupBy("band", "key").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n_all"), F.max(F.struct("n", "component")).alias("main")).where("parts > 1")
-    unsettled = unsettled.select("band", "key", F.col("main.component").alias("main"), "n_all", (F.col("n_all") - F.col("main.n")).alias("n_others"))
+    unsettled = written(unsettled.select("band", "key", F.col("main.component").alias("main"), "n_all", (F.col("n_all") - F.col("main.n")).alias("n_others")), "minhash-open")
     rows = written(open_.join(unsettled, ["band", "key"]), "minhash-unsettled")
     # Every pair of different components has a row outside the main one: those rows, in blocks, meet all rows, in blocks.
     left_blocks, right_blocks = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("n_others", "n_all"))
@@ -223,7 +231,7 @@ def links(df: DataFrame, sig: DataFrame, width: int, percent: int, id_col: str =
     rights = rows.withColumn("j", F.pmod(own, right_blocks).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), left_blocks - 1))).withColumn("is_left", F.lit(False))
     columns = ["band", "key", "i", "j", "id", "component", "is_left"]
     second = _with_content(lefts.select(columns).unionByName(rights.select(columns)), content).select(*columns, "sketch", "shingles", "keys")
-    more = second.groupBy("band", "key", "i", "j").applyInArrow(_compare(percent), "a long, b long")
+    more = written(second.groupBy("band", "key", "i", "j").applyInArrow(_compare(percent, least_agreement), "a long, b long"), "minhash-links")
     return same.unionByName(found).unionByName(more)
 
 
@@ -242,20 +250,21 @@ def _contents(df: DataFrame, ids: DataFrame, width: int, id_col: str, text_col:
     return map_arrow(rows, run, "id long, n_shingles long, sketch binary, shingles binary, keys binary").where("n_shingles > 0")
 
 
-def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", least_agreement: float = LEAST_AGREEMENT) -> DataFrame:
     """``id``, ``n_shingles``, ``component_id`` (the least id reachable) and ``kept`` of every row."""
+    whole_numbers(df, id_col)
     sig = written(signatures(df, width, id_col, text_col), "minhash-signatures")
-    labels = written(components(links(df, sig, width, percent, id_col, text_col)), "minhash-components")
+    labels = written(components(links(df, sig, width, percent, id_col, text_col, least_agreement)), "minhash-components")
     out = sig.select("id", "n_shingles").join(labels, sig["id"] == labels["node"], "left")
     component = F.coalesce("component", "id")
     return out.select("id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
-def deduplicated(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", least_agreement: float = LEAST_AGREEMENT) -> DataFrame:
     """The rows of ``df``, all columns as they are, without those linked to a lesser id.  Texts are not shuffled unless
     the ids to drop are too many to broadcast.  Of rows of one id, all stay or none."""
-    drop = written(near_duplicates(df, width, percent, id_col, text_col).where("NOT kept").select(F.col("id").alias("_drop")).distinct(), "minhash-dropped")
-    if drop.count() <= BROADCAST_IDS:
+    drop = written(near_duplicates(df, width, percent, id_col, text_col, least_agreement).where("NOT kept").select(F.col("id").alias("_drop")).distinct(), "minhash-dropped")
+    if small_enough(drop):
         drop = F.broadcast(drop)
     return df.join(drop, df[id_col].cast("long") == drop["_drop"], "left_anti")
 

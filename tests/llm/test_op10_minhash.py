@@ -86,3 +86,33 @@ def test_query(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in op.op10_minhash(spark, "/root/testdata/sf0.001").collect()}
     assert got == brute.near(docs, 2, 80)
+
+
+def test_exact_setting_gives_the_same(spark):
+    rng = random.Random(8)
+    texts = [*family(rng, 50, 60, 14, "a"), *family(rng, 50, 20, 4, "b")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute.near(list(enumerate(texts)), 2, 80)
+    for least in (0.0, op.LEAST_AGREEMENT):
+        assert {r.id: (r.n_shingles, r.component_id) for r in op.near_duplicates(df, 2, 80, least_agreement=least).collect()} == want
+
+
+def test_ids_must_be_whole_numbers(spark):
+    with pytest.raises(TypeError, match="whole number"):
+        op.near_duplicates(spark.createDataFrame([("x", "a b")], "doc_id string, text string"))
+
+
+def test_recall_near_the_threshold():
+    """Share of linked pairs that meet in a bucket and pass the sketches' test, over likenesses from 0.8."""
+    rng = np.random.default_rng(11)
+    met = {0.80: [], 0.85: [], 0.90: []}
+    for likeness in met:
+        n = 300
+        union = round(n * 2 / (1 + likeness))
+        for _ in range(400):
+            pool = rng.choice(2**62, union, replace=False).astype(np.uint64)
+            a, b = np.sort(pool[:n]), np.sort(pool[union - n :])
+            s = op.sketches(np.concatenate([a, b]), np.array([0, n, 2 * n]))
+            keys, low = op.bands(s), (s & np.uint64(255)).astype(np.uint8)
+            met[likeness].append(bool((keys[0] == keys[1]).any()) and op._agreement(low[0], low[1]) >= op.LEAST_AGREEMENT)
+    assert all(np.mean(x) == 1 for x in met.values())
