@@ -210,14 +210,14 @@ def read_headers(manifest: DataFrame) -> DataFrame:
 def resolve(headers: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """``headers`` with ``original`` (struct; null for a record that is not to be a revisit).
 
-    The originals are aggregated in the tasks before the shuffle, and the join lets Spark split a
-    digest that a large share of the records has.
+    The originals are aggregated in the tasks before the shuffle and stored, so that the join has an exchange
+    of its own, in which Spark can split a digest that a large share of the records has.
     """
     who = F.struct(F.col("page_id").isNull().alias("last"), "page_id", "record_id", "url", "date")
     originals = headers.where((F.col("kind") == "response") & (F.col("payload_bytes") >= min_bytes)).groupBy("digest").agg(F.min(who).alias("original"), F.count(F.lit(1)).alias("copies"))
     # A digest of one response alone changes nothing but for revisits that came with the input.
     revisits = headers.where(F.col("kind") == "revisit").select("digest").distinct().withColumn("asked", F.lit(True))
-    originals = originals.join(revisits, "digest", "left").where((F.col("copies") > 1) | F.col("asked")).select("digest", "original")
+    originals = written(originals.join(revisits, "digest", "left").where((F.col("copies") > 1) | F.col("asked")).select("digest", "original"), "warc-originals")
     joined = headers.join(originals, "digest", "left")
     return joined.withColumn("original", F.when(F.col("original.record_id") != F.col("record_id"), F.col("original"))).select(*headers.columns, "original")
 
