@@ -15,11 +15,12 @@ also starts in a text of smaller id.  Two passes find such windows:
 Texts equal to one of smaller id are settled beforehand (all their windows are repeated) and
 take no part.  The chunks are a table bucketed by chunk in the shared folder: each pass joins
 its answers to the texts without shuffling these.  All sizes follow the input: larger corpora
-get larger chunks and blocks.
+get larger chunks and blocks, up to sizes that a task's memory sets; a block's group is then its
+``2 ** MOST_BLOCK_BITS`` counters and about a quarter as many windows, whatever the corpus has.
 
 Words are maximal runs of bytes other than space and ``\\t \\n \\v \\f \\r``, unchanged.
 
-Edge cases: a null or empty text has no words; a text of fewer than ``WIDTH`` words has no
+Edge cases: ids are whole numbers, or the call fails; a null or empty text has no words; a text of fewer than ``WIDTH`` words has no
 window and keeps all; rows of equal id do not take from each other; a null id counts as larger
 than all others; an empty table gives an empty result; other columns are ignored, whatever
 their names.
@@ -29,17 +30,17 @@ from __future__ import annotations
 
 import hashlib
 import math
-import secrets
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import kernels
-from plumbline.llm.common import map_arrow, scratch_path, table, written
+from plumbline.llm.common import map_arrow, scratch_path, table, whole_numbers, written
 from plumbline.llm.kernels import U64, mix
 
 WIDTH = 13
@@ -59,15 +60,19 @@ def _chunk_bytes(total: int) -> int:
 def chunk_table(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
     """Texts dealt to chunks in the order they are read, as a bucketed table; and the number of words.
 
+    A chunk is named by its task's partition and its number there, so no two tasks share one and a task that is run
+    again gives the same names.
+
     Columns ``chunk``, ``row``, ``id``, ``text``, ``digest`` (of the text) and ``n_words``.
     """
+    whole_numbers(df, id_col)
     spark = df.sparkSession
     rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     size = _chunk_bytes(total)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, n, room, row = secrets.randbits(42) << 20, 0, size, 0
+        own, n, room, row = TaskContext.get().partitionId() << 32, 0, size, 0
         for batch in batches:
             chunk, place, digest, words = [], [], [], []
             for x in batch.column(1):
@@ -87,7 +92,10 @@ def chunk_table(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, i
     buckets = max(1, min(20_000, math.ceil(total / (2 * size))))
     chunks.write.bucketBy(buckets, "chunk").option("path", scratch_path(spark, "substring-chunks")).saveAsTable(name)
     out = spark.table(name)
-    return out, out.agg(F.sum("n_words")).head()[0] or 0
+    n_words = out.agg(F.sum("n_words")).head()[0] or 0
+    # ``out`` holds the files and their buckets; the catalog's entry is no longer needed.
+    spark.sql(f"DROP TABLE {name}")
+    return out, n_words
 
 
 class Chunk:
@@ -261,7 +269,8 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     windows_of_chunk = max(1, _chunk_bytes(6 * n_words) // 6)
     block_bits = min(max(BLOCK_BITS, bits - int(math.log2(max(1, windows_of_chunk / 512)))), MOST_BLOCK_BITS)
 
-    least = chunks.groupBy("digest").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Stored first, so that the join has an exchange of its own: a digest of a large share of the texts can be split there.
+    least = written(chunks.groupBy("digest").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "least"), "substring-digests")
     copies = written(chunks.select("chunk", "row", "id", "digest").join(least, "digest").where("id > least").select("chunk", "row"), "substring-copies")
     by_chunk = chunks.select("chunk", "row", "id", "text").groupBy("chunk")
 
