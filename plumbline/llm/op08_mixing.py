@@ -12,11 +12,13 @@ left.  The prefix's end is found in two steps, so that no leaf is ordered in one
 sums by hash bucket give the bucket in which it falls, and only that bucket's documents
 are ordered.  A token is a word (a maximal run without white space).
 
-All sums are whole numbers; budget times the sum of weights must stay below 2 ** 63.
+All sums are whole numbers; products of tokens and weights are decimals of 38 digits, so a
+budget of 10 ** 14 tokens over 10 ** 6 sources is far from their end.  The children of one
+node are ordered in one task, so a node should have less than some ten million of them.
 
 Edge cases: a null text has no tokens; a null language or source is a leaf value of its
 own; a leaf without tokens gives nothing; documents of equal id in a leaf fall on the same
-side; an empty table gives an empty result; other columns pass through (``mix``).
+side; an empty table gives an empty result; other columns pass through whatever their names (``mix``).
 """
 
 from __future__ import annotations
@@ -71,6 +73,10 @@ def token_table(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", *_leaf_columns(), n.alias("n_tokens"))
 
 
+def _wide(name: str) -> Column:
+    return F.col(name).cast("decimal(38,0)")
+
+
 def _shared_out(children: DataFrame, parents: list[str], name: str) -> DataFrame:
     """``children`` with ``budget``: the parent's ``parent_budget`` shared by ``weight`` within ``cap``.
 
@@ -81,10 +87,10 @@ def _shared_out(children: DataFrame, parents: list[str], name: str) -> DataFrame
     before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
     group = Window.partitionBy(*parents)
     out = children.withColumn("_left", F.col("parent_budget") - F.coalesce(F.sum("cap").over(before), F.lit(0))).withColumn("_weights", F.sum("weight").over(after))
-    out = out.withColumn("_full", F.col("cap") * F.col("_weights") <= F.col("weight") * F.col("_left"))
+    out = out.withColumn("_full", _wide("cap") * _wide("_weights") <= _wide("weight") * _wide("_left"))
     out = out.withColumn("_rest", F.col("parent_budget") - F.sum(F.when(F.col("_full"), F.col("cap")).otherwise(0)).over(group))
     out = out.withColumn("_rest_weights", F.sum(F.when(F.col("_full"), 0).otherwise(F.col("weight"))).over(group))
-    budget = F.when(F.col("_full"), F.col("cap")).otherwise(F.expr("least(cap, (weight * _rest) div greatest(_rest_weights, 1))"))
+    budget = F.when(F.col("_full"), F.col("cap")).otherwise(F.expr("least(cap, cast(weight AS decimal(38, 0)) * cast(_rest AS decimal(38, 0)) div greatest(_rest_weights, 1))"))
     return out.withColumn("budget", budget).drop("_left", "_weights", "_full", "_rest", "_rest_weights")
 
 
@@ -141,12 +147,10 @@ def selected(docs: DataFrame, mixture: Mixture) -> DataFrame:
 
 def mix(docs: DataFrame, mixture: Mixture) -> DataFrame:
     """The rows of ``docs``, all columns as they are, each as often as its leaf's epochs hold it.  Texts are not shuffled."""
-    cuts = _small(leaf_cuts(written(token_table(docs), "mix-tokens"), mixture)).select(*[F.col(c).alias(f"_leaf_{c}") for c in LEVELS], F.col("epochs").alias("_epochs"), F.col("cut").alias("_cut"))
-    leaf = F.struct(*_leaf_columns())
-    rows = docs.withColumn("_leaf", leaf).join(cuts, [F.col(f"_leaf.{c}") == F.col(f"_leaf_{c}") for c in LEVELS])
-    h = F.md5(F.concat_ws(":", F.lit(str(mixture.seed)), F.col("_epochs").cast("string"), _id_text()).cast("binary"))
-    copies = (F.col("_epochs") + F.when(h <= F.col("_cut"), 1).otherwise(0)).cast("int")
-    return rows.withColumn("_copies", copies).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    cuts = _small(leaf_cuts(written(token_table(docs), "mix-tokens"), mixture)).select(*LEVELS, "epochs", "cut")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_leaf_columns(), F.col("doc_id"))
+    taken = rows.join(cuts, LEVELS).withColumn("copies", _copies(mixture)).where("copies > 0")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

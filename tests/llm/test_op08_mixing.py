@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import op08_mixing as op
 from tests.llm import brute
@@ -20,9 +21,13 @@ def test_against_plain_python(spark, percent, epochs):
     want = brute.mix(data, mixture, op.DOMAINS)
     got = [(r.doc_id, r.n_tokens, r.copies) for r in op.selected(df, mixture).collect()]
     assert sorted(got, key=str) == sorted(((data[n][0], len(brute.words(data[n][3])), c) for n, c in want.items()), key=str)
+    clash = ["_leaf", "_copies", "_copy", "_epochs", "_cut", "_leaf_lang", "row", "copies", "copy", "epochs", "cut", "domain"]
+    df = df.select("*", *[F.lit(c).alias(c) for c in clash])
     mixed = op.mix(df, mixture)
     assert mixed.columns == df.columns
-    assert sorted(((r.doc_id, r.text) for r in mixed.collect()), key=str) == sorted(((data[n][0], data[n][3]) for n, c in want.items() for _ in range(c)), key=str)
+    mixed = mixed.collect()
+    assert all([r[c] for c in clash] == clash for r in mixed)
+    assert sorted(((r.doc_id, r.text) for r in mixed), key=str) == sorted(((data[n][0], data[n][3]) for n, c in want.items() for _ in range(c)), key=str)
 
 
 def test_shortage_goes_to_siblings_first(spark):
@@ -39,3 +44,11 @@ def test_empty_and_native(spark):
     assert op.selected(df, op.Mixture()).count() == 0 and op.mix(df, op.Mixture()).count() == 0
     plan = op.mix(df, op.Mixture())._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_budgets_of_a_huge_corpus_do_not_overflow(spark):
+    """10 ** 14 tokens of leaves whose weights make products beyond 64 bits."""
+    leaves = spark.createDataFrame([(i, "en", f"src{4 * i}", 10**12) for i in range(100)], "doc_id long, lang string, source string, n_tokens long").withColumn("domain", F.lit("web"))
+    got = op.budgets(leaves, op.Mixture(sources={f"src{4 * i}": 10**9 + i for i in range(100)}, target_percent=50, max_epochs=1))
+    shares = [r.budget for r in got.collect()]
+    assert len(shares) == 100 and 0 <= 50 * 10**12 - sum(shares) <= 100 and all(0 < x <= 10**12 for x in shares)
