@@ -1,10 +1,12 @@
 """Byte-level BPE encoding and decoding with tiktoken and a local rank file.
 
-A long text is cut into blocks at safe boundaries: just before a single space
-that stands between two non-white characters.  No match of the split pattern
-runs across such a place, since every alternative is either white space only or
-one optional space followed by non-white characters of one kind.  So the blocks
-can be encoded alone, and their ids joined are the ids of the text.
+A long text is cut into blocks at safe boundaries: before a space, tab, line feed or
+carriage return that follows a non-white character, and between a letter or digit and a
+mark other than an apostrophe.  No match of the split pattern runs across such a place
+or looks beyond it: a match is white space only, or an optional space and characters of
+one kind, or an apostrophe and letters, and only matches of white space look ahead.  So
+the blocks can be encoded alone, and their ids joined are the ids of the text.  What
+stays whole is what the pattern itself takes as one match, such as a run of letters.
 
 Edge cases: a null text counts as empty; an empty text has no ids, and both
 digests are those of the empty string; rows are kept one for one, repeated rows
@@ -25,9 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm.common import map_arrow, table
 
-#: Characters of a block; a text without a safe boundary stays whole.
+#: Characters of a block, at least.
 BLOCK_CHARS = 1 << 16
-_SAFE = re.compile(r"(?<=\S)(?= \S)")
+#: White space and marks that every version of the character tables has as such.
+_SAFE = re.compile(r"(?<=\S)(?=[ \t\n\r])|(?<=[^\W_])(?=[!-&(-/:-@\[-^`{-~\u3001\u3002\uff0c\uff01\uff1f\u300c\u300d])")
 
 
 def load_encoding(path: str, pattern: str) -> tiktoken.Encoding:
