@@ -6,9 +6,11 @@ places.  Each place is scaled by its class log-count ratio, each text to unit le
 and a linear model with hinge loss is fitted by dual coordinate descent.
 
 Fitting takes at most ``SAMPLE_ROWS`` labelled rows, those of least hash of their id.
-They are dealt to ``SHARDS`` tasks, which each solve their own dual; the models are
-averaged.  A share of the sample is kept back to turn margins into probabilities.
-The driver holds vectors of the hashed size, and a margin for each row kept back.
+One task solves their dual, until the duality gap, which bounds the distance from the
+optimum, is ``GAP`` of the objective, or for ``EPOCHS``: the sample's size is fixed, whatever
+the corpus has, and its indicators are some hundred megabytes.  A share of the sample is
+kept back to turn margins into probabilities.  The driver holds vectors of the hashed
+size, and a margin for each row kept back.
 Scoring is one pass over the documents, without a shuffle.
 
 Edge cases: a null or empty text has no indicators and gets the score of the bias;
@@ -36,11 +38,13 @@ from plumbline.llm.kernels import U64, mix
 HASH_BITS = 18
 PLACES = 1 << HASH_BITS
 SAMPLE_ROWS = 16_000
-SHARDS = 8
+#: One row in so many is kept back.
+KEPT_BACK = 5
 FOLDS = 5
 THRESHOLD = 0.3
 COST = 1.0
-EPOCHS = 12
+#: The most passes over the sample, and the duality gap to reach, relative to the objective.
+EPOCHS, GAP = 60, 0.01
 #: Share of the model's own weights against their mean size, as in the published method.
 INTERPOLATION = 0.25
 
@@ -120,10 +124,13 @@ def log_count_ratios(in_class: np.ndarray, in_other: np.ndarray) -> np.ndarray:
     return np.log(p / p.sum()) - np.log(q / q.sum())
 
 
-def dual_coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int, cost: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> np.ndarray:
-    """Weights of the L1-loss support vector machine: one dual variable at a time, in a fresh random order each epoch."""
-    w, alpha = np.zeros(size), np.zeros(len(rows))
-    norm = np.array([x @ x for _, x in rows])
+def dual_coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int, cost: np.ndarray, epochs: int = EPOCHS, gap: float = GAP, seed: int = 7) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """Weights and dual variables of the L1-loss support vector machine, and the relative duality gap after each epoch.
+
+    One dual variable at a time, in a fresh random order each epoch.
+    """
+    w, alpha, gaps = np.zeros(size), np.zeros(len(rows)), []
+    norm = np.array([float(x @ x) for _, x in rows])
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
@@ -132,7 +139,12 @@ def dual_coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.nda
             if new != alpha[i]:
                 w[at] += (new - alpha[i]) * y[i] * x
                 alpha[i] = new
-    return w
+        loss = sum(c * max(0.0, 1 - t * float(w[at] @ x)) for (at, x), t, c in zip(rows, y, cost, strict=True))
+        objective = w @ w / 2 + loss
+        gaps.append(float((objective + w @ w / 2 - alpha.sum()) / objective))
+        if gaps[-1] <= gap:
+            break
+    return w, alpha, gaps
 
 
 def fit_sigmoid(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -157,20 +169,20 @@ def held_out(id_col: Column | str) -> Column:
 
 
 def _sample(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int) -> DataFrame:
-    """At most ``rows`` labelled documents as indicators: ``shard`` (-1: kept back), ``y``, ``places``."""
+    """At most ``rows`` labelled documents as indicators: ``kept_back``, ``y``, ``key`` (to order rows by), ``places``."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg((F.min(label_col) > 0).alias("_y"))
     picked = known.orderBy(F.xxhash64("_id"), "_id").limit(rows)
     docs = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_id")
-    part = F.pmod(F.xxhash64(F.lit("shard"), F.col("_id")), F.lit(SHARDS * 5))
-    docs = docs.select(F.when(part < SHARDS, -1).otherwise(F.pmod(part, F.lit(SHARDS))).cast("int").alias("shard"), F.col("_y").alias("y"), "_text")
+    back = F.pmod(F.xxhash64(F.lit("kept back"), F.col("_id")), F.lit(KEPT_BACK)) == 0
+    docs = docs.select(back.alias("kept_back"), F.col("_y").alias("y"), F.xxhash64("_id").alias("key"), "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places, bounds = features(batch.column(2))
+            places, bounds = features(batch.column(3))
             packed = [places[bounds[i] : bounds[i + 1]].tobytes() for i in range(len(batch))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["shard", "y", "places"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(packed, pa.binary())], names=["kept_back", "y", "key", "places"])
 
-    return written(map_arrow(docs, run, "shard int, y boolean, places binary"), "classifier-sample")
+    return written(map_arrow(docs, run, "kept_back boolean, y boolean, key long, places binary"), "classifier-sample")
 
 
 def _rows_of(column: pa.Array) -> list[np.ndarray]:
@@ -188,37 +200,46 @@ def _class_counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(counts.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[0][at]), pa.array(counts[1][at])], names=["place", "zeros", "ones"])
 
-    total = map_arrow(sample.where("shard >= 0").select("y", "places"), run, "place long, zeros double, ones double").groupBy("place").agg(F.sum("zeros"), F.sum("ones")).toArrow()
+    total = map_arrow(sample.where("NOT kept_back").select("y", "places"), run, "place long, zeros double, ones double").groupBy("place").agg(F.sum("zeros"), F.sum("ones")).toArrow()
     counts = np.zeros((2, PLACES))
     for k in (0, 1):
         counts[k][total.column(0).to_numpy()] = total.column(k + 1).to_numpy()
     return counts[0], counts[1]
 
 
+def scaled(places: np.ndarray, ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A row's places and values at unit length, and one more place for the bias."""
+    x = ratios[places]
+    return np.append(places, PLACES).astype(np.int32), np.append(x / (np.sqrt(x @ x) or 1.0), 1.0).astype(np.float32)
+
+
+def solved(sample: DataFrame, ratios: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, list[float]]:
+    """Weights (the bias last) of the sample's support vector machine, and the relative duality gap after each epoch."""
+    sent = sample.sparkSession.sparkContext.broadcast(ratios)
+
+    def solve(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("key", "ascending"), ("places", "ascending")])
+        y = np.array(rows.column("y").to_pylist(), int)
+        own = [scaled(places, sent.value) for places in _rows_of(rows.column("places").combine_chunks())]
+        w, _, gaps = dual_coordinate_descent(own, 2 * y - 1, PLACES + 1, cost[y])
+        return pa.table({"w": pa.array([w.tobytes()], pa.binary()), "gaps": pa.array([gaps], pa.list_(pa.float64()))})
+
+    one = sample.where("NOT kept_back").select(F.lit(0).alias("sample"), "y", "key", "places")
+    found = one.groupBy("sample").applyInArrow(solve, "w binary, gaps array<double>").head()
+    return np.frombuffer(found.w), list(found.gaps)
+
+
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = SAMPLE_ROWS) -> Model:
     sample = _sample(df, labels, id_col, text_col, label_col, rows)
-    zeros, ones = sample.where("shard >= 0").agg(F.count_if(~F.col("y")), F.count_if("y")).head()
+    zeros, ones = sample.where("NOT kept_back").agg(F.count_if(~F.col("y")), F.count_if("y")).head()
     if not zeros or not ones:
         share = 0.5 if not zeros + ones else float(ones > 0)
         return Model(np.zeros(PLACES), np.zeros(PLACES), 0.0, 1.0, {0.0: -500.0, 0.5: 0.0, 1.0: 500.0}[share])
     counts = _class_counts(sample)
     ratios = log_count_ratios(counts[1], counts[0])
-    shared, cost = sample.sparkSession.sparkContext.broadcast(ratios), (COST * (zeros + ones) / (2 * zeros), COST * (zeros + ones) / (2 * ones))
-
-    def solve(shard: pa.Table) -> pa.Table:
-        y = np.array(shard.column("y").to_pylist(), int)
-        rows = []
-        for places in _rows_of(shard.column("places").combine_chunks()):
-            x = shared.value[places]
-            length = np.sqrt(x @ x) or 1.0
-            rows.append((np.append(places, PLACES), np.append(x / length, 1.0)))
-        w = dual_coordinate_descent(rows, 2 * y - 1, PLACES + 1, np.array(cost)[y])
-        return pa.table({"w": pa.array([w.astype(np.float32).tobytes()], pa.binary()), "n": pa.array([len(y)], pa.int64())})
-
-    solved = sample.where("shard >= 0").groupBy("shard").applyInArrow(solve, "w binary, n long").collect()
-    mean = sum(np.frombuffer(r.w, np.float32).astype(float) * r.n for r in solved) / sum(r.n for r in solved)
-    w = mean[:PLACES]
-    model = Model(ratios, (1 - INTERPOLATION) * np.abs(w).mean() + INTERPOLATION * w, float(mean[PLACES]) * INTERPOLATION, 1.0, 0.0)
+    w = solved(sample, ratios, np.array([COST * (zeros + ones) / (2 * zeros), COST * (zeros + ones) / (2 * ones)]))[0]
+    own, bias = w[:PLACES], float(w[PLACES])
+    model = Model(ratios, (1 - INTERPOLATION) * np.abs(own).mean() + INTERPOLATION * own, bias, 1.0, 0.0)
     sent = sample.sparkSession.sparkContext.broadcast(model)
 
     def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +248,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
             bounds = np.concatenate([[0], np.cumsum([len(x) for x in own])])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sent.value.margins(np.concatenate([*own, np.zeros(0, np.int32)]), bounds))], names=["y", "margin"])
 
-    back = map_arrow(sample.where("shard < 0").select("y", "places"), margins, "y boolean, margin double").toArrow()
+    back = map_arrow(sample.where("kept_back").select("y", "places"), margins, "y boolean, margin double").toArrow()
     if len(back):
         model.slope, model.offset = fit_sigmoid(back.column(1).to_numpy(), np.array(back.column(0).to_pylist(), int))
     return model
