@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.hashing import draw
+from plumbline.functions.hashing import draw, draws
 from plumbline.session import settled
 
 Z = 1.96
+#: Rows of a table of occurrences that may be broadcast: some ten megabytes.
+BROADCAST_ROWS = 200_000
 
 
 def clean(value: Column | str) -> Column:
@@ -115,6 +117,18 @@ def resampled_datasets(config: DataFrame, replicates: int, seed: int) -> DataFra
     return drawn.select("replicate", "task", "task_no", "slot", "place").join(placed.select("task", "place", "dataset"), ["task", "place"]).select("replicate", "task", "task_no", "slot", "dataset")
 
 
+def _raw_lists(scores: DataFrame) -> DataFrame:
+    """A row for each model and dataset with its raw scores in their order, a short list."""
+    raw = scores.select("model", "model_no", "dataset", "position", clean("raw").alias("raw")).where("raw IS NOT NULL")
+    return raw.groupBy("model", "model_no", "dataset").agg(F.transform(F.sort_array(F.collect_list(F.struct("position", "raw"))), lambda x: x["raw"]).alias("raws"))
+
+
+def _resampled_mean(seed: int, *keys: Column) -> Column:
+    """Mean of as many draws with replacement from ``raws`` as it has."""
+    n = F.size("raws")
+    return F.aggregate(draws(n, seed, *keys), F.lit(0.0), lambda a, x: a + F.get(F.col("raws"), (x % n).cast("int"))) / n
+
+
 def bootstrap_scores(scores: DataFrame, config: DataFrame, replicates: int = 100, seed: int = 42) -> DataFrame:
     """``replicate``, ``model``, ``language`` (null: overall), ``score``.
 
@@ -123,13 +137,13 @@ def bootstrap_scores(scores: DataFrame, config: DataFrame, replicates: int = 100
     of an occurrence are made within its row: rows grow with occurrences and not with draws.
     ``scores`` needs ``model_no`` (a whole number) and ``position`` (the order of a model's raw scores).
     """
-    lists = scores.select("model", "model_no", "dataset", "position", clean("raw").alias("raw")).where("raw IS NOT NULL").groupBy("model", "model_no", "dataset").agg(F.transform(F.sort_array(F.collect_list(F.struct("position", "raw"))), lambda x: x["raw"]).alias("raws"))
-    occurrences = resampled_datasets(config, replicates, seed).join(dataset_stats(scores).where("sd > 0"), "dataset").join(lists, "dataset")
-    n = F.size("raws")
-    drawn = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.element_at("raws", (draw(seed + 1, F.col("replicate"), F.col("task_no"), F.col("slot"), F.col("model_no"), k) % n + 1).cast("int")))
-    mean = F.aggregate(drawn, F.lit(0.0), lambda a, x: a + x) / n
-    ranked = occurrences.select("replicate", "model", "task", "dataset", (1 + (F.col("best") - mean) / F.col("sd")).alias("rank_score"))
-    return hierarchy(ranked.drop("task"), config, ["replicate"])
+    occurrences = resampled_datasets(config, replicates, seed).join(dataset_stats(scores).where("sd > 0"), "dataset")
+    if occurrences.count() <= BROADCAST_ROWS:
+        # Replicates times slots, whatever the number of models: the lists stay where they are, in as many tasks.
+        occurrences = F.broadcast(occurrences)
+    mean = _resampled_mean(seed + 1, F.col("replicate"), F.col("task_no"), F.col("slot"), F.col("model_no"))
+    ranked = _raw_lists(scores).join(occurrences, "dataset").select("replicate", "model", "dataset", (1 + (F.col("best") - mean) / F.col("sd")).alias("rank_score"))
+    return hierarchy(ranked, config, ["replicate"])
 
 
 def bootstrap_intervals(boot: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -138,11 +152,9 @@ def bootstrap_intervals(boot: DataFrame, alpha: float = 0.05) -> DataFrame:
 
 def dataset_rank_intervals(scores: DataFrame, replicates: int = 100, seed: int = 42, alpha: float = 0.05, digits: int = 6) -> DataFrame:
     """``model``, ``dataset``, ``lower``, ``median``, ``upper`` of the rank score with the dataset's best mean and deviation fixed."""
-    lists = scores.select("model", "model_no", "dataset", "position", clean("raw").alias("raw")).where("raw IS NOT NULL").groupBy("model", "model_no", "dataset").agg(F.transform(F.sort_array(F.collect_list(F.struct("position", "raw"))), lambda x: x["raw"]).alias("raws"))
     stats = dataset_stats(scores).withColumn("sd", F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0))
-    n = F.size("raws")
-    rows = lists.join(stats, "dataset").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    mean = F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.element_at("raws", (draw(seed, F.col("replicate"), F.col("model_no"), k) % n + 1).cast("int"))), F.lit(0.0), lambda a, x: a + x) / n
+    rows = _raw_lists(scores).join(stats, "dataset").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    mean = _resampled_mean(seed, F.col("replicate"), F.col("model_no"))
     out = percentile_interval(rows.select("model", "dataset", (1 + (F.col("best") - mean) / F.col("sd")).alias("score")), ["model", "dataset"], "score", alpha)
     return out.select("model", "dataset", *[F.bround(c, digits).alias(c) for c in ("lower", "median", "upper")])
 
