@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.hashing import draw
+
 
 def weighted_distance(a: str, b: str, insert: int, delete: int, substitute: int) -> int:
     """Least cost of turning ``a`` into ``b``."""
@@ -152,15 +154,116 @@ def prompt(prefix: str, template: str, few_shot: Column, fields: dict[str, Colum
     return F.concat_ws("\n\n", F.nullif(F.lit(prefix), F.lit("")), few_shot, body)
 
 
-def corrupted(tokens: Column, key: Column, seed: int = 4242) -> Column:
-    """``kind`` and ``tokens``: two different neighbours swapped, or one token deleted, by a seeded draw.
+#: Parts of speech without which a sentence may still be right, nouns, and those that are no words.
+DISPENSABLE, NOUNS, MARKS = ["ADJ", "ADV", "PUNCT", "SYM", "DET", "NUM", "PART"], ["NOUN", "PROPN"], ["PUNCT", "SYM"]
+
+
+def _picked(places: Column, number: Column) -> Column:
+    return F.get(places, (number % F.greatest(F.size(places), F.lit(1))).cast("int"))
+
+
+def deleted(tokens: Column, tags: Column, number: Column) -> Column:
+    """``tokens`` without one: not of a kind a sentence can do without, nor a noun beside a noun; null if none is left."""
+    noun = lambda i: F.coalesce(F.get(tags, i).isin(*NOUNS), F.lit(False))
+    free = lambda i: ~F.get(tags, i).isin(*DISPENSABLE) & ~(noun(i) & (noun(i - 1) | noun(i + 1)))
+    places = F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), free)
+    at = _picked(places, number)
+    return F.when((F.size(tokens) > 0) & (F.size(places) > 0), F.concat(F.slice(tokens, F.lit(1), at), F.slice(tokens, at + 2, F.size(tokens))))
+
+
+def flipped(tokens: Column, tags: Column, number: Column) -> Column:
+    """``tokens`` with two neighbours swapped: words of different kinds, not a pronoun with its auxiliary; null if there are none.
+
+    A new first word is capitalised and the one after it is not, unless they are all capitals.
+    """
+    word = lambda i: ~F.get(tags, i).isin(*MARKS)
+    pair = lambda i: F.array_sort(F.array(F.get(tags, i), F.get(tags, i + 1)))
+    fits = lambda i: word(i) & word(i + 1) & (F.get(tags, i) != F.get(tags, i + 1)) & (pair(i) != F.array(F.lit("AUX"), F.lit("PRON")))
+    places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(tokens) - 2, F.lit(0))), lambda i: F.coalesce(fits(i), F.lit(False)))
+    at = _picked(places, number)
+    first, second = F.get(tokens, at + 1), F.get(tokens, at)
+    cased = lambda x, new: F.when((at == 0) & (x != F.upper(x)), new).otherwise(x)
+    swapped = F.array(cased(first, F.initcap(first)), cased(second, F.lower(second)))
+    return F.when((F.size(tokens) > 1) & (F.size(places) > 0), F.concat(F.slice(tokens, F.lit(1), at), swapped, F.slice(tokens, at + 3, F.size(tokens))))
+
+
+def corrupted(tokens: Column, tags: Column, key: Column, seed: int = 4242) -> Column:
+    """``kind`` and ``tokens``: a token deleted or two neighbours flipped, by seeded draws; the other where one cannot be."""
+    less, turned = deleted(tokens, tags, draw(seed, key)), flipped(tokens, tags, draw(seed + 1, key))
+    flip = (draw(seed + 2, key) % 2 == 0) & turned.isNotNull() | less.isNull()
+    return F.when(less.isNotNull() | turned.isNotNull(), F.struct(F.when(flip, "flip_neighbours").otherwise("delete").alias("kind"), F.when(flip, turned).otherwise(less).alias("tokens")))
+
+
+def repaired_tags(text: Column, tag: str) -> Column:
+    """A text whose ``<tag>`` and ``</tag>`` are balanced and not nested, whatever was written.
+
+    Tags glued together (``<T<T>>``) count as one; of nested tags the outermost stay; closing tags without an opening go;
+    a tag left open is closed at the end.  A fold over the pieces between tags keeps the depth.
+    """
+    plain = F.regexp_replace(F.regexp_replace(text, f"(?:<{tag})+>+", f"<{tag}>"), f"(?:</{tag})+>+", f"</{tag}>")
+    pieces = F.split(F.regexp_replace(plain, f"(</?{tag}>)", "\u0000$1\u0000"), "\u0000")
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        opens, closes = x == f"<{tag}>", x == f"</{tag}>"
+        kept = F.when(opens, F.when(a["depth"] == 0, x).otherwise("")).when(closes, F.when(a["depth"] == 1, x).otherwise("")).otherwise(x)
+        depth = F.when(opens, a["depth"] + 1).when(closes, F.greatest(a["depth"] - 1, F.lit(0))).otherwise(a["depth"])
+        return F.struct(depth.alias("depth"), F.concat(a["out"], kept).alias("out"))
+
+    return F.aggregate(pieces, start, step, lambda a: F.when(a["depth"] > 0, F.concat(F.regexp_replace(a["out"], r"\s+$", ""), F.lit(f"</{tag}>"))).otherwise(a["out"]))
+
+
+def tagged_to_spans(text: Column, tag: str) -> Column:
+    """``text`` without its (balanced) tags, and ``spans`` (``start``, ``end``) of what stood between them."""
+    pieces = F.split(text, f"</?{tag}>")
+    kind = "array<struct<start:int,end:int>>"
+    start = F.struct(F.lit("").alias("out"), F.array().cast(kind).alias("spans"), F.lit(False).alias("inside"))
+
+    def step(a: Column, x: Column) -> Column:
+        at = F.length(a["out"])
+        more = F.when(a["inside"] & (F.length(x) > 0), F.array(F.struct(at.alias("start"), (at + F.length(x)).alias("end")))).otherwise(F.array().cast(kind))
+        return F.struct(F.concat(a["out"], x).alias("out"), F.concat(a["spans"], more).cast(kind).alias("spans"), (~a["inside"]).alias("inside"))
+
+    return F.aggregate(pieces, start, step, lambda a: F.struct(a["out"].alias("text"), a["spans"].alias("spans")))
+
+
+def entity_tags(text: Column, kinds: dict[str, str]) -> Column:
+    """Array of ``token`` and ``label`` of a text marked with ``<NAME …>`` and ``</NAME>``, by the innermost open name.
 
-    Punctuation and the ends stay where they are; a sentence with no fitting place gives null.
+    ``kinds`` gives each name's label; others are ``MISC``.  A tag of any kind ends the entity before it, so what follows
+    starts a new one.  The fold's state is the stack of open names.
     """
-    places = F.filter(F.sequence(F.lit(1), F.size(tokens) - 3), lambda i: ~F.get(tokens, i).rlike(r"^\W+$") & ~F.get(tokens, i + 1).rlike(r"^\W+$") & (F.lower(F.get(tokens, i)) != F.lower(F.get(tokens, i + 1))))
-    at = F.get(places, F.pmod(F.xxhash64(F.lit(seed), key), F.greatest(F.size(places), F.lit(1))).cast("int"))
-    flip = F.pmod(F.xxhash64(F.lit(seed + 1), key), F.lit(2)) == 0
-    head = F.slice(tokens, F.lit(1), at)
-    swapped = F.concat(head, F.array(F.get(tokens, at + 1), F.get(tokens, at)), F.slice(tokens, at + 3, F.size(tokens)))
-    shorter = F.concat(head, F.slice(tokens, at + 2, F.size(tokens)))
-    return F.when((F.size(tokens) > 4) & (F.size(places) > 0), F.struct(F.when(flip, "flip_neighbours").otherwise("delete").alias("kind"), F.when(flip, swapped).otherwise(shorter).alias("tokens")))
+    pieces = F.regexp_extract_all(text, F.lit(r"(?U)</?\w+[^<>]*>|\w+|[^\w\s]"), F.lit(0))
+    labels = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]) if kinds else F.create_map().cast("map<string,string>")
+    out = "array<struct<token:string,label:string>>"
+    start = F.struct(F.array().cast("array<string>").alias("open"), F.lit(None).cast("string").alias("last"), F.array().cast(out).alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        is_tag = (F.length(x) > 2) & x.startswith("<")
+        name, closes = F.regexp_extract(x, r"^</?(\w+)", 1), x.startswith("</")
+        top = F.try_element_at(a["open"], F.lit(-1))
+        shorter = F.when(top == name, F.slice(a["open"], F.lit(1), F.size(a["open"]) - 1)).otherwise(a["open"])
+        kind = F.when(top.isNotNull(), F.coalesce(F.try_element_at(labels, top), F.lit("MISC")))
+        label = F.when(kind.isNull(), "O").otherwise(F.concat(F.when(a["last"] == kind, "I-").otherwise("B-"), kind))
+        return F.struct(
+            F.when(is_tag, F.when(closes, shorter).otherwise(F.concat(a["open"], F.array(name)))).otherwise(a["open"]).alias("open"),
+            F.when(~is_tag, kind).alias("last"),
+            F.when(is_tag, a["out"]).otherwise(F.concat(a["out"], F.array(F.struct(x.alias("token"), label.alias("label"))))).cast(out).alias("out"),
+        )
+
+    return F.aggregate(pieces, start, step, lambda a: a["out"])
+
+
+def sentences_of(tokens: Column, ends: str = "^[.!?]+$") -> Column:
+    """Arrays of ``token``, ``label`` structs, parted after a token that ends a sentence, but never within an entity."""
+    kind = "array<array<struct<token:string,label:string>>>"
+
+    def step(a: Column, x: Column) -> Column:
+        new = a["ended"] & ~x["label"].startswith("I-")
+        last = F.coalesce(F.try_element_at(a["out"], F.lit(-1)), F.array().cast("array<struct<token:string,label:string>>"))
+        head = F.slice(a["out"], F.lit(1), F.greatest(F.size(a["out"]) - 1, F.lit(0)))
+        grown = F.concat(head, F.array(F.concat(last, F.array(x))))
+        ended = F.when(new | ~a["ended"], x["token"].rlike(ends)).otherwise(a["ended"])
+        return F.struct(F.when(new, F.concat(a["out"], F.array(F.array(x)))).otherwise(grown).cast(kind).alias("out"), ended.alias("ended"))
+
+    return F.aggregate(tokens, F.struct(F.array().cast(kind).alias("out"), F.lit(False).alias("ended")), step, lambda a: a["out"])

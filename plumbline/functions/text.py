@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 def strip_anchor(c: Column) -> Column:
-    """The text of an HTML anchor around a whole value."""
-    inner = F.regexp_extract(c, r"^\s*<a\b[^>]*>(.*?)</a>\s*$", 1)
+    """The text of the first HTML anchor in a value, or the value if it has none."""
+    inner = F.trim(F.regexp_extract(c, r"<a\s[^>]*>([^<]+)</a>", 1))
     return F.when(inner != "", inner).otherwise(c)
 
 
 def plain_model_id(c: Column) -> Column:
-    """Without anchor and variant note; ``#parameter`` and ``@revision`` stay."""
-    return F.regexp_replace(strip_anchor(c), r"\s*\((?:zero-shot|val|zero-shot, val)\)\s*$", "")
+    """Without anchor and variant note, whose words may come in any order; ``#parameter`` and ``@revision`` stay."""
+    return F.regexp_replace(strip_anchor(c), r"\s*\((?:zero-shot|val)(?:,\s*(?:zero-shot|val))*\)$", "")
 
 
 def strip_val(c: Column) -> Column:
@@ -75,20 +77,23 @@ def record_path(model: Column, dataset: Column, validation: Column, few_shot: Co
 
 
 def parameters_in(c: Column) -> Column:
-    """Model size named in an id (``7B``, ``270m``), in units of one; not that of an active part (``A3B``)."""
-    pattern = r"(?<![A-Za-z\d])(\d+(?:\.\d+)?)([BbMm])(?![A-Za-z])"
+    """Model size named in an id (``7B``, ``270m``), in units of one; not that of an active part (``A3B``).
+
+    The first number, whole or decimal, that no letter or digit precedes and that a B or M follows which ends its word.
+    """
+    pattern = r"(?i)(?:^|[^a-z0-9])([0-9]+(?:[.][0-9]+)?)([bm])(?![a-z])"
     scale = F.when(F.lower(F.regexp_extract(c, pattern, 2)) == "b", 1e9).otherwise(1e6)
     return F.round(F.regexp_extract(c, pattern, 1).try_cast("double") * scale).cast("long")
 
 
-#: Keyword patterns of model ids in the order they are tried, and the type each stands for.
-TYPE_KEYWORDS = [("bert|xlm-r|encoder", "encoder"), ("-base|-pt", "base"), ("-instruct|-it$|-chat", "instruction_tuned"), ("^o[1-9]$|^o[1-9]-|deepseek-r1", "reasoning")]
+#: Keyword patterns of model ids in the order they are tried, and the type each stands for (encoders: none).
+TYPE_KEYWORDS = [("bert|xlm-r|encoder", None), ("-base|-pt", "base"), ("-instruct|-it$|-chat", "instruction_tuned"), ("^o[1-9]$|^o[1-9]-|deepseek-r1", "reasoning")]
 
 
 def type_of(c: Column) -> Column:
     out = F.lit(None).cast("string")
     for pattern, name in reversed(TYPE_KEYWORDS):
-        out = F.when(c.rlike(f"(?i){pattern}"), name).otherwise(out)
+        out = F.when(c.rlike(f"(?i){pattern}"), F.lit(name).cast("string")).otherwise(out)
     return out
 
 
@@ -100,6 +105,20 @@ def size_bucket(parameters: Column, bounds: dict[str, float]) -> Column:
     return F.when(parameters.isNull(), "unknown").otherwise(out)
 
 
+def size_order(parameters: Column, bounds: dict[str, float]) -> Column:
+    """Place of the value's bucket among all, smallest first; unknown sizes come last."""
+    return F.when(parameters.isNull(), len(bounds) + 1).otherwise(sum((F.when(parameters >= high, 1).otherwise(0) for high in bounds.values()), F.lit(0)))
+
+
+def model_type(generative_type: Column, behind_interface: Column) -> Column:
+    """What a model is listed as: behind an interface, a kind of decoder, or an encoder where it generates nothing."""
+    kinds = {"base": "base_decoder", "instruction_tuned": "instruction_tuned_decoder", "reasoning": "reasoning_decoder"}
+    out = F.lit("encoder")
+    for kind, name in kinds.items():
+        out = F.when(generative_type == kind, name).otherwise(out)
+    return F.when(F.coalesce(behind_interface, F.lit(False)), "api").otherwise(out)
+
+
 def score_text(score: Column, margin: Column) -> Column:
     return F.when(score.isNull(), "-").otherwise(F.format_string("%.2f ± %.2f", score, F.coalesce(margin, F.lit(0.0))))
 
@@ -108,6 +127,37 @@ def tick(c: Column) -> Column:
     return F.when(c, "✓").when(~c, "✗").otherwise("?")
 
 
+#: Marks of model types on a board.
+TYPE_MARKS = {"base": "🧠", "instruction_tuned": "📝", "reasoning": "🤔"}
+
+
+def type_mark(c: Column) -> Column:
+    """A type's mark; the magnifier for models that generate nothing."""
+    out = F.lit("🔍")
+    for kind, mark in TYPE_MARKS.items():
+        out = F.when(c == kind, mark).otherwise(out)
+    return out
+
+
+def or_not_applicable(value: Column, applicable: Column) -> Column:
+    """A cell as text, ``N/A`` where the column says nothing about a row's type, ``?`` where the value is unknown."""
+    return F.when(~applicable, "N/A").otherwise(F.coalesce(value.cast("string"), F.lit("?")))
+
+
+def issue_model_id(title: Column, body: Column, prefix: str = "[MODEL EVALUATION REQUEST]", placeholder: str = "<model-name>") -> Column:
+    """The model of a request: the line under its ``Model ID`` heading, else the title after its prefix."""
+    said = F.regexp_replace(F.trim(F.regexp_extract(body, r"(?:^|\n)#{1,6}\s*Model ID\s*\n+([^\n]+)", 1)), r"^[\s`*_]+|[\s`*_]+$", "")
+    rest = F.trim(F.substr(title, F.lit(len(prefix) + 2)))
+    titled = F.when(title.startswith(prefix + " ") & ~rest.isin("", placeholder), rest)
+    return F.when(F.coalesce(~said.isin("", placeholder), F.lit(False)), said).otherwise(titled)
+
+
+def ticked(body: Column, names: list[str]) -> Column:
+    """Those of the names whose box is ticked in a list of boxes."""
+    kept = [F.when(body.rlike(r"-\s*\[[xX]\]\s*\Q" + n + r"\E"), F.lit(n)) for n in names]
+    return F.array_compact(F.array(*kept))
+
+
 def compact_number(c: Column) -> Column:
     out = F.when(c.isNotNull(), F.format_string("%.0f", c))
     for limit, mark in ((1e3, "K"), (1e6, "M"), (1e9, "B"), (1e12, "T")):
@@ -151,7 +201,19 @@ def last_match(c: Column, pattern: str, group: int = 0) -> Column:
     return F.try_element_at(F.regexp_extract_all(c, F.lit(pattern), F.lit(group)), F.lit(-1))
 
 
+def telling_lines(log: Column, noise: list[str]) -> Column:
+    """The lines of a log that are not blank and hold none of the given marks of noise."""
+    wanted = lambda x: (F.trim(x) != "") & ~reduce(lambda a, b: a | b, [F.contains(x, F.lit(n)) for n in noise], F.lit(False))
+    return F.filter(F.split(log, "\r?\n"), wanted)
+
+
+def last_traceback(log: Column) -> Column:
+    """From the last ``Traceback`` line to the first line after it that is not indented, or null."""
+    start = r"Traceback \(most recent call last\):\n(?:[ \t][^\n]*\n?)*[^\n]*"
+    return last_match(log, start)
+
+
 def joined_tokens(tokens: Column) -> Column:
-    """Tokens as a sentence: no space before closing marks or after opening ones."""
-    text = F.array_join(tokens, " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"\s+([.,;:!?%)\]}])", "$1"), r"([(\[{])\s+", "$1"))
+    """Tokens as a sentence: no space before closing marks or after opening ones, nor within quotes that come in pairs."""
+    text = F.regexp_replace(F.regexp_replace(F.array_join(tokens, " "), r" ([.,;:?!)\]}])", "$1"), r"([(\[{]) ", "$1")
+    return F.when(F.regexp_count(text, F.lit('"')) % 2 == 0, F.regexp_replace(text, '" ([^"]*) "', '"$1"')).otherwise(text)

@@ -48,11 +48,26 @@ constraint("keywords:frequency")(lambda x, word, relation, n: _compare(F.regexp_
 constraint("keywords:letter")(lambda x, letter, relation, n: _compare(F.length(x) - F.length(F.replace(F.lower(x), F.lit(letter.lower()), F.lit(""))), relation, n))
 constraint("format:json")(lambda x: F.try_parse_json(_strip(F.regexp_replace(x, r"(?i)^\s*```(?:json)?|```\s*$", ""))).isNotNull())
 constraint("format:sections")(lambda x, mark, n: F.size(F.split(x, rf"\s?{mark}\s?\d+\s?")) - 1 >= n)
-constraint("length:paragraphs")(lambda x, n: F.size(F.filter(F.split(x, r"\s?\*\*\*\s?"), lambda p: _strip(p) != "")) == n)
+def _paragraphs(x: Column, n: int) -> Column:
+    """So many parts between ``***``; a blank part counts for nothing at either end and spoils the count within."""
+    parts = F.split(x, r"\s?\*\*\*\s?")
+    blank = lambda p: _strip(p) == ""
+    inner = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0)))
+    return ~F.exists(inner, blank) & (F.size(F.filter(parts, lambda p: ~blank(p))) == n)
+
+
+constraint("length:paragraphs")(_paragraphs)
 constraint("length:nth_paragraph")(lambda x, n, nth, first: (F.size(F.filter(F.split(x, r"\n\n"), lambda p: _strip(p) != "")) == n) & (F.lower(F.regexp_extract(F.get(F.filter(F.split(x, r"\n\n"), lambda p: _strip(p) != ""), nth - 1), r"(?U)^\W*(\w+)", 1)) == first.lower()))
 constraint("format:bullets")(lambda x, n: F.regexp_count(x, F.lit(r"(?m)^\s*(?:\*[^*]|-).*$")) == n)
-constraint("format:highlights")(lambda x, n: F.size(F.filter(F.regexp_extract_all(x, F.lit(r"\*\*?([^\n*]+)\*\*?"), F.lit(1)), lambda h: _strip(h) != "")) >= n)
-constraint("format:placeholders")(lambda x, n: F.regexp_count(x, F.lit(r"\[[^\]]+\]")) >= n)
+def _highlights(x: Column, n: int) -> Column:
+    """Texts between single stars and texts between double stars, each counted as a reader of either would."""
+    single = F.filter(F.regexp_extract_all(x, F.lit(r"\*[^\n*]*\*"), F.lit(0)), lambda h: _strip(F.replace(h, F.lit("*"), F.lit(""))) != "")
+    double = F.filter(F.regexp_extract_all(x, F.lit(r"\*\*([^\n*]*)\*\*"), F.lit(1)), lambda h: _strip(h) != "")
+    return F.size(single) + F.size(double) >= n
+
+
+constraint("format:highlights")(_highlights)
+constraint("format:placeholders")(lambda x, n: F.regexp_count(x, F.lit(r"\[[^\n]*?\]")) >= n)
 constraint("format:title")(lambda x: F.exists(F.regexp_extract_all(x, F.lit(r"<<([^\n]+)>>"), F.lit(1)), lambda t: _strip(F.regexp_replace(t, "[<>]", "")) != ""))
 constraint("format:postscript")(lambda x, mark: F.lower(x).rlike(r"(?s)\s*" + {"P.P.S": r"p\.\s?p\.\s?s", "P.S.": r"p\.\s?s\."}.get(mark, r"\Q" + mark.lower() + r"\E") + ".*"))
 constraint("length:sentences")(lambda x, relation, n: _compare(F.size(F.filter(F.split(x, r"(?<=[.!?])\s+"), lambda s: _strip(s) != "")), relation, n))
@@ -70,6 +85,70 @@ def language_is(language: Column, wanted: str) -> Column:
     return F.coalesce(language == wanted, F.lit(True))
 
 
+constraint("content:has_accents")(lambda x: ~CONSTRAINTS["content:no_accents"](x))
+
+#: Answers of which a constrained response must hold one, by language.
+RESPONSES = {
+    "en": ["My answer is yes.", "My answer is no.", "My answer is maybe."],
+    "fr": ["Oui.", "Non.", "Peut-être."],
+    "es": ["Mi respuesta es sí", "Mi respuesta es no"],
+    "ca": ["La meva resposta és sí.", "La meva resposta és no.", "La meva resposta és potser."],
+}
+#: Public ids of instructions, the constraint each stands for, and its arguments' names there and here.
+IDS: dict[str, tuple[str, dict[str, str]]] = {
+    "change_case:capital": ("case:capital", {}),
+    "change_case:capital_letters": ("case:capital", {}),
+    "change_case:english_capital": ("case:capital", {}),
+    "change_case:lowercase": ("case:lowercase", {}),
+    "change_case:lowercase_letters": ("case:lowercase", {}),
+    "change_case:english_lowercase": ("case:lowercase", {}),
+    "change_case:capital_word_frequency": ("case:capital_words", {"capital_relation": "relation", "capital_frequency": "n"}),
+    "detectable_format:constrained_response_with_argument": ("format:options", {"options": "options"}),
+    "startend:end_checker": ("end:phrase", {"end_phrase": "phrase"}),
+    "startend:quotation": ("end:quotation", {}),
+    "combination:repeat_prompt": ("repeat:prompt", {"prompt_to_repeat": "prompt"}),
+    "combination:two_responses": ("combination:two_responses", {}),
+    "keywords:forbidden_words": ("keywords:forbidden", {"forbidden_words": "words"}),
+    "keywords:existence": ("keywords:existence", {"keywords": "words"}),
+    "keywords:frequency": ("keywords:frequency", {"keyword": "word", "relation": "relation", "frequency": "n"}),
+    "keywords:letter_frequency": ("keywords:letter", {"letter": "letter", "let_relation": "relation", "let_frequency": "n"}),
+    "detectable_format:json_format": ("format:json", {}),
+    "detectable_format:multiple_sections": ("format:sections", {"section_spliter": "mark", "num_sections": "n"}),
+    "detectable_format:number_bullet_lists": ("format:bullets", {"num_bullets": "n"}),
+    "detectable_format:number_highlighted_sections": ("format:highlights", {"num_highlights": "n"}),
+    "detectable_format:title": ("format:title", {}),
+    "detectable_content:number_placeholders": ("format:placeholders", {"num_placeholders": "n"}),
+    "detectable_content:postscript": ("format:postscript", {"postscript_marker": "mark"}),
+    "length_constraints:number_paragraphs": ("length:paragraphs", {"num_paragraphs": "n"}),
+    "length_constraints:nth_paragraph_first_word": ("length:nth_paragraph", {"num_paragraphs": "n", "nth_paragraph": "nth", "first_word": "first"}),
+    "length_constraints:number_sentences": ("length:sentences", {"relation": "relation", "num_sentences": "n"}),
+    "length_constraints:number_words": ("length:words", {"relation": "relation", "num_words": "n"}),
+    "punctuation:no_comma": ("punctuation:no_comma", {}),
+    "detectable_content:no_digits": ("content:no_digits", {}),
+    "special_character:no_accents": ("content:no_accents", {}),
+    "special_character:accents": ("content:has_accents", {}),
+    "special_character:ethel_or_cedilla": ("content:letters", {"forbidden_char": "letters"}),
+    "change_case:french_capital": ("case:capital", {}),
+    "change_case:french_lowercase": ("case:lowercase", {}),
+    "change_case:spanish_capital": ("case:capital", {}),
+    "change_case:spanish_lowercase": ("case:lowercase", {}),
+    "change_case:catalan_capital": ("case:capital", {}),
+    "change_case:catalan_lowercase": ("case:lowercase", {}),
+}
+
+
+def by_id(instruction: str, arguments: dict) -> tuple[str, dict] | None:
+    """Name and arguments of the constraint that a public id stands for, with or without a language's prefix."""
+    head, _, rest = instruction.partition(":")
+    language, plain = (head, rest) if head in ("fr", "es", "ca") else ("en", instruction)
+    if plain == "detectable_format:constrained_response":
+        return "format:options", {"options": RESPONSES[language]}
+    if plain not in IDS:
+        return None
+    name, names = IDS[plain]
+    return name, {names[k]: v for k, v in arguments.items() if k in names and v is not None}
+
+
 def met(response: Column, name: str, **arguments) -> Column | None:
     if name not in CONSTRAINTS:
         return None

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.hashing import seeded_order
 
-#: Splits in order of priority.
+#: Splits in order of priority.
 SPLITS = ["train", "val", "test"]
 
 
@@ -26,12 +26,24 @@ def standardised(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.drop(*taken).withColumnsRenamed(columns)
 
 
-def require_columns(df: DataFrame, columns: list[str]) -> DataFrame:
+def require_columns(df: DataFrame, columns: list[str], where: str = "") -> DataFrame:
     if missing := sorted(set(columns) - set(df.columns)):
-        raise ValueError(f"missing columns: {', '.join(missing)}; there are {', '.join(sorted(df.columns))}")
+        raise ValueError(f"missing columns{where}: {', '.join(missing)}; there are {', '.join(sorted(df.columns))}")
     return df
 
 
+def require_in_splits(splits: dict[str, DataFrame], columns: list[str]) -> dict[str, DataFrame]:
+    """The splits, once each of them is known to have the columns."""
+    return {name: require_columns(df, columns, f" in split {name}") for name, df in splits.items()}
+
+
+def helper(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def target_column(task_group: str) -> str:
     return {"token-classification": "labels", "text-to-text": "target_text"}.get(task_group, "label")
 
@@ -67,10 +79,11 @@ def dense_index(df: DataFrame, key: str, name: str = "index") -> DataFrame:
 
     Counts by range partition give each partition its start; no window goes over the whole table.
     """
-    ranged = df.repartitionByRange(key).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id())
-    ranged = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(key)))
-    starts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_start", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n"))
-    return ranged.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_in") - 1).drop("_part", "_in", "_n", "_start")
+    part, within, start, n = (helper(df, x) for x in ("_part", "_in", "_start", "_n"))
+    ranged = df.repartitionByRange(key).sortWithinPartitions(key).withColumn(part, F.spark_partition_id())
+    ranged = ranged.withColumn(within, F.row_number().over(Window.partitionBy(part).orderBy(key)))
+    starts = ranged.groupBy(part).agg(F.count(F.lit(1)).alias(n)).withColumn(start, F.sum(n).over(Window.orderBy(part)) - F.col(n))
+    return ranged.join(F.broadcast(starts), part).withColumn(name, F.col(start) + F.col(within) - 1).select(*[c for c in df.columns if c != name], name)
 
 
 def non_empty(df: DataFrame, column: str) -> DataFrame:
@@ -134,30 +147,30 @@ def head(df: DataFrame, n: int, key: str) -> DataFrame:
     return df.orderBy(key).limit(n)
 
 
-def _ranked(df: DataFrame, by: list[str], key: str, seed: int, buckets: int = 64) -> DataFrame:
-    """``df`` with ``_rank``: its place from 1 in the seeded order of its group.
+def _ranked(df: DataFrame, by: list[str], key: str, seed: int, buckets: int = 64) -> tuple[DataFrame, str]:
+    """``df`` with its place from 1 in the seeded order of its group, and the name of that column.
 
     A group is ordered bucket by bucket of its hash, so a group that holds a third of all rows is many tasks' work.
     """
-    h = df.withColumn("_h", seeded_order(seed, key)).withColumn("_b", (F.conv(F.substring("_h", 1, 2), 16, 10).cast("int") * buckets / 256).cast("int"))
-    sizes = h.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(*by).orderBy("_b")) - F.col("_n")).drop("_n")
-    inner = h.withColumn("_in", F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h", key)))
-    condition = reduce(lambda a, b: a & b, [inner[c].eqNullSafe(before[c]) for c in [*by, "_b"]])
-    out = inner.join(before, condition)
-    return out.select(*[inner[c] for c in df.columns], (F.col("_before") + F.col("_in")).alias("_rank"))
+    h, b, n, before, within, rank = (helper(df, x) for x in ("_h", "_b", "_n", "_before", "_in", "_rank"))
+    hashed = df.withColumn(h, seeded_order(seed, key)).withColumn(b, (F.conv(F.substring(h, 1, 2), 16, 10).cast("int") * buckets / 256).cast("int"))
+    sizes = hashed.groupBy(*by, b).agg(F.count(F.lit(1)).alias(n))
+    sums = sizes.withColumn(before, F.sum(n).over(Window.partitionBy(*by).orderBy(b)) - F.col(n)).drop(n)
+    inner = hashed.withColumn(within, F.row_number().over(Window.partitionBy(*by, b).orderBy(h, key)))
+    condition = reduce(lambda x, y: x & y, [inner[c].eqNullSafe(sums[c]) for c in [*by, b]])
+    return inner.join(sums, condition).select(*[inner[c] for c in df.columns], (F.col(before) + F.col(within)).alias(rank)), rank
 
 
 def stratified_split(df: DataFrame, stratum: str, key: str, shares: dict[str, int], seed: int = 4242) -> DataFrame:
     """``df`` with ``split``: within each stratum the given percentages, as near as whole rows allow."""
-    sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_size"))
-    ranked = _ranked(df, [stratum], key, seed)
+    size = helper(df, "_size")
+    sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias(size))
+    ranked, rank = _ranked(df, [stratum], key, seed)
     rows = ranked.join(sizes, ranked[stratum].eqNullSafe(sizes[stratum])).drop(sizes[stratum])
-    split, total = F.lit(None).cast("string"), 0
-    for name, share in reversed(list(shares.items())):
-        total += share
-        split = F.when((F.col("_rank") - 1) * 100 < F.col("_size") * share_until(shares, name), name).otherwise(split)
-    return rows.withColumn("split", split).select(*df.columns, "split")
+    split = F.lit(None).cast("string")
+    for name in reversed(list(shares)):
+        split = F.when((F.col(rank) - 1) * 100 < F.col(size) * share_until(shares, name), name).otherwise(split)
+    return rows.withColumn("split", split).select(*[c for c in df.columns if c != "split"], "split")
 
 
 def share_until(shares: dict[str, int], name: str) -> int:
@@ -167,12 +180,26 @@ def share_until(shares: dict[str, int], name: str) -> int:
 
 def fixed_split(df: DataFrame, key: str, sizes: dict[str, int], seed: int = 4242) -> DataFrame:
     """Splits of exact sizes, disjoint, in one seeded order; rows beyond them are left out."""
-    ranked = _ranked(df.withColumn("_all", F.lit(0)), ["_all"], key, seed)
+    every = helper(df, "_all")
+    ranked, rank = _ranked(df.withColumn(every, F.lit(0)), [every], key, seed)
+    split = _by_rank(F.col(rank), sizes)
+    return ranked.withColumn("split", split).where("split IS NOT NULL").select(*[c for c in df.columns if c != "split"], "split")
+
+
+def _by_rank(rank: Column, sizes: dict[str, int]) -> Column:
+    """The split that a place from 1 falls into, or null beyond all."""
     split, before = F.lit(None).cast("string"), 0
     for name, n in sizes.items():
-        split = F.when(F.col("_rank").between(before + 1, before + n), name).otherwise(split)
+        split = F.when(rank.between(before + 1, before + n), name).otherwise(split)
         before += n
-    return ranked.withColumn("split", split).where("split IS NOT NULL").select(*df.columns, "split")
+    return split
+
+
+def balanced_splits(df: DataFrame, label: str, key: str, sizes: dict[str, int], n_labels: int = 2, seed: int = 4242) -> DataFrame:
+    """Disjoint splits with as many rows of each label: within a label one seeded order is cut into equal shares."""
+    ranked, rank = _ranked(df.where(F.col(label).isNotNull()), [label], key, seed)
+    split = _by_rank(F.col(rank), {name: n // n_labels for name, n in sizes.items()})
+    return ranked.withColumn("split", split).where("split IS NOT NULL").select(*[c for c in df.columns if c != "split"], "split")
 
 
 def adaptive_sizes(n: int, test: int = 2048, val: int = 256, train: int = 1024, least_test: int = 128) -> dict[str, int]:
@@ -186,29 +213,152 @@ def adaptive_sizes(n: int, test: int = 2048, val: int = 256, train: int = 1024,
 
 def balanced(df: DataFrame, label: str, key: str, per_label: int | None = None, seed: int = 4242) -> DataFrame:
     """As many rows of each label as the rarest has, or ``per_label``."""
-    ranked = _ranked(df.where(F.col(label).isNotNull()), [label], key, seed)
+    known = df.where(F.col(label).isNotNull())
+    ranked, rank = _ranked(known, [label], key, seed)
     if per_label is not None:
-        return ranked.where(F.col("_rank") <= per_label).drop("_rank")
-    least = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("_n")).agg(F.min("_n").alias("_least"))
-    return ranked.join(F.broadcast(least), F.col("_rank") <= F.col("_least")).select(*df.columns)
+        return ranked.where(F.col(rank) <= per_label).select(*df.columns)
+    least, n = helper(ranked, "_least"), helper(ranked, "_n")
+    smallest = known.groupBy(label).agg(F.count(F.lit(1)).alias(n)).agg(F.min(n).alias(least))
+    return ranked.join(F.broadcast(smallest), F.col(rank) <= F.col(least)).select(*df.columns)
 
 
-def few_shot(df: DataFrame, labels: list[str], n: int, key: str, text: str = "text", label: str = "label", seed: int = 4242) -> DataFrame:
-    """``n`` short examples, round-robin over the labels, no text twice.
+#: Lengths under which examples count as short, tried in order.
+SHORT = [512, 1024, 2048, 4096, 8192]
 
-    The texts are those under the least of 512, 1024, … 8192 characters of which there are ``n``.
-    Of each label at most ``n`` rows are ranked further, taken by a seeded top-k.
-    """
-    bounds = [512, 1024, 2048, 4096, 8192]
-    counts = df.agg(*[F.count_if(F.length(text) < b).alias(str(b)) for b in bounds]).head()
-    bound = next((b for b in bounds if counts[str(b)] >= n), None)
+
+def _short(df: DataFrame, text: str, n: int) -> DataFrame:
+    """Rows whose text is under the least of the lengths of which there are ``n``."""
+    counts = df.agg(*[F.count_if(F.length(text) < b).alias(str(b)) for b in SHORT]).head()
+    bound = next((b for b in SHORT if counts[str(b)] >= n), None)
     if bound is None:
         raise ValueError("not enough short examples")
-    short = drop_exact_duplicates(df.where(F.length(text) < bound).withColumn("_at", F.concat(seeded_order(seed, key), F.lit(":"), F.col(key).cast("string"))), [text], "_at")
-    picked = [short.where(F.lower(F.col(label).cast("string")) == value.lower()).orderBy("_at").limit(n).withColumn("_place", F.lit(i)) for i, value in enumerate(labels)]
-    rows = reduce(DataFrame.unionByName, picked)
-    rows = rows.withColumn("_turn", F.row_number().over(Window.partitionBy("_place").orderBy("_at")))
-    return rows.orderBy("_turn", "_place").limit(n).withColumn("turn", F.row_number().over(Window.orderBy("_turn", "_place"))).select(*df.columns, "turn")
+    return df.where(F.length(text) < bound)
+
+
+def _round_robin(picked: list[DataFrame], n: int, at: str, columns: list[str]) -> DataFrame:
+    """First rows of each list in turn, and ``turn``; the lists hold ``n`` rows at most, so one task orders them."""
+    rows = reduce(DataFrame.unionByName, [p.withColumn(f"{at}_place", F.lit(i)) for i, p in enumerate(picked)])
+    rows = rows.withColumn(f"{at}_turn", F.row_number().over(Window.partitionBy(f"{at}_place").orderBy(at)))
+    first = rows.orderBy(f"{at}_turn", f"{at}_place").limit(n)
+    return first.withColumn("turn", F.row_number().over(Window.orderBy(f"{at}_turn", f"{at}_place"))).select(*[c for c in columns if c != "turn"], "turn")
+
+
+def _seeded(df: DataFrame, key: str, seed: int) -> tuple[DataFrame, str]:
+    at = helper(df, "_at")
+    return df.withColumn(at, F.concat(seeded_order(seed, key), F.lit(":"), F.col(key).cast("string"))), at
+
+
+def few_shot(df: DataFrame, labels: list[str], n: int, key: str, text: str = "text", label: str = "label", seed: int = 4242) -> DataFrame:
+    """``n`` short examples, round-robin over the labels, no text twice.  Of each label at most ``n`` rows are ranked
+    further, taken by a seeded top-k."""
+    rows, at = _seeded(_short(df, text, n), key, seed)
+    short = drop_exact_duplicates(rows, [text], at)
+    picked = [short.where(F.lower(F.col(label).cast("string")) == value.lower()).orderBy(at).limit(n) for value in labels]
+    return _round_robin(picked, n, at, df.columns)
+
+
+def few_shot_distinct(df: DataFrame, n: int, key: str, column: str = "text", short: bool = False, seed: int = 4242) -> DataFrame:
+    """``n`` examples of different ``column``, and ``turn``: the text of text-to-text tasks, or the context of questions (``short``)."""
+    rows, at = _seeded(_short(df, column, n) if short else df, key, seed)
+    first = drop_exact_duplicates(rows, [column], at).orderBy(at).limit(n)
+    return first.withColumn("turn", F.row_number().over(Window.orderBy(at))).select(*[c for c in df.columns if c != "turn"], "turn")
+
+
+def few_shot_tokens(df: DataFrame, labels: list[str], n: int, key: str, tokens: str = "tokens", tags: str = "labels", seed: int = 4242) -> DataFrame:
+    """``n`` examples, in turn one for each ``b-`` label that holds it, no token list twice, and ``turn``.
+
+    A row that is taken for one label is not there for the next.  Only the first ``n`` rows by seeded order of each label
+    can be taken, so these few go to the driver; labels that no row is left for are passed over.
+    """
+    starts = [x.lower() for x in labels if x.lower().startswith("b-")]
+    rows, at = _seeded(df, key, seed)
+    rows = drop_exact_duplicates(rows, [tokens], at)
+    holds = lambda x: F.exists(F.col(tags), lambda t: F.lower(t) == x)
+    # A label's rows may be taken by n - 1 earlier turns of others.
+    lists = [[r[0] for r in rows.where(holds(x)).orderBy(at).select(at).limit(n).collect()] for x in starts]
+    taken: list[str] = []
+    while len(taken) < n and any(x not in taken for own in lists for x in own):
+        for own in lists:
+            first = next((x for x in own if x not in taken), None)
+            if first is not None and len(taken) < n:
+                taken.append(first)
+    if not taken:
+        return df.limit(0).withColumn("turn", F.lit(0))
+    turn = F.array_position(F.array(*map(F.lit, taken)), F.col(at)).cast("int")
+    return rows.where(F.col(at).isin(*taken)).withColumn("turn", turn).select(*[c for c in df.columns if c != "turn"], "turn")
+
+
+def validation_as_test(splits: dict[str, DataFrame], test_wanted: bool) -> dict[str, DataFrame]:
+    """The splits with validation rows in place of the test rows, unless the test split itself is wanted."""
+    return splits if test_wanted or "val" not in splits else {**splits, "test": splits["val"]}
+
+
+def ends_with(df: DataFrame, column: str, suffix: str, keep: bool = True) -> DataFrame:
+    hit = F.col(column).endswith(suffix)
+    return df.where(hit if keep else ~hit)
+
+
+def labelled_union(parts: dict[str, DataFrame], label: str = "label") -> DataFrame:
+    """All rows of the parts, repeated ones too, each with its part's name as label."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.withColumn(label, F.lit(name)) for name, df in parts.items()])
+
+
+def with_corruptions(df: DataFrame, text: str, corruptions: str, kinds: tuple[str, str] = ("correct", "incorrect")) -> DataFrame:
+    """``text`` and ``label``: every text as it is, and a row for each of its corrupted forms (an array of texts)."""
+    good = df.select(F.col(text).alias("text"))
+    bad = df.select(F.explode(corruptions).alias("text"))
+    return labelled_union({kinds[0]: good, kinds[1]: bad})
+
+
+def bias_indices(answers: Column, stereotype: Column, renamed: dict[str, list[str]]) -> Column:
+    """``stereo_idx``, ``counter_idx`` and ``unknown_idx`` of three answers (array of ``number``, ``tag``).
+
+    The stereotype's tag may go by other names (``renamed``: tag in lower case, without blanks, to those tried in order);
+    all are null where no answer has it.
+    """
+    by_tag = F.map_from_entries(F.transform(answers, lambda a: F.struct(a["tag"], a["number"])))
+    tag = F.replace(stereotype, F.lit(" "), F.lit(""))
+    wanted = tag
+    for name, others in renamed.items():
+        for other in reversed(others):
+            wanted = F.when((F.lower(tag) == name) & F.map_contains_key(by_tag, other), F.lit(other)).otherwise(wanted)
+    stereo, unknown = F.try_element_at(by_tag, wanted), F.try_element_at(by_tag, F.lit("unknown"))
+    counter = F.array_min(F.array_except(F.array(*map(F.lit, range(3))), F.array(stereo, unknown)))
+    return F.when(stereo.isNotNull(), F.struct(stereo.alias("stereo_idx"), counter.alias("counter_idx"), unknown.alias("unknown_idx")))
+
+
+def prompt_parts(prompt: Column, lines: int = 6) -> Column:
+    """``instruction`` (the first two lines), ``option_a`` and ``option_b`` (the next two, without ``Option A:``) of a prompt.
+
+    A prompt of another number of lines fails the job.
+    """
+    parts = F.split(prompt, "\n")
+    option = lambda i, letter: F.trim(F.regexp_replace(F.get(parts, i), rf"[^ ]+ {letter}: ?", ""))
+    checked = F.when(F.size(parts) == lines, F.trim(F.concat_ws(" ", F.get(parts, 0), F.get(parts, 1)))).otherwise(F.raise_error(F.lit(f"a prompt has not {lines} lines")))
+    return F.struct(checked.alias("instruction"), option(2, "A").alias("option_a"), option(3, "B").alias("option_b"))
+
+
+def tokens_with_offsets(text: Column) -> Column:
+    """Words and single marks with the place at which each starts: array of ``token``, ``start``, ``end``.
+
+    Everything between two tokens is white space, so a token starts where the text without the white space before it goes on.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(r"(?U)\s*(?:\w+|[^\w\s])"), F.lit(0))
+    at = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<token:string,start:int,end:int>>").alias("out"))
+
+    def step(a: Column, piece: Column) -> Column:
+        token = F.regexp_replace(piece, r"(?U)^\s+", "")
+        end = a["end"] + F.length(piece)
+        return F.struct(end.alias("end"), F.concat(a["out"], F.array(F.struct(token.alias("token"), (end - F.length(token)).alias("start"), end.alias("end")))).alias("out"))
+
+    return F.aggregate(pieces, at, step, lambda a: a["out"])
+
+
+def with_answers(df: DataFrame, cache: DataFrame, prompt: str, into: str = "answer") -> DataFrame:
+    """``df`` with a model's cached answer to its prompt (``cache``: ``prompt``, ``answer``; the last of several), or null."""
+    key = helper(df, "_prompt")
+    known = cache.groupBy(F.col("prompt").alias(key)).agg(F.max("answer").alias(into))
+    return df.join(known, F.col(prompt) == F.col(key), "left").drop(key)
 
 
 def bootstrap_indices(spark, n: int, iterations: int, seed: int = 4242) -> DataFrame:
@@ -231,8 +381,9 @@ def without_overlap(splits: dict[str, DataFrame], text: str = "text") -> dict[st
 def first_split(df: DataFrame, split: str = "split", text: str = "text") -> DataFrame:
     """The same for one table with a split column."""
     priority = F.array_position(F.array(*map(F.lit, SPLITS)), F.col(split))
-    least = df.groupBy(text).agg(F.min(priority).alias("_least"))
-    return df.join(least, text).where(priority == F.col("_least")).select(*df.columns)
+    name = helper(df, "_least")
+    least = df.groupBy(text).agg(F.min(priority).alias(name))
+    return df.join(least, text).where(priority == F.col(name)).select(*df.columns)
 
 
 def value_counts(df: DataFrame, column: str, least: int = 1) -> DataFrame:
@@ -266,6 +417,11 @@ def runs_to_bio(flags: Column, mark: str = "F", kind: str = "ERR") -> Column:
     return F.transform(flags, lambda x, i: F.when(x != mark, "O").when((i > 0) & (F.get(flags, i - 1) == mark), f"I-{kind}").otherwise(f"B-{kind}"))
 
 
+def marked_runs(df: DataFrame, tokens: str, flags: str, mark: str = "F", kind: str = "ERR", into: str = "labels") -> DataFrame:
+    """``df`` with the flags as tags, without rows whose tokens and flags are not as many."""
+    return df.where(F.size(tokens) == F.size(flags)).withColumn(into, runs_to_bio(F.col(flags), mark, kind))
+
+
 def spans_to_bio(starts: Column, ends: Column, entities: Column) -> Column:
     """Tags of tokens from entities (``start``, ``end``, ``label``) that contain them by character."""
     def tag(start: Column, i: Column) -> Column:

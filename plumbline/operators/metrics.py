@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import json
 import math
+import re
+import string
 from collections import Counter
 from collections.abc import Callable
 
@@ -15,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.hashing import draw
+
 REGISTRY: dict[str, Callable[..., DataFrame]] = {}
 
 
@@ -134,21 +138,62 @@ def _lcs(a: list[str], b: list[str]) -> int:
 
 
 def rouge_l_score(prediction: str, reference: str) -> float:
-    a, b = prediction.lower().split(), reference.lower().split()
+    """Over runs of the letters a-z and digits, letter case aside, as the usual scorer takes them."""
+    a, b = (re.findall("[a-z0-9]+", x.lower()) for x in (prediction, reference))
     n = _lcs(a, b)
     return 2 * n / (len(a) + len(b)) if n else 0.0
 
 
+def meteor_score(prediction: str, reference: str, alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5) -> float:
+    """Exact and stem matches, then recall-weighted precision less a penalty for broken order (Banerjee, Lavie, 2005).
+
+    The synonym stage needs a lexicon and is left out.  A word's stem is the word without its commonest endings.
+    """
+    a, b = (re.findall(r"\w+|[^\w\s]", x.lower()) for x in (prediction, reference))
+    pairs, free_a, free_b = [], list(range(len(a))), list(range(len(b)))
+    for of in (str, _stem):
+        for i in reversed(list(free_a)):
+            j = next((j for j in reversed(free_b) if of(a[i]) == of(b[j])), None)
+            if j is not None:
+                pairs.append((i, j))
+                free_a.remove(i)
+                free_b.remove(j)
+    if not pairs:
+        return 0.0
+    pairs.sort()
+    chunks = 1 + sum(pairs[k + 1] != (pairs[k][0] + 1, pairs[k][1] + 1) for k in range(len(pairs) - 1))
+    precision, recall = len(pairs) / len(a), len(pairs) / len(b)
+    mean = precision * recall / (alpha * precision + (1 - alpha) * recall)
+    return mean * (1 - gamma * (chunks / len(pairs)) ** beta)
+
+
+def _stem(word: str) -> str:
+    return re.sub(r"(?<=[a-z]{3})(?:ations?|ings?|edly|ly|ed|es|s|e)$", "", word)
+
+
 def _grams(items, n: int) -> Counter:
     return Counter(tuple(items[i : i + n]) for i in range(len(items) - n + 1))
 
 
+def _words_and_marks(text: str) -> list[str]:
+    """Words, with a mark at a word's end or start as a word of its own."""
+    out = []
+    for word in text.split():
+        if len(word) > 1 and word[-1] in string.punctuation:
+            out += [word[:-1], word[-1]]
+        elif len(word) > 1 and word[0] in string.punctuation:
+            out += [word[0], word[1:]]
+        else:
+            out.append(word)
+    return out
+
+
 def chrf_score(prediction: str, reference: str, characters: int = 6, words: int = 0, beta: float = 2.0) -> float:
     """Mean over n-gram orders of precision and recall, then their F-score, between 0 and 1; an empty pair is 1."""
     if not prediction and not reference:
         return 1.0
     orders = [(list("".join(prediction.split())), list("".join(reference.split())), n) for n in range(1, characters + 1)]
-    orders += [(prediction.split(), reference.split(), n) for n in range(1, words + 1)]
+    orders += [(_words_and_marks(prediction), _words_and_marks(reference), n) for n in range(1, words + 1)]
     precision = recall = used = 0.0
     for a, b, n in orders:
         x, y = _grams(a, n), _grams(b, n)
@@ -272,6 +317,8 @@ def tool_call_right(functions: str, prediction: str, reference: str) -> float:
 
 rouge_l = _mean_udf("rouge_l", rouge_l_score)
 chrf = _mean_udf("chrf", chrf_score)
+chrf_words = _mean_udf("chrf_words", lambda p, r: chrf_score(p, r, words=2))
+meteor = _mean_udf("meteor", meteor_score)
 sari = _mean_udf("sari", lambda s, p, r: sari_score(s, p, list(r)))
 puzzle_best_permutation = _mean_udf("puzzle_best_permutation", permuted_cells)
 tool_calling = _mean_udf("tool_calling", tool_call_right)
@@ -329,3 +376,68 @@ def best_span(df: DataFrame, k: int, most: int) -> DataFrame:
     pairs = F.flatten(F.transform(best("start_logits"), lambda s: F.transform(best("end_logits"), lambda e: F.struct((s["score"] + e["score"]).alias("score"), s["at"].alias("start"), e["at"].alias("end")))))
     valid = F.filter(pairs, lambda p: (p["end"] >= p["start"]) & (p["end"] - p["start"] < most))
     return df.withColumn("span", F.array_max(valid))
+
+
+def gated_mean(df: DataFrame, by: list[str], score: str, confidences: str, wanted: str) -> DataFrame:
+    """``by`` and ``gated``: mean of a row's score where its language is a wanted one, else 0."""
+    return language_gate(df, confidences, wanted).groupBy(*by).agg(F.avg(F.col(score) * F.col("gate")).alias("gated"))
+
+
+def chosen_values(df: DataFrame, by: list[str], question: str, choice: str, flagged: dict[int, int]) -> DataFrame:
+    """One choice for each question of a survey: the commonest among its phrasings (the smallest of equals); questions of
+    which only one choice counts (``flagged``) become 1 for it and 0 for others."""
+    votes = majority_vote(df, [*by, question], choice)
+    value = F.col(choice)
+    for number, wanted in flagged.items():
+        value = F.when(F.col(question) == number, (F.col(choice) == wanted).cast("int")).otherwise(value)
+    return votes.select(*by, question, value.alias("value"))
+
+
+def survey_score(values: DataFrame, by: list[str], parameters: DataFrame, slope: float, centre: float) -> DataFrame:
+    """``by`` and ``score``: a logistic of the centred mean log-likelihood of the choices.
+
+    ``parameters`` (small: a row for each question) has ``question``, ``mean`` and ``sd``: the choices' likelihood is that of
+    a normal variable for each question.  A fitted pipeline's own numbers come in through this table.
+    """
+    z = (F.col("value") - F.col("mean")) / F.col("sd")
+    likelihood = -0.5 * z * z - F.log(F.col("sd")) - 0.5 * math.log(2 * math.pi)
+    means = values.join(F.broadcast(parameters), "question").groupBy(*by).agg(F.avg(likelihood).alias("_mean"))
+    return means.select(*by, (1 / (1 + F.exp(-slope * (F.col("_mean") - centre)))).alias("score"))
+
+
+def totals(df: DataFrame, by: list[str]) -> DataFrame:
+    """``by``, ``metric``, ``total``, ``margin`` (1.96 standard errors; null for one score) and ``n_failed``.
+
+    ``df`` has a row for each iteration: ``scores`` (map of metric, with or without ``test_``, to a share) and
+    ``failed_instances`` (array or null).  Shares become percent; failures are summed over the iterations.
+    """
+    rows = df.select(*by, F.explode("scores").alias("name", "share"))
+    plain = rows.withColumn("metric", F.regexp_replace("name", "^test_", "")).where(F.col("share").isNotNull() & ~F.isnan("share"))
+    n = F.count("share")
+    out = plain.groupBy(*by, "metric").agg((100 * F.avg("share")).alias("total"), (100 * 1.96 * F.stddev_samp("share") / F.sqrt(n)).alias("margin"))
+    failed = df.groupBy(*by).agg(F.sum(F.coalesce(F.size(F.coalesce("failed_instances", F.array())), F.lit(0))).alias("n_failed"))
+    return out.join(failed, by)
+
+
+def uniform_baseline(df: DataFrame, key: str, labels: list[str], seed: int = 4242) -> DataFrame:
+    """``df`` with ``prediction``, a label drawn by a seeded hash of the key, and ``logprobs``, the same for every label."""
+    options = F.array(*map(F.lit, labels))
+    even = F.transform(options, lambda x: F.struct(x.alias("token"), F.lit(math.log(1 / len(labels))).alias("logprob")))
+    return df.withColumns({"prediction": F.get(options, (draw(seed, F.col(key)) % len(labels)).cast("int")), "logprobs": even})
+
+
+def paired(predictions: DataFrame, references: DataFrame, keys: list[str]) -> DataFrame:
+    """Predictions beside their references by key, never by position; a prediction without a reference is left out."""
+    return predictions.join(references, keys)
+
+
+def with_context(predictions: DataFrame, examples: DataFrame, key: str, context: str) -> DataFrame:
+    """Predictions with the context of their example; those of an unknown example keep a null."""
+    return predictions.join(examples.select(key, context), key, "left")
+
+
+def spans_of_examples(features: DataFrame, example: str, k: int, most: int) -> DataFrame:
+    """``example`` and the best ``span`` over all of its features (windows), the first feature among equals."""
+    best = best_span(features, k, most).where("span IS NOT NULL")
+    order = F.struct(F.col("span.score").alias("score"), (-F.col("feature")).alias("back"))
+    return best.groupBy(example).agg(F.max_by(F.struct("feature", "span"), order).alias("b")).select(example, "b.feature", "b.span")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,8 +62,15 @@ def memory_needed(df: DataFrame, by: list[str], count: str, bits: str, overhead:
     return df.groupBy(*by).agg((F.sum(F.ceil(F.col(count) * F.col(bits) / 8)) * overhead).alias("bytes"))
 
 
-def union_of(*frames: DataFrame) -> DataFrame:
+def union_of(*frames: DataFrame, distinct: bool = False) -> DataFrame:
+    """All rows of the tables, repeated ones too unless ``distinct``; columns that one lacks are null."""
     out = frames[0]
     for frame in frames[1:]:
         out = out.unionByName(frame, allowMissingColumns=True)
-    return out.distinct()
+    return out.distinct() if distinct else out
+
+
+def pending(requests: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
+    """Requests without a result under the same keys; null keys are equal."""
+    done = results.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    return requests.join(done, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]), "left_anti")

@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
+from plumbline.operators.curation import dense_index
 
 DETAILS = "model_info.additional_details"
 #: Metadata fields that count as known when they are there.
 RICHNESS_FIELDS = ["commercially_licensed", "open", "merge", "trained_from_scratch", "generative_type", "model_url"]
+#: Tasks whose records are of no split and no number of shots.
+FLAGLESS_TASKS = ["european-values"]
+#: The oldest version that counts, versions that never do, and the records a model needs.
 MIN_VERSION, BANNED_VERSIONS, MIN_RECORDS = "15.0.0", ["9.3.0", "10.0.0"], 7
 
 
@@ -76,6 +80,14 @@ def collisions(df: DataFrame) -> DataFrame:
     return df.select(path.alias("path"), F.to_json(key).alias("key")).groupBy("path").agg(F.count_distinct("key").alias("n")).where("n > 1")
 
 
+def without_collisions(df: DataFrame) -> DataFrame:
+    """The records, once no two identities among them share a path; the job fails where they do."""
+    message = F.concat(F.lit("records of different identity share "), F.col("path"))
+    clash = collisions(df).where(F.when(F.col("n") > 1, F.raise_error(message).cast("boolean")).otherwise(False))
+    # There is no row to join with, or the job has failed; the join makes the check part of it.
+    return df.join(F.broadcast(clash.select("path").limit(1)), F.lit(True), "left_anti")
+
+
 def is_record() -> Column:
     """The fields that make an object a record."""
     return F.col("model_info.name").isNotNull() & F.col("eval_library.name").isNotNull() & F.col("evaluation_results").isNotNull() & F.col("schema_version").isNotNull()
@@ -86,6 +98,13 @@ def missing_metadata() -> Column:
     return F.array_compact(F.array(*[F.when(T.flag(details(f)).isNull(), F.lit(f)) for f in ("merge", "commercially_licensed", "open", "trained_from_scratch")]))
 
 
+def with_metadata(df: DataFrame) -> DataFrame:
+    """The records, whose required flags must be there; a record without one fails the job with their names."""
+    gaps = missing_metadata()
+    message = F.concat(F.lit("metadata missing for "), F.coalesce("model_info.name", F.lit("?")), F.lit(": "), F.array_join(gaps, ", "))
+    return df.where(F.when(F.size(gaps) > 0, F.raise_error(message).cast("boolean")).otherwise(True))
+
+
 def valid(df: DataFrame, banned_models: list[str], api_models: list[str], min_version: str = MIN_VERSION, banned_versions: list[str] | None = None, mode: str = "lexical") -> DataFrame:
     """Records of a version that counts, of a model not banned, and not few-shot for models behind an interface.
 
@@ -109,10 +128,14 @@ def of_frequent_models(df: DataFrame, least: int = MIN_RECORDS) -> DataFrame:
 
 
 def fixed(df: DataFrame, renamed_tasks: dict[str, str]) -> DataFrame:
-    """Tasks under their present names."""
+    """Tasks under their present names; the split and shot flags of survey tasks, which have neither, become unknown."""
     task = run_detail("task")
     new = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in renamed_tasks.items() for x in kv]), task), task) if renamed_tasks else task
-    return df.withColumn("eval_library", F.col("eval_library").withField("additional_details.task", new))
+    library = F.col("eval_library").withField("additional_details.task", new)
+    survey = new.isin(*FLAGLESS_TASKS)
+    for flag in ("few_shot", "validation_split"):
+        library = library.withField(f"additional_details.{flag}", F.when(~F.coalesce(survey, F.lit(False)), run_detail(flag)))
+    return df.withColumn("eval_library", library)
 
 
 def enriched(df: DataFrame, cache: DataFrame, defaults: dict[str, str]) -> DataFrame:
@@ -154,7 +177,7 @@ def scores(df: DataFrame, tasks: DataFrame) -> DataFrame:
     most one are shares and become percent (the total stays); the error is that of the scores as they then are.
     """
     rows = df.select(T.variant_id(F.col("model_info.name"), few_shot(), validation()).alias("model"), dataset_name().alias("dataset"), run_detail("task").alias("task"), raw_results().alias("_raw"), total_scores().alias("_total"), validation().isNull().alias("split_agnostic"))
-    rows = rows.join(F.broadcast(tasks), "task").withColumn("_slots", F.array(F.struct(F.lit("primary").alias("slot"), F.col("primary_metric").alias("metric")), F.struct(F.lit("secondary").alias("slot"), F.col("secondary_metric").alias("metric"))))
+    rows = rows.join(tasks, "task").withColumn("_slots", F.array(F.struct(F.lit("primary").alias("slot"), F.col("primary_metric").alias("metric")), F.struct(F.lit("secondary").alias("slot"), F.col("secondary_metric").alias("metric"))))
     rows = rows.withColumn("_s", F.explode("_slots")).where("_s.metric IS NOT NULL")
     metric = F.col("_s.metric")
     raw = F.filter(F.transform("_raw", lambda m: F.coalesce(F.try_element_at(m, F.concat(F.lit("test_"), metric)), F.try_element_at(m, metric)).try_cast("double")), lambda x: x >= 0)
@@ -184,17 +207,21 @@ def without_val_duplicates(scores: DataFrame) -> DataFrame:
 
 
 def model_metadata(df: DataFrame, order: str = "ord") -> DataFrame:
-    """The first informative value of each field of each model; False is informative, an explicit address too."""
+    """The first informative value of each field of each model; False is informative, and an explicit address beats a made one."""
     model = T.plain_model_id(F.col("model_info.name"))
     numbers = ["num_model_parameters", "max_sequence_length", "vocabulary_size"]
     values = {f: T.number(details(f)) for f in numbers} | {f: T.flag(details(f)) for f in ("merge", "commercially_licensed", "open", "trained_from_scratch")} | {f: details(f) for f in ("generative_type", "model_url")}
-    return df.groupBy(model.alias("model")).agg(*[F.min_by(v, F.when(v.isNotNull(), F.col(order))).alias(f) for f, v in values.items()])
+    at = {f: F.when(v.isNotNull(), F.struct(F.lit(0).alias("made"), F.col(order).alias("at"))) for f, v in values.items()}
+    # An address that was given beats one made from the model's name, wherever it comes.
+    made = details("model_url") == F.concat(F.lit("https://hf.co/"), F.split(model, "[@#]")[0])
+    at["model_url"] = F.when(values["model_url"].isNotNull(), F.struct(made.cast("int").alias("made"), F.col(order).alias("at")))
+    return df.groupBy(model.alias("model")).agg(*[F.min_by(v, at[f]).alias(f) for f, v in values.items()])
 
 
 def scored_count(scores: DataFrame, split_sizes: DataFrame) -> DataFrame:
     """Examples scored: iterations times the size of the split that was used (``dataset``, ``split``, ``n``)."""
     split = F.when(F.col("model").rlike(r"\bval\)"), "val").otherwise("test")
-    return scores.withColumn("split", split).join(F.broadcast(split_sizes), ["dataset", "split"], "left").withColumn("n_scored", F.size("raw") * F.col("n")).drop("n")
+    return scores.withColumn("split", split).join(split_sizes, ["dataset", "split"], "left").withColumn("n_scored", F.size("raw") * F.col("n")).drop("n")
 
 
 def flat_to_envelope(df: DataFrame) -> DataFrame:
@@ -206,10 +233,24 @@ def flat_to_envelope(df: DataFrame) -> DataFrame:
         F.concat_ws("/", "dataset", "model").alias("evaluation_id"),
         F.struct(F.col("model").alias("name"), F.col("model").alias("id")).alias("model_info"),
         F.struct(F.lit("plumbline").alias("name"), F.col("version"), F.struct("dataset", "task", F.col("few_shot").cast("string").alias("few_shot"), F.col("validation_split").cast("string").alias("validation_split"), F.to_json("raw", options).alias("raw_results")).alias("additional_details")).alias("eval_library"),
-        F.transform(F.map_entries("total"), lambda e: F.struct(e["key"].alias("evaluation_name"), F.struct(e["value"].alias("score")).alias("score_details"))).alias("evaluation_results"),
+        F.transform(F.map_entries("total"), lambda e: F.struct(e["key"].alias("evaluation_name"), F.struct(F.col("dataset").alias("dataset_name")).alias("source_data"), F.struct(e["value"].alias("score")).alias("score_details"))).alias("evaluation_results"),
     )
 
 
+def envelope_to_flat(df: DataFrame) -> DataFrame:
+    """The other way: records as flat results, unknown flags and scores as null."""
+    return df.select(
+        F.coalesce("model_info.id", "model_info.name").alias("model"), dataset_name().alias("dataset"), run_detail("task").alias("task"), few_shot().alias("few_shot"), validation().alias("validation_split"),
+        F.col("eval_library.version").alias("version"), F.from_json(run_detail("raw_results"), "array<map<string,double>>").alias("raw"), total_scores().alias("total"),
+    )
+
+
+def raw_as_list(raw: Column) -> Column:
+    """Old raw results, a map of metric to its scores, as a list of maps, one for each iteration."""
+    n = F.array_max(F.transform(F.map_values(raw), F.size))
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform_values(raw, lambda _, v: F.get(v, i)))
+
+
 def upgraded(df: DataFrame) -> DataFrame:
     """Old flat results: a note in the model's name becomes flags, a lone language a list."""
     note = F.regexp_extract("model", r"\(([^()]+)\)\s*$", 1)
@@ -234,5 +275,21 @@ def to_run(prompts: DataFrame, cache: DataFrame, prompt: str = "prompt", order:
 
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:
-    """``df`` with ``ord``, a number that sorts as the given columns do; for the small table of record paths."""
-    return df.withColumn("ord", F.row_number().over(Window.orderBy(*order)))
+    """``df`` with ``ord``, a number from 0 in the order of the given columns, which name a row: range partitions are
+    numbered apart and get their start from the counts of those before, so no window goes over the whole table."""
+    ranged = df.withColumn("_by", F.struct(*order))
+    return dense_index(ranged, "_by", "ord").drop("_by")
+
+
+def natural_join(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Inner join on all columns that both have; an error if they have none in common."""
+    common = [c for c in left.columns if c in right.columns]
+    if not common:
+        raise ValueError("the tables have no column in common")
+    return left.join(right, common)
+
+
+def matched(responses: DataFrame, sources: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Responses with their source, and the number of those without one, which are left out."""
+    lost = responses.join(sources.select(key).distinct(), key, "left_anti").agg(F.count(F.lit(1)).alias("n_unmatched"))
+    return responses.join(sources, key), lost

@@ -103,7 +103,58 @@ def contributor_counts(df: DataFrame, assignees: str, excluded: list[str]) -> Da
     return rows.groupBy("login").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "login")
 
 
-def log_axis(c: str, low: float, high: float, pixels: int) -> Column:
-    """Place of a value on a logarithmic axis."""
-    span = F.log10(F.lit(high)) - F.log10(F.lit(low))
-    return (F.log10(F.col(c)) - F.log10(F.lit(low))) / span * pixels
+def axis_place(c: str, low: float, high: float, pixels: int, log: bool = True, padding: float = 0.0) -> Column:
+    """Place of a value on an axis from ``low`` to ``high``, logarithmic or linear, widened by a share at both ends."""
+    scale = F.log10 if log else lambda x: x
+    first, last = scale(F.lit(float(low))), scale(F.lit(float(high)))
+    room = (last - first) * padding
+    return (scale(F.col(c).cast("double")) - first + room) / (last - first + 2 * room) * pixels
+
+
+#: A board's columns before and between those of its tasks, languages and datasets.
+FIRST, ABOUT = ["rank", "model", "mean_rank_score"], ["generative_type", "open", "commercial", "merge", "trained_from_scratch", "parameters", "vocabulary_size", "context"]
+
+
+def in_order(df: DataFrame, orthogonal: list[str], ranks: list[str], datasets: list[str]) -> DataFrame:
+    """A board's columns in their order, those of each dataset's version, failures and sizes last; others are left out."""
+    name = lambda x: x.replace("-", "_")
+    own = [name(x) for x in datasets]
+    extra = [f"{x}_{kind}" for kind in ("version", "failures", "scored") for x in own]
+    wanted = [*FIRST, *[name(x) for x in orthogonal], *ABOUT, *ranks, *own, *extra]
+    if missing := [c for c in wanted if c not in df.columns]:
+        raise ValueError(f"a board without {', '.join(missing)}")
+    return df.select(*wanted)
+
+
+def with_scores_of_their_own(df: DataFrame, values: list[str], orthogonal: list[str], blank: str = "-") -> DataFrame:
+    """Without models that have orthogonal scores and, in the value columns, nothing but blanks."""
+    has = lambda columns: reduce(lambda a, b: a | b, [F.col(c).isNotNull() & (F.col(c).cast("string") != blank) for c in columns], F.lit(False))
+    return df.where(has(values) | ~has(orthogonal))
+
+
+def orthogonal_means(scores: DataFrame, orthogonal: DataFrame, plain_id: Column, order: str) -> DataFrame:
+    """``model`` (plain id), ``task`` and ``score``: mean over a task's orthogonal datasets (``dataset``, ``task``) of a
+    model's score, the last of its variants' by ``order``."""
+    rows = scores.join(orthogonal, "dataset").where(F.col("total").isNotNull() & ~F.isnan("total"))
+    last = rows.groupBy(plain_id.alias("model"), "task", "dataset").agg(F.max_by("total", order).alias("total"))
+    return last.groupBy("model", "task").agg(F.avg("total").alias("score"))
+
+
+def pareto_languages(ranks: DataFrame, by: list[str], cost: str, rank: str) -> DataFrame:
+    """``model`` and the sorted ``languages`` in which it is on its frontier, in any of its categories (``by`` holds kind,
+    category and language)."""
+    front = pareto(ranks.where(~F.isnan(F.col(cost).cast("double"))), by, cost, rank)
+    return front.groupBy("model").agg(F.sort_array(F.collect_set("language")).alias("languages"))
+
+
+def top_open(entries: DataFrame, n: int) -> DataFrame:
+    """``model`` and ``rank`` of the ``n`` first checkpoints of the most open entries, each once.
+
+    ``entries``: ``name``, ``kind``, ``required_open``, ``open_count`` and ``weights`` (array of model ids in order, null
+    where a link names none).  The top-k keeps ``n`` entries at most, since each gives one model or more.
+    """
+    fit = entries.where((F.col("kind") == "text") & F.col("required_open")).withColumn("weights", F.array_compact("weights")).where(F.size("weights") > 0)
+    rows = fit.select("open_count", F.lower("name").alias("name"), F.posexplode("weights").alias("place", "model"))
+    first = rows.groupBy("model").agg(F.min(F.struct((-F.col("open_count")).alias("open"), "name", "place")).alias("at"))
+    best = first.orderBy("at", "model").limit(n)
+    return best.select("model", F.row_number().over(Window.orderBy("at", "model")).alias("rank"))

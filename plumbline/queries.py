@@ -5,39 +5,18 @@ Averages and the like are rounded to six digits on both sides, since engines add
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.catalog import ORACLES, QUERIES, query, r6, table  # noqa: F401
 from plumbline.functions import labels as L
 from plumbline.functions import text as T
-from plumbline.functions.hashing import draw_sql
+from plumbline.functions.hashing import draw_sql, draws_sql
 from plumbline.operators import constraints, curation, metrics, planning, ranking, serving
 from plumbline.sources import files
 from plumbline.streaming import ingest
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-REPLICATES = 50
-
-
-def query(sql: str | None = None):
-    def add(fn):
-        QUERIES[fn.__name__] = fn
-        if sql:
-            ORACLES[fn.__name__] = sql
-        return fn
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def r6(c: Column | str) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+REPLICATES = 100
 
 
 def event_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -102,7 +81,7 @@ _BOOT = f"""WITH {_SCORES}, {_CONFIG}, {_MEANS}, {_STATS}, {_PLACED},
     slots AS (SELECT b AS replicate, task, task_no, n, place AS slot FROM placed, range(0, {REPLICATES}) t(b)),
     drawn AS (SELECT s.replicate, s.task, s.task_no, s.slot, p.dataset FROM (SELECT *, ({draw_sql(42, 'replicate', 'task_no', 'slot')}) % n AS place FROM slots) s JOIN placed p ON p.task = s.task AND p.place = s.place),
     lists AS (SELECT model, model_no, dataset, list(raw ORDER BY position, raw) AS raws, count(*) AS n FROM scores GROUP BY ALL),
-    picks AS (SELECT o.replicate, l.model, o.dataset, o.task, o.slot, l.raws[(({draw_sql(43, 'o.replicate', 'o.task_no', 'o.slot', 'l.model_no', 'k')}) % l.n)::BIGINT + 1] AS raw
+    picks AS (SELECT o.replicate, l.model, o.dataset, o.task, o.slot, l.raws[(({draws_sql('k', 43, 'o.replicate', 'o.task_no', 'o.slot', 'l.model_no')}) % l.n)::BIGINT + 1] AS raw
               FROM (SELECT *, unnest(range(0, n)) AS k FROM lists) l JOIN drawn o ON o.dataset = l.dataset),
     ranked AS (SELECT replicate, model, p.dataset, task, slot, 1 + (any_value(best) - avg(raw)) / any_value(sd) AS rank_score FROM picks p JOIN stats s ON s.dataset = p.dataset WHERE sd > 0 GROUP BY replicate, model, p.dataset, task, slot),
     {_hierarchy_sql('(SELECT replicate, model, dataset, rank_score FROM ranked)', 'replicate, ')}"""
@@ -119,15 +98,15 @@ def bootstrap_overall_ci(spark, d):
 
 @query()
 def significance_rank(spark, d):
-    return ranking.significance_ranks(_boot(spark, d, 100).withColumn("category", F.lit("all")), "category")
+    return ranking.significance_ranks(_boot(spark, d).withColumn("category", F.lit("all")), "category")
 
 
 @query(f"""WITH {_SCORES}, {_MEANS}, {_STATS}, lists AS (SELECT model, model_no, dataset, list(raw ORDER BY position, raw) AS raws, count(*) AS n FROM scores GROUP BY ALL),
-    picks AS (SELECT replicate, model, dataset, raws[(({draw_sql(42, 'replicate', 'model_no', 'k')}) % n)::BIGINT + 1] AS raw FROM (SELECT *, unnest(range(0, n)) AS k FROM lists), range(0, 20) t(replicate)),
+    picks AS (SELECT replicate, model, dataset, raws[(({draws_sql('k', 42, 'replicate', 'model_no')}) % n)::BIGINT + 1] AS raw FROM (SELECT *, unnest(range(0, n)) AS k FROM lists), range(0, {REPLICATES}) t(replicate)),
     boots AS (SELECT model, p.dataset, replicate, 1 + (any_value(best) - avg(raw)) / CASE WHEN any_value(sd) > 0 THEN any_value(sd) ELSE 1.0 END AS score FROM picks p JOIN stats s ON s.dataset = p.dataset GROUP BY model, p.dataset, replicate)
-    SELECT model, dataset, round(quantile_cont(score, 0.5), 5) AS median, round(quantile_cont(score, 0.975), 5) AS upper FROM boots GROUP BY ALL""")
+    SELECT model, dataset, round(quantile_cont(score, 0.025), 5) AS lower, round(quantile_cont(score, 0.5), 5) AS median, round(quantile_cont(score, 0.975), 5) AS upper FROM boots GROUP BY ALL""")
 def dataset_rank_ci(spark, d):
-    return ranking.dataset_rank_intervals(event_scores(spark, d), 20, digits=9).select("model", "dataset", F.round("median", 5).alias("median"), F.round("upper", 5).alias("upper"))
+    return ranking.dataset_rank_intervals(event_scores(spark, d), REPLICATES, digits=9).select("model", "dataset", *[F.round(c, 5).alias(c) for c in ("lower", "median", "upper")])
 
 
 @query("""WITH have AS (SELECT DISTINCT l_suppkey::VARCHAR AS model, l_returnflag || l_linestatus AS dataset FROM lineitem WHERE l_quantity > 49)
@@ -207,7 +186,8 @@ def fixed_split(spark, d):
 
 
 @query("""SELECT doc_id, label, turn FROM (SELECT *, row_number() OVER (ORDER BY rn, label) AS turn FROM (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY pos) AS rn FROM
-    (SELECT *, row_number() OVER (PARTITION BY text ORDER BY pos) AS first FROM (SELECT d.doc_id, text, quality::VARCHAR AS label, md5('4242:' || d.doc_id) || ':' || d.doc_id AS pos FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE length(text) < 512)) WHERE first = 1)) WHERE turn <= 12""")
+    (SELECT *, row_number() OVER (PARTITION BY text ORDER BY pos) AS first FROM (SELECT d.doc_id, text, quality::VARCHAR AS label, md5('4242:' || d.doc_id) || ':' || d.doc_id AS pos FROM documents d JOIN labels l ON l.doc_id = d.doc_id
+    WHERE length(text) < (SELECT min(b) FROM (SELECT b FROM (SELECT unnest([512, 1024, 2048, 4096, 8192]) AS b), (SELECT length(text) AS n FROM documents JOIN labels USING (doc_id)) GROUP BY b HAVING count(*) FILTER (WHERE n < b) >= 12)))) WHERE first = 1)) WHERE turn <= 12""")
 def few_shot_round_robin(spark, d):
     rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("doc_id", "text", F.col("quality").cast("string").alias("label"))
     return curation.few_shot(rows, ["0", "1"], 12, "doc_id").select("doc_id", "label", "turn")
@@ -388,9 +368,9 @@ def rollup_board(spark, d):
     return rows.rollup("c_mktsegment", "r_name", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("SELECT c_name, n_name FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_name, n_name FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
 def anti_join_customers(spark, d):
-    rows = table(spark, d, "customer").join(table(spark, d, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti")
+    rows = table(spark, d, "customer").join(table(spark, d, "orders").where("o_orderstatus = 'F'"), F.col("o_custkey") == F.col("c_custkey"), "left_anti")
     return rows.join(F.broadcast(table(spark, d, "nation")), F.col("n_nationkey") == F.col("c_nationkey")).select("c_name", "n_name")
 
 
@@ -412,12 +392,3 @@ def generation_metrics(spark, d):
 @query()
 def extracted_labels(spark, d):
     return L.extracted_label(table(spark, d, "benchmark").select("item_id", F.col("text").alias("said")), "said", ["positive", "negative", "neutral"]).select("item_id", "label", "label_failed")
-
-
-@query()
-def corrupted_sentences(spark, d):
-    rows = table(spark, d, "benchmark").select("item_id", F.split("text", " ").alias("tokens"))
-    return rows.select("item_id", L.corrupted(F.col("tokens"), F.col("item_id")).alias("c")).select("item_id", "c.kind", T.joined_tokens(F.col("c.tokens")).alias("text"))
-
-
-

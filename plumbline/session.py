@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -18,3 +20,19 @@ def settled(df: DataFrame) -> DataFrame:
     """``df`` computed once, for plans that use it several times: a checkpoint in the shared folder where the session has
     one, which outlives lost executors, else cached."""
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
+_own_folder: str | None = None
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A folder for files of this session in ``spark.checkpoint.dir``; a temporary one only where Spark runs in one process."""
+    global _own_folder
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if _own_folder is None:
+        _own_folder = "file://" + tempfile.mkdtemp(prefix="spark-")
+    return _own_folder

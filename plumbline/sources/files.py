@@ -58,9 +58,10 @@ def split_of_file(path: Column) -> Column:
 def conllu(spark: SparkSession, path: str) -> DataFrame:
     """Sentences of a treebank: ``doc``, ``source``, ``ids``, ``tokens``, ``tags``.
 
-    Blocks end at blank lines.  A token range (``3-4``) keeps its own form and the tag of its first part.
+    Sentences end at lines that are empty or blank, whatever ends a line.  A token range (``3-4``) keeps its own form and
+    the tag of its first part.  Each file is read whole by one task: treebanks are many files of some megabytes.
     """
-    blocks = spark.read.option("lineSep", "\n\n").text(path).where(F.trim("value") != "")
+    blocks = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"\r?\n(?:[ \t]*\r?\n)+")).alias("value")).where(F.trim("value") != "")
     lines = F.split(F.trim("value"), "\r?\n")
     comment = lambda name: F.nullif(F.regexp_extract("value", rf"(?m)^# {name} = (.*?)\r?$", 1), F.lit(""))
     cells = F.transform(F.filter(lines, lambda x: ~x.startswith("#") & F.contains(x, F.lit("\t"))), lambda x: F.split(x, "\t"))
@@ -165,6 +166,30 @@ def write_board(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_board_files(df: DataFrame, folder: str, simple: list[str], note: dict[str, str]) -> None:
+    """A board, its simplified form of a few columns, and a note as JSON, each a folder of one file."""
+    write_board(df, f"{folder}/board")
+    write_board(df.select(*simple), f"{folder}/simplified")
+    df.sparkSession.createDataFrame([note], ", ".join(f"{k} string" for k in note)).coalesce(1).write.mode("overwrite").json(f"{folder}/note")
+
+
+def hub_table(spark: SparkSession, path: str, config: str | None = None, renamed: dict[str, str] | None = None) -> DataFrame:
+    """Parquet files of a dataset (of one configuration's folder) with a ``split`` column from their names; splits may be renamed."""
+    df = spark.read.option("recursiveFileLookup", True).parquet(f"{path}/{config}" if config else path)
+    split = split_of_file(F.col("_metadata.file_path"))
+    for old, new in (renamed or {}).items():
+        split = F.when(split == old, new).otherwise(split)
+    return df.withColumn("split", split)
+
+
+def checked_snapshot(df: DataFrame, keep: Column, n: int = 5, seed: int = 4242) -> None:
+    """Raises if any of ``n`` files' records, drawn by a seeded order of their paths, is no record."""
+    picked = df.select("path").distinct().orderBy(F.md5(F.concat_ws(":", F.lit(seed), "path").cast("binary"))).limit(n)
+    wrong = df.join(F.broadcast(picked), "path", "left_semi").where(~F.coalesce(keep, F.lit(False))).select("path").distinct().collect()
+    if wrong:
+        raise ValueError(f"{len(wrong)} of {n} files are not as they should be: {', '.join(sorted(r.path for r in wrong))}")
+
+
 def write_splits(df: DataFrame, path: str, split: str = "split") -> None:
     df.write.mode("overwrite").partitionBy(split).parquet(path)
 
@@ -187,3 +212,12 @@ def to_prune(snapshots: DataFrame, cap: int) -> DataFrame:
 
 def to_download(listing: DataFrame, local: DataFrame) -> DataFrame:
     return listing.join(local.select("path"), "path", "left_anti")
+
+
+def next_batch(df: DataFrame, done: DataFrame | None, key: str, size: int) -> DataFrame:
+    """The ``size`` rows that follow what is stored: those of least key beyond the largest key done.
+
+    The stored results are themselves the pointer, so a run that was broken off goes on where it stopped.
+    """
+    last = None if done is None else done.agg(F.max(key)).head()[0]
+    return (df if last is None else df.where(F.col(key) > F.lit(last))).orderBy(key).limit(size)
