@@ -154,6 +154,40 @@ def prompt(prefix: str, template: str, few_shot: Column, fields: dict[str, Colum
     return F.concat_ws("\n\n", F.nullif(F.lit(prefix), F.lit("")), few_shot, body)
 
 
+#: Fields of an example by task group, for a template's ``{name}`` places.
+FIELDS: dict[str, dict[str, str]] = {
+    "sequence-classification": {"text": "text", "label": "label"},
+    "multiple-choice-classification": {"text": "text", "label": "label"},
+    "text-to-text": {"text": "text", "target_text": "target_text"},
+    "token-classification": {"text": "text", "label": "tags_json"},
+    "question-answering": {"text": "context", "question": "question", "label": "answer"},
+}
+
+
+def prompts(df: DataFrame, task_group: str, prefix: str, template: str, examples: DataFrame | None = None, into: str = "prompt") -> DataFrame:
+    """``df`` with its prompt: prefix, the examples filled in by ``turn``, and the row's own with an empty answer.
+
+    The rows have the columns that the task group's fields name.  Examples are few: they become one array, broadcast.
+    """
+    fields = FIELDS[task_group]
+    answer = list(fields)[-1]
+
+    def filled(known: set[str]) -> Column:
+        body = F.lit(template)
+        for place, column in fields.items():
+            value = F.coalesce(F.col(column).cast("string"), F.lit("")) if place in known else F.lit("")
+            body = F.replace(body, F.lit("{" + place + "}"), value)
+        return body
+
+    own = F.rtrim(filled(set(fields) - {answer}))
+    head = F.nullif(F.lit(prefix), F.lit(""))
+    if examples is None:
+        return df.withColumn(into, F.concat_ws("\n\n", head, own))
+    shots = examples.agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", filled(set(fields)).alias("text")))), lambda x: x["text"]).alias("_shots"))
+    rows = df.join(F.broadcast(shots))
+    return rows.withColumn(into, F.concat_ws("\n\n", head, F.array_join("_shots", "\n\n"), own)).select(*df.columns, into)
+
+
 #: Parts of speech without which a sentence may still be right, nouns, and those that are no words.
 DISPENSABLE, NOUNS, MARKS = ["ADJ", "ADV", "PUNCT", "SYM", "DET", "NUM", "PART"], ["NOUN", "PROPN"], ["PUNCT", "SYM"]
 

@@ -95,25 +95,21 @@ def length_between(df: DataFrame, column: str, low: int, high: int) -> DataFrame
     return df.where(F.length(column).between(low, high))
 
 
-def top_token_count(text: Column) -> Column:
-    """How often the commonest white-space token occurs: tokens are sorted, and a fold keeps the longest run."""
+def more_often_than(text: Column, most: int) -> Column:
+    """Whether a white-space token occurs more than ``most`` times: whether, of the sorted tokens, one equals that ``most`` places on."""
     tokens = F.sort_array(F.filter(F.split(text, r"\s+"), lambda x: x != ""))
-    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"))
-
-    def step(a: Column, x: Column) -> Column:
-        run = F.when(a["last"] == x, a["run"] + 1).otherwise(1)
-        return F.struct(x.alias("last"), run.alias("run"), F.greatest(a["most"], run).alias("most"))
-
-    return F.aggregate(tokens, start, step, lambda a: a["most"])
+    hits = lambda s: F.size(F.filter(s, lambda x, i: x == F.get(s, i + most))) > 0
+    # A one-element array holds the sorted tokens, so that they are sorted once for a row.
+    return F.element_at(F.transform(F.array(tokens), hits), 1)
 
 
 def not_repetitive(df: DataFrame, column: str, most: int = 50) -> DataFrame:
-    return df.where(top_token_count(F.col(column)) <= most)
+    return df.where(~more_often_than(F.col(column), most))
 
 
 def options_between(df: DataFrame, column: str, low: int, high: int, most: int = 50) -> DataFrame:
     """All options of fitting length, and none repetitive."""
-    return df.where(F.forall(column, lambda x: F.length(x).between(low, high)) & ~F.exists(column, lambda x: top_token_count(x) > most))
+    return df.where(F.forall(column, lambda x: F.length(x).between(low, high)) & ~F.exists(column, lambda x: more_often_than(x, most)))
 
 
 def answerable(df: DataFrame, answers: str = "answers") -> DataFrame:

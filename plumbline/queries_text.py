@@ -336,6 +336,42 @@ def labels_from_logprobs(spark, d):
     return L.labels_from_logprobs(rows, "logprobs", ["positive", "negative", "neutral"], ["batch"]).select("event_id", "label")
 
 
+@query("""SELECT doc_id, 'Judge.' || chr(10) || chr(10) || (SELECT string_agg('T: ' || lang || chr(10) || 'L: ' || source, chr(10) || chr(10) ORDER BY doc_id) FROM documents WHERE doc_id < 3) || chr(10) || chr(10) || 'T: ' || lang || chr(10) || 'L:' AS prompt FROM documents""")
+def few_shot_prompts(spark, d):
+    """Prompts of a classification task: three examples and each row without its label."""
+    rows = _docs(spark, d, "doc_id", F.col("lang").alias("text"), F.col("source").alias("label"))
+    shots = rows.where("doc_id < 3").withColumn("turn", F.col("doc_id"))
+    return L.prompts(rows, "sequence-classification", "Judge.", "T: {text}\nL: {label}", shots).select("doc_id", "prompt")
+
+
+@query("SELECT CASE n_regionkey WHEN 0 THEN 'zero' ELSE n_regionkey::VARCHAR END AS region, n_name AS first_choice, count(*) OVER (PARTITION BY n_regionkey) AS n FROM nation")
+def json_choices(spark, d):
+    """Lines of JSON with lists and a JSON array of objects, joined; a value mapped, a list's first element taken."""
+    lines, whole = _folder(spark, "ndjson"), _folder(spark, "array")
+    nation = table(spark, d, "nation")
+    nation.select("n_regionkey", F.array("n_name", F.lit("x")).alias("choices")).write.json(lines)
+    nation.groupBy(F.col("n_regionkey").alias("k")).agg(F.count(F.lit(1)).alias("n")).agg(F.to_json(F.collect_list(F.struct("k", "n"))).alias("value")).coalesce(1).write.text(whole)
+    rows = files.jsonl_records(spark, lines, strict=True, schema="n_regionkey string, choices array<string>")
+    sizes = files.json_table(spark, whole, "k string, n long")
+    return rows.join(sizes, F.col("n_regionkey") == F.col("k")).select(curation.mapped("n_regionkey", {"0": "zero"}, "same").alias("region"), F.element_at("choices", 1).alias("first_choice"), "n")
+
+
+@query("SELECT 'org/m' || (user_id % 40) AS model, event_type AS dataset, max(event_id) AS newest FROM events GROUP BY ALL")
+def streamed_records(spark, d):
+    """Records that arrive as files in three runs of a stream, folded by identity: the newest version of each stays."""
+    from plumbline.streaming import ingest
+
+    inbox, store, checkpoint, folded = (_folder(spark, x) for x in ("inbox", "store", "checkpoint", "compacted"))
+    name = F.concat(F.lit("org/m"), (F.col("user_id") % 40).cast("string"))
+    event = F.struct(F.lit("0.2.1").alias("schema_version"), F.col("event_id").cast("string").alias("evaluation_id"), F.struct(name.alias("name")).alias("model_info"), F.struct(F.lit("any").alias("name"), F.concat(F.lit("15.0."), F.col("event_id").cast("string")).alias("version"), F.struct(F.col("event_type").alias("dataset")).alias("additional_details")).alias("eval_library"))
+    for part in range(3):
+        table(spark, d, "events").where(F.col("event_id") % 3 == part).select(event.alias("r")).select("r.*").write.mode("append").json(inbox)
+        ingest.keep_newest(ingest.record_stream(spark, inbox), store, checkpoint).awaitTermination()
+    ingest.compacted(spark, store, folded)
+    rows = ingest.newest(spark, folded)
+    return rows.select(F.col("model_info.name").alias("model"), F.col("eval_library.additional_details.dataset").alias("dataset"), F.col("evaluation_id").cast("long").alias("newest"))
+
+
 # Files: each query writes what it reads to a new folder of the shared scratch space.
 
 

@@ -34,17 +34,23 @@ def jsonl_records(spark: SparkSession, path: str, strict: bool = False, schema:
     return lines.select(F.from_json("line", schema).alias("r"), "path").select("r.*", "path")
 
 
-def csv_splits(spark: SparkSession, files: dict[str, str]) -> DataFrame:
+def csv_splits(spark: SparkSession, files: dict[str, str], delimiter: str = ",") -> DataFrame:
     """Local files of each split as one table with a ``split`` column; all must be CSV."""
     if wrong := sorted(f for f in files.values() if not f.endswith(".csv")):
         raise ValueError(f"only csv files can be read: {', '.join(wrong)}")
-    parts = [spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(f).withColumn("split", F.lit(s)) for s, f in files.items()]
+    parts = [spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("sep", delimiter).csv(f).withColumn("split", F.lit(s)) for s, f in files.items()]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)
     return out
 
 
+def json_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Rows of JSON files that each hold one array of objects; a file is read by one task, so these are small tables."""
+    reader = spark.read.option("multiLine", True).option("mode", "FAILFAST")
+    return (reader.schema(schema) if schema else reader).json(path)
+
+
 def find_split(names: list[str], keyword: str) -> str | None:
     """The shortest split name that holds the keyword."""
     return min((n for n in names if keyword in n), key=len, default=None)

@@ -16,21 +16,30 @@ def record_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def keep_newest(stream: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
-    """Folds each batch into a store of one record for each identity.
+    """Adds each batch to a store, reduced to one record for each identity.
 
-    A version of the store is written under the batch's number and read as the next one's base, so a batch that is run
-    again after a failure starts from the same base and gives the same version.
+    A batch is written under its number alone, whatever the store holds, so its cost is its own; one that is run again
+    after a failure writes the same place again.  ``newest`` reads the store, ``compacted`` folds its batches.
     """
     def fold(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = batch.withColumns({"batch": F.lit(number), "ord": F.lit(float(number)) + F.xxhash64("evaluation_id", "retrieved_timestamp").cast("double") / 2.0**65 + 0.5})
-        if number > 0:
-            new = spark.read.parquet(f"{store}/batch={number - 1}").withColumn("batch", F.lit(number)).select(*new.columns).unionByName(new)
-        records.deduplicated_storage(new).write.mode("overwrite").parquet(f"{store}/batch={number}")
+        # Numbers of a batch lie beyond those of the batches before it.
+        order = F.lit(number).cast("decimal(18,0)") * F.lit(str(2**64)).cast("decimal(20,0)") + F.xxhash64("evaluation_id", "retrieved_timestamp", "model_info", "eval_library").cast("decimal(20,0)")
+        rows = batch.withColumns({"batch": F.lit(number), "ord": order.cast("decimal(38,0)")})
+        records.deduplicated_storage(rows).write.mode("overwrite").parquet(f"{store}/batches/number={number}")
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def newest(spark: SparkSession, store: str) -> DataFrame:
+    """The newest record of each identity over all batches of a store; among equals the earliest batch's."""
+    return records.deduplicated_storage(spark.read.parquet(f"{store}/batches")).drop("number")
+
+
+def compacted(spark: SparkSession, store: str, into: str) -> None:
+    """A new store of one batch with the newest records; the old one can then be removed."""
+    newest(spark, store).write.mode("overwrite").parquet(f"{into}/batches/number=0")
+
+
 def event_stream(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 

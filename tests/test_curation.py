@@ -21,7 +21,8 @@ def test_columns_and_choices(spark):
 
 def test_filters(spark):
     df = spark.createDataFrame([("a b a c a",), ("",), (None,), ("x\ty\nx",)], "t string")
-    assert [r[0] for r in df.select(C.top_token_count(F.col("t"))).collect()] == [3, 0, None, 2]
+    assert [r[0] for r in df.select(C.more_often_than(F.col("t"), 2)).collect()] == [True, False, None, False]
+    assert [r[0] for r in df.select(C.more_often_than(F.col("t"), 1)).collect()] == [True, False, None, True]
     assert C.not_repetitive(df, "t", 2).count() == 2 and C.non_empty(df, "t").count() == 2 and C.length_between(df, "t", 5, 9).count() == 2
     options = spark.createDataFrame([(["aa", "bb"],), (["a", "bb"],), (["x x x", "bb"],)], "o array<string>")
     assert C.options_between(options, "o", 2, 9, 2).count() == 1

@@ -130,6 +130,11 @@ def test_sources_and_sinks(spark, tmp_path):
     assert files.html_text("<p>a &amp; b<br>c<script>no</script></p><a href=x>d</a>") == ("a & b\nc\nd", 1)
     assert config_from("name: x\nlanguages: [da, sv]\ntask: classify").languages == ("da", "sv")
     assert inferred_task(["text", "label"]) == "sequence-classification"
+    hints = config_from('{"tasks": [{"split": "dev", "config": "da", "field_spec": {"input": "q", "target": "literal:x", "choices": "opts"}, "solvers": [{"name": "multiple_choice"}]}]}', name="repo", languages=["da"])
+    assert (hints.task, hints.columns, hints.splits[2], hints.source, hints.languages) == ("multiple-choice", {"q": "text", "opts": "choices"}, "dev", "da", ("da",))
+    assert config_from('{"name": "x", "tasks": [{"scorers": [{"name": "model_graded_fact"}]}]}').task == "reference-free-qa"
+    flat = config_from('{"name": "x", "input_column": "body", "target_column": "mark"}')
+    assert flat.columns == {"body": "text", "mark": "label"} and flat.task == "sequence-classification" and flat.languages == ("en",)
     with pytest.raises(ValueError, match="unknown"):
         config_from('{"name": "x", "task": "t", "code": 1}')
 
@@ -149,7 +154,9 @@ def test_streaming_ingest(spark, tmp_path):
         (tmp_path / f"in/{i}.json").write_text("\n".join(map(json.dumps, rows)))
         query = ingest.keep_newest(ingest.record_stream(spark, str(tmp_path / "in")), str(tmp_path / "store"), str(tmp_path / "check"))
         query.awaitTermination()
-    last = spark.read.parquet(str(tmp_path / "store/batch=1"))
+    last = ingest.newest(spark, str(tmp_path / "store"))
+    ingest.compacted(spark, str(tmp_path / "store"), str(tmp_path / "folded"))
+    assert sorted(r.eval_library.version for r in ingest.newest(spark, str(tmp_path / "folded")).collect()) == ["15.1.0", "15.2.0"]
     assert sorted((r.eval_library.additional_details.dataset, r.eval_library.version) for r in last.collect()) == [("d1", "15.2.0"), ("d2", "15.1.0")]
 
 
