@@ -429,9 +429,9 @@ def spans_to_bio(starts: Column, ends: Column, entities: Column) -> Column:
 
 
 def normalised_questions(df: DataFrame, question: str, order: str) -> DataFrame:
-    """String columns trimmed, the question without final periods, and each question once."""
-    text = {f.name: F.trim(f.name) for f in df.schema if f.dataType.typeName() == "string"}
-    text[question] = F.regexp_replace(F.trim(question), r"\.+$", "")
+    """String columns without white space at their ends, the question without final periods, and each question once."""
+    text = {f.name: F.btrim(f.name, F.lit(" \t\n\x0b\f\r")) for f in df.schema if f.dataType.typeName() == "string"}
+    text[question] = F.regexp_replace(text[question], r"\.+\z", "")
     return drop_exact_duplicates(df.withColumns(text), [question], order)
 
 

@@ -106,7 +106,7 @@ def significance_rank(spark, d):
     boots AS (SELECT model, p.dataset, replicate, 1 + (any_value(best) - avg(raw)) / CASE WHEN any_value(sd) > 0 THEN any_value(sd) ELSE 1.0 END AS score FROM picks p JOIN stats s ON s.dataset = p.dataset GROUP BY model, p.dataset, replicate)
     SELECT model, dataset, round(quantile_cont(score, 0.025), 5) AS lower, round(quantile_cont(score, 0.5), 5) AS median, round(quantile_cont(score, 0.975), 5) AS upper FROM boots GROUP BY ALL""")
 def dataset_rank_ci(spark, d):
-    return ranking.dataset_rank_intervals(event_scores(spark, d), REPLICATES, digits=9).select("model", "dataset", *[F.round(c, 5).alias(c) for c in ("lower", "median", "upper")])
+    return ranking.dataset_rank_intervals(event_scores(spark, d), REPLICATES, digits=12).select("model", "dataset", *[F.round(c, 5).alias(c) for c in ("lower", "median", "upper")])
 
 
 @query("""WITH have AS (SELECT DISTINCT l_suppkey::VARCHAR AS model, l_returnflag || l_linestatus AS dataset FROM lineitem WHERE l_quantity > 49)

@@ -9,7 +9,7 @@ from plumbline.functions import labels as L
 from plumbline.functions.hashing import draw_sql
 from plumbline.operators import constraints, metrics
 
-_BAG = r"list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace(lower({}), '[!-/:-@\[-`{{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda t: t <> '')"
+_BAG = r"list_filter(string_split(regexp_replace(regexp_replace(lower({}), '[!-/:-@\[-`{{-~]', '', 'g'), '\s+', ' ', 'g'), ' '), lambda t: t NOT IN ('', 'a', 'an', 'the'))"
 
 
 @query(f"""WITH rows AS (SELECT c.role, {_BAG.format('c.text')} AS p, {_BAG.format("r.text")} AS g FROM conversations c JOIN conversations r ON r.conv_id = c.conv_id AND r.turn = 0),

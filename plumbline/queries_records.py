@@ -247,11 +247,11 @@ def category_board(spark, d):
 
 @query("""WITH leaves AS (SELECT user_id::VARCHAR AS model, 'lang' || (length(event_type) % 3) AS language, 'task' || (length(event_type) % 2) AS task, avg(value) AS score, (max(value) - min(value)) / 2 AS margin FROM events GROUP BY user_id, event_type),
     t AS (SELECT model, language, task, round(avg(score), 9) AS score, round(1.96 * sqrt(sum(power(margin / 1.96, 2))) / count(*), 9) AS margin FROM leaves GROUP BY ALL), l AS (SELECT model, language, round(avg(score), 9) AS score, round(1.96 * sqrt(sum(power(margin / 1.96, 2))) / count(*), 9) AS margin FROM t GROUP BY ALL)
-    SELECT model, language, round(score, 5) AS score, round(margin, 5) AS margin FROM l UNION ALL SELECT model, NULL, round(avg(score), 5), round(1.96 * sqrt(sum(power(margin / 1.96, 2))) / count(*), 5) FROM l GROUP BY model""")
+    SELECT model, language, round(score, 7) AS score, round(margin, 6) AS margin FROM l UNION ALL SELECT model, NULL, round(avg(score), 7), round(1.96 * sqrt(sum(power(margin / 1.96, 2))) / count(*), 6) FROM l GROUP BY model""")
 def analytic_board(spark, d):
     """Intervals of each dataset carried up to tasks, languages and overall."""
     rows = table(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("model"), F.col("event_type").alias("dataset")).agg(F.avg("value").alias("rank_score"), F.min("value").alias("lower"), F.max("value").alias("upper"))
-    return ranking.analytic_ranks(rows, event_config(spark, d), 9).select("model", "language", F.round("score", 5).alias("score"), F.round("margin", 5).alias("margin"))
+    return ranking.analytic_ranks(rows, event_config(spark, d), 9).select("model", "language", F.round("score", 7).alias("score"), F.round("margin", 6).alias("margin"))
 
 
 @query("SELECT s_suppkey, n_name, row_number() OVER (PARTITION BY n_name ORDER BY CASE WHEN s_acctbal > 0 THEN s_acctbal END NULLS LAST, s_suppkey) AS position FROM supplier JOIN nation ON n_nationkey = s_nationkey")

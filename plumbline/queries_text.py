@@ -132,11 +132,10 @@ def answer_starts(spark, d):
     return curation.answerable(rows).select("doc_id", F.col("answers.answer_start")[0].cast("long").alias("first_start"))
 
 
-@query("SELECT question, min(doc_id) AS doc_id FROM (SELECT doc_id, regexp_replace(trim(substr(text, 1, 12)), '\\.+$', '') AS question FROM documents) GROUP BY question")
+@query(r"SELECT question, min(doc_id) AS doc_id FROM (SELECT doc_id, regexp_replace(trim(substr(text, 1, 12), e' \t\n\x0b\x0c\r'), '\.+$', '') AS question FROM documents) GROUP BY question")
 def distinct_questions(spark, d):
-    """Questions here are the first twelve characters of texts, with blanks and periods put around them."""
-    question = F.concat(F.lit(" "), F.trim(F.substring("text", 1, 12)), F.lit(". "))
-    rows = _docs(spark, d, "doc_id", "text").select("doc_id", F.regexp_replace(question, r"\.* $", " ").alias("question"))
+    """Questions here are the first twelve characters of texts, with blanks put around them."""
+    rows = _docs(spark, d, "doc_id", F.concat(F.lit(" "), F.substring("text", 1, 12), F.lit("\n ")).alias("question"))
     return curation.normalised_questions(rows, "question", "doc_id")
 
 
