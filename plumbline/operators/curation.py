@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.hashing import seeded_order
+from plumbline.session import settled
 
 #: Splits in order of priority.
 SPLITS = ["train", "val", "test"]
@@ -75,15 +76,18 @@ def mapped_array(column: str, mapping: dict[str, str]) -> Column:
 
 
 def dense_index(df: DataFrame, key: str, name: str = "index") -> DataFrame:
-    """``df`` with a dense number from 0 in the order of a unique key.
+    """``df`` with a dense number from 0 in the order of a key.
 
-    Counts by range partition give each partition its start; no window goes over the whole table.
+    Counts by range partition give each partition its start; no window goes over the rows.  The ranged rows are settled
+    first, since two evaluations of a range partitioning may sample other bounds.
     """
-    part, within, start, n = (helper(df, x) for x in ("_part", "_in", "_start", "_n"))
-    ranged = df.repartitionByRange(key).sortWithinPartitions(key).withColumn(part, F.spark_partition_id())
-    ranged = ranged.withColumn(within, F.row_number().over(Window.partitionBy(part).orderBy(key)))
-    starts = ranged.groupBy(part).agg(F.count(F.lit(1)).alias(n)).withColumn(start, F.sum(n).over(Window.orderBy(part)) - F.col(n))
-    return ranged.join(F.broadcast(starts), part).withColumn(name, F.col(start) + F.col(within) - 1).select(*[c for c in df.columns if c != name], name)
+    at, part, start, n = (helper(df, x) for x in ("_at", "_part", "_start", "_n"))
+    ranged = settled(df.repartitionByRange(key).sortWithinPartitions(key).withColumn(at, F.monotonically_increasing_id()))
+    # The high bits are the partition's number, the 33 low ones the row's place in it.
+    number, place = F.shiftright(at, 33), F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
+    starts = ranged.groupBy(number.alias(part)).agg(F.count(F.lit(1)).alias(n)).withColumn(start, F.sum(n).over(Window.orderBy(part)) - F.col(n))
+    rows = ranged.join(F.broadcast(starts), number == F.col(part))
+    return rows.withColumn(name, F.col(start) + place).select(*[c for c in df.columns if c != name], name)
 
 
 def non_empty(df: DataFrame, column: str) -> DataFrame:

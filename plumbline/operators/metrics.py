@@ -401,7 +401,7 @@ def survey_score(values: DataFrame, by: list[str], parameters: DataFrame, slope:
     """
     z = (F.col("value") - F.col("mean")) / F.col("sd")
     likelihood = -0.5 * z * z - F.log(F.col("sd")) - 0.5 * math.log(2 * math.pi)
-    means = values.join(F.broadcast(parameters), "question").groupBy(*by).agg(F.avg(likelihood).alias("_mean"))
+    means = values.join(parameters, "question").groupBy(*by).agg(F.avg(likelihood).alias("_mean"))
     return means.select(*by, (1 / (1 + F.exp(-slope * (F.col("_mean") - centre)))).alias("score"))
 
 
