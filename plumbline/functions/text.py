@@ -111,12 +111,25 @@ def size_order(parameters: Column, bounds: dict[str, float]) -> Column:
 
 
 def model_type(generative_type: Column, behind_interface: Column) -> Column:
-    """What a model is listed as: behind an interface, a kind of decoder, or an encoder where it generates nothing."""
-    kinds = {"base": "base_decoder", "instruction_tuned": "instruction_tuned_decoder", "reasoning": "reasoning_decoder"}
-    out = F.lit("encoder")
+    """What a model is listed as: behind an interface, an encoder where it generates nothing, else a kind of decoder."""
+    kinds = {"instruction_tuned": "instruction_tuned_decoder", "reasoning": "reasoning_decoder"}
+    out = F.lit("base_decoder")
     for kind, name in kinds.items():
         out = F.when(generative_type == kind, name).otherwise(out)
-    return F.when(F.coalesce(behind_interface, F.lit(False)), "api").otherwise(out)
+    return F.when(F.coalesce(behind_interface, F.lit(False)), "api").when(generative_type.isNull(), "encoder").otherwise(out)
+
+
+#: Upper bounds of a decoder's parameters by the bucket that it is listed in; beyond them and unknown are xlarge.
+DECODER_SIZES = {"tiny": 2e9, "small": 10e9, "medium": 40e9, "large": 80e9}
+
+
+def listed_bucket(kind: Column, parameters: Column) -> Column:
+    """The bucket of a model on a list: its type where it is no decoder, else by size."""
+    known = F.when(~F.isnan(parameters.cast("double")), parameters)
+    size = F.lit("xlarge")
+    for name, high in sorted(DECODER_SIZES.items(), key=lambda x: -x[1]):
+        size = F.when(known < high, name).otherwise(size)
+    return F.when(kind.isin("encoder", "api"), kind).otherwise(size)
 
 
 def score_text(score: Column, margin: Column) -> Column:

@@ -91,7 +91,7 @@ constraint("content:has_accents")(lambda x: ~CONSTRAINTS["content:no_accents"](x
 RESPONSES = {
     "en": ["My answer is yes.", "My answer is no.", "My answer is maybe."],
     "fr": ["Oui.", "Non.", "Peut-être."],
-    "es": ["Mi respuesta es sí", "Mi respuesta es no"],
+    "es": ["Mi respuesta es sí", "Mi respuesta es no", "Mi respuesta es tal vez"],
     "ca": ["La meva resposta és sí.", "La meva resposta és no.", "La meva resposta és potser."],
 }
 #: Public ids of instructions, the constraint each stands for, and its arguments' names there and here.

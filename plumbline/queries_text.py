@@ -23,7 +23,7 @@ def _docs(spark, d, *columns: str) -> DataFrame:
 @query(r"""SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN '-' ELSE printf('%.2f', p_retailprice) || ' ± ' || printf('%.2f', CASE WHEN p_size % 3 = 0 THEN 0 ELSE p_size / 4.0 END) END AS score,
     CASE WHEN p_size % 3 = 0 THEN '✓' WHEN p_size % 3 = 1 THEN '✗' ELSE '?' END AS tick, CASE p_size % 4 WHEN 0 THEN '🧠' WHEN 1 THEN '📝' WHEN 2 THEN '🤔' ELSE '🔍' END AS mark,
     CASE WHEN p_size % 4 = 3 THEN 'N/A' WHEN p_size % 3 = 2 THEN '?' ELSE p_size::VARCHAR END AS size, CASE WHEN p_size < 10 THEN p_size::VARCHAR WHEN p_size < 20 THEN regexp_replace(printf('%.1f', p_size * 1003 / 1e3), '\.0$', '') || 'K' ELSE regexp_replace(printf('%.1f', p_size * 1003001 / 1e6), '\.0$', '') || 'M' END AS compact,
-    CASE WHEN p_size < 5 THEN 'tiny' WHEN p_size < 20 THEN 'small' ELSE 'large' END AS bucket, CASE WHEN p_size < 5 THEN 0 WHEN p_size < 20 THEN 1 ELSE 2 END AS bucket_order, CASE WHEN p_size % 7 = 0 THEN 'api' WHEN p_size % 4 = 0 THEN 'base_decoder' WHEN p_size % 4 = 1 THEN 'instruction_tuned_decoder' WHEN p_size % 4 = 2 THEN 'reasoning_decoder' ELSE 'encoder' END AS kind,
+    CASE WHEN p_size < 5 THEN 'tiny' WHEN p_size < 20 THEN 'small' ELSE 'large' END AS bucket, CASE WHEN p_size < 5 THEN 0 WHEN p_size < 20 THEN 1 ELSE 2 END AS bucket_order, CASE WHEN p_size % 7 = 0 THEN 'api' WHEN p_size % 4 = 0 THEN 'base_decoder' WHEN p_size % 4 = 1 THEN 'instruction_tuned_decoder' WHEN p_size % 4 = 2 THEN 'reasoning_decoder' ELSE 'encoder' END AS kind, CASE WHEN p_size % 7 = 0 THEN 'api' WHEN p_size % 4 = 3 THEN 'encoder' WHEN p_size < 2 THEN 'tiny' WHEN p_size < 10 THEN 'small' WHEN p_size < 40 THEN 'medium' ELSE 'large' END AS listed_as,
     CASE p_size % 3 WHEN 0 THEN quote || p_brand || quote ELSE quote || p_brand || quote || ', ' || quote || p_type || quote || ' and ' || quote || 'x' || quote END AS listed FROM part, (SELECT chr(39) AS quote)""")
 def board_cells(spark, d):
     """What a board shows of scores, flags, types, sizes and labels."""
@@ -34,7 +34,7 @@ def board_cells(spark, d):
     return table(spark, d, "part").select(
         "p_partkey", T.score_text(F.when(n % 5 > 0, F.col("p_retailprice")), F.when(n % 3 > 0, n / 4)).alias("score"), T.tick(F.when(n % 3 < 2, n % 3 == 0)).alias("tick"), T.type_mark(kind).alias("mark"),
         T.or_not_applicable(F.when(n % 3 != 2, n), n % 4 != 3).alias("size"), T.compact_number(many).alias("compact"), T.size_bucket(n, bounds).alias("bucket"), T.size_order(n, bounds).alias("bucket_order"),
-        T.model_type(kind, n % 7 == 0).alias("kind"), T.listed(F.when(n % 3 == 0, F.array("p_brand")).otherwise(F.array("p_brand", "p_type", F.lit("x"))), "and").alias("listed"),
+        T.model_type(kind, n % 7 == 0).alias("kind"), T.listed_bucket(T.model_type(kind, n % 7 == 0), n * 1e9).alias("listed_as"), T.listed(F.when(n % 3 == 0, F.array("p_brand")).otherwise(F.array("p_brand", "p_type", F.lit("x"))), "and").alias("listed"),
     )
 
 
