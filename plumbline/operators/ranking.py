@@ -137,7 +137,8 @@ def bootstrap_scores(scores: DataFrame, config: DataFrame, replicates: int = 100
     of an occurrence are made within its row: rows grow with occurrences and not with draws.
     ``scores`` needs ``model_no`` (a whole number) and ``position`` (the order of a model's raw scores).
     """
-    occurrences = resampled_datasets(config, replicates, seed).join(dataset_stats(scores).where("sd > 0"), "dataset")
+    # Settled, so that the datasets' statistics are not computed again with the join.
+    occurrences = settled(resampled_datasets(config, replicates, seed).join(dataset_stats(scores).where("sd > 0"), "dataset"))
     if occurrences.count() <= BROADCAST_ROWS:
         # Replicates times slots, whatever the number of models: the lists stay where they are, in as many tasks.
         occurrences = F.broadcast(occurrences)
