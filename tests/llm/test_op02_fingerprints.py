@@ -82,3 +82,10 @@ def test_bins_that_copy_one_value_agree_independently():
     maker = op.Fingerprinter()
     share = [(maker.low_bits(np.full((1, maker.bins), a, np.uint64)) == maker.low_bits(np.full((1, maker.bins), a + 16, np.uint64))).mean() for a in range(1, 200)]
     assert abs(np.mean(share) - 1 / 16) < 0.005 and max(share) < 0.15
+
+
+def test_ids_must_be_whole_numbers(spark):
+    import pytest
+
+    with pytest.raises(TypeError, match="whole number"):
+        op.edit_report(spark.createDataFrame([("x", "a b")], "doc_id string, text string"))

@@ -57,3 +57,14 @@ def test_query(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in op.op7_substring_dedup(spark, "/root/testdata/sf0.001").collect()}
     assert got == brute.without_repeats(docs)
+
+
+def test_ids_must_be_whole_numbers(spark):
+    with pytest.raises(TypeError, match="whole number"):
+        op.deduplicated(spark.createDataFrame([("x", "a b")], "doc_id string, text string"))
+
+
+def test_no_table_is_left_in_the_catalog(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    assert op.deduplicated(spark.createDataFrame([(1, "a b c")], "doc_id long, text string")).count() == 1
+    assert {t.name for t in spark.catalog.listTables()} == before
