@@ -90,9 +90,9 @@ def repaired_tags(spark, d):
 @query(r"""SELECT item_id, 'Start|B-PER|I-PER|O|B-MISC|O' AS first_labels, len(regexp_extract_all(text, '[\p{L}\p{N}\p{M}_]+|[^\p{L}\p{N}\p{M}_\s]')) + 6 AS n_tokens, 'Start Mary Ann .|went|home !' AS sentences FROM benchmark""")
 def marked_entities(spark, d):
     """Documents marked with tags as tokens with labels, and as sentences that part no entity."""
-    marked = F.concat(F.lit("Start <PESSOA X='1'>Mary Ann</PESSOA> . <OTHER>went</OTHER> home "), "text")
-    tokens = L.entity_tags(marked, {"PESSOA": "PER"})
-    head = L.entity_tags(F.lit("Start <PESSOA>Mary Ann .</PESSOA> went"), {"PESSOA": "PER"})
+    marked = F.concat(F.lit("Start <WHO X='1'>Mary Ann</WHO> . <OTHER>went</OTHER> home "), "text")
+    tokens = L.entity_tags(marked, {"WHO": "PER"})
+    head = L.entity_tags(F.lit("Start <WHO>Mary Ann .</WHO> went"), {"WHO": "PER"})
     joined = lambda s: F.array_join(F.transform(s, lambda t: t["token"]), " ")
     sentences = F.array_join(F.concat(F.transform(L.sentences_of(head), joined), F.transform(L.sentences_of(L.entity_tags(F.lit("home !"), {})), joined)), "|")
     labels = F.concat_ws("|", tokens[0]["token"], F.array_join(F.transform(F.slice(tokens, 2, 5), lambda t: t["label"]), "|"))
