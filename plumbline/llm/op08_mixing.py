@@ -8,9 +8,9 @@ has lowered their parent's own limit, and so has gone to the parent's siblings.
 
 A leaf then takes whole epochs of its documents and a prefix of one more: the documents in
 the order of a hash of seed, epoch and id, while the sum of their tokens is within what is
-left.  The prefix's end is found in two steps, so that no leaf is ordered in one task:
-sums by hash bucket give the bucket in which it falls, and only that bucket's documents
-are ordered.  A token is a word (a maximal run without white space).
+left.  The prefix's end is found in steps, so that no leaf is ordered in one task: sums by
+the hash's first two digits give the bucket in which it falls, sums by the next two the
+bucket within that, and only that one's documents, one in 65,536, are ordered.  A token is a word (a maximal run without white space).
 
 All sums are whole numbers; products of tokens and weights are decimals of 38 digits, so a
 budget of 10 ** 14 tokens over 10 ** 6 sources is far from their end.  The children of one
@@ -33,7 +33,8 @@ from plumbline.llm.op04_quality_rules import WORD
 
 LEVELS = ["domain", "lang", "source"]
 DOMAINS = ["web", "books", "news", "code"]
-_BUCKET_DIGITS = 3
+#: Digits of the hash that name a bucket, step by step: a leaf has 256 buckets to order in each.
+_BUCKET_DIGITS = [2, 4]
 #: Leaves whose table may be broadcast: some megabytes.  With more, the documents are joined to it by a shuffle.
 BROADCAST_LEAVES = 100_000
 
@@ -121,20 +122,32 @@ def _small(leaves: DataFrame) -> DataFrame:
 def leaf_cuts(tokens: DataFrame, mixture: Mixture) -> DataFrame:
     """For each leaf with a budget: whole ``epochs``, and the last hash of the prefix of the next (``cut``, null: none)."""
     leaves = written(budgets(tokens, mixture).where("have > 0").withColumn("epochs", F.expr("budget div have")).withColumn("rest", F.expr("budget % have")), "mix-leaves")
-    rows = tokens.join(_small(leaves), LEVELS).withColumn("h", _hash(mixture)).withColumn("bucket", F.substring("h", 1, _BUCKET_DIGITS))
-    sums = rows.groupBy(*LEVELS, "bucket").agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"))
-    along = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    # The first bucket that goes over the rest; all before it are taken whole.
-    edge = sums.withColumn("total", F.sum("n").over(along)).where("total > rest").groupBy(*LEVELS).agg(F.min_by(F.struct("bucket", (F.col("rest") - F.col("total") + F.col("n")).alias("room")), "bucket").alias("e"))
-    edge = written(edge.select(*LEVELS, F.col("e.bucket").alias("bucket"), F.col("e.room").alias("room")), "mix-edges")
-    inside = rows.join(_small(edge), [*LEVELS, "bucket"]).groupBy(*LEVELS, "bucket", "h").agg(F.sum("n_tokens").alias("n"), F.first("room").alias("room"))
-    within = Window.partitionBy(*LEVELS, "bucket").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
-    last = inside.withColumn("total", F.sum("n").over(within)).where("total <= room").groupBy(*LEVELS).agg(F.max("h").alias("last"))
+    rows = tokens.join(_small(leaves), LEVELS).select(*LEVELS, "n_tokens", _hash(mixture).alias("h"))
+    edge, before = leaves.select(*LEVELS, F.lit("").alias("bucket"), F.col("rest").alias("room")), 0
+    for digits in _BUCKET_DIGITS:
+        edge, before = _edge(_within(rows, edge, before), digits), digits
+    inside = _within(rows, edge, before).groupBy(*LEVELS, "h").agg(F.sum("n_tokens").alias("n"), F.first("room").alias("room"))
+    along = Window.partitionBy(*LEVELS).orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
+    last = inside.withColumn("total", F.sum("n").over(along)).where("total <= room").groupBy(*LEVELS).agg(F.max("h").alias("last"))
     cuts = leaves.join(edge.select(*LEVELS, "bucket"), LEVELS, "left").join(last, LEVELS, "left")
     # A prefix that ends before the edge bucket's first document ends just below the bucket.
     return written(cuts.select(*LEVELS, "have", "budget", "epochs", F.coalesce("last", "bucket").alias("cut")), "mix-cuts")
 
 
+def _within(rows: DataFrame, edge: DataFrame, digits: int) -> DataFrame:
+    """The rows of each leaf's edge bucket, with the ``room`` that is left in it."""
+    return rows.withColumn("bucket", F.substring("h", 1, digits)).join(_small(edge), [*LEVELS, "bucket"]).drop("bucket")
+
+
+def _edge(rows: DataFrame, digits: int) -> DataFrame:
+    """For each leaf the first bucket that goes over the room, and what is left of it there; all buckets before are taken whole."""
+    sums = rows.groupBy(*LEVELS, F.substring("h", 1, digits).alias("bucket")).agg(F.sum("n_tokens").alias("n"), F.first("room").alias("room"))
+    along = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    over = sums.withColumn("total", F.sum("n").over(along)).where("total > room")
+    first = over.groupBy(*LEVELS).agg(F.min_by(F.struct("bucket", (F.col("room") - F.col("total") + F.col("n")).alias("room")), "bucket").alias("e"))
+    return written(first.select(*LEVELS, "e.bucket", "e.room"), "mix-edges")
+
+
 def _copies(mixture: Mixture) -> Column:
     return (F.col("epochs") + F.when(_hash(mixture) <= F.col("cut"), 1).otherwise(0)).cast("long")
 
