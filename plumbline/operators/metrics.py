@@ -106,26 +106,31 @@ def normalised_answer(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"(?U)\b(a|an|the)\b", " "), r"\s+", " "))
 
 
+def _numbered(tokens: Column) -> Column:
+    """Each token with the number of its occurrence, so that no entry comes twice."""
+    # A one-element array holds the sorted tokens, so that they are sorted once for a row.
+    number = lambda s: F.transform(s, lambda x, i: F.concat_ws("\u0001", x, (i - F.array_position(s, x)).cast("string")))
+    return F.element_at(F.transform(F.array(F.sort_array(tokens)), number), 1)
+
+
 def token_overlap(a: Column, b: Column) -> Column:
-    """Tokens in common, counted as often as in both: for each distinct token the lesser count."""
-    count = lambda tokens, x: F.size(F.filter(tokens, lambda t: t == x))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda n, x: n + F.least(count(a, x), count(b, x)))
+    """Tokens in common, counted as often as in both: occurrences are numbered, and the numbered tokens intersected."""
+    return F.size(F.array_intersect(_numbered(a), _numbered(b)))
 
 
 @metric
 def question_answering(df: DataFrame, by: list[str], prediction: str = "prediction", answers: str = "answers") -> DataFrame:
     """Mean exact match and token F1, each against the best of the reference answers; no answer expected is an empty list."""
-    p = normalised_answer(F.coalesce(F.col(prediction), F.lit("")))
     golds = F.transform(F.when(F.size(answers) > 0, F.col(answers)).otherwise(F.array(F.lit(""))), normalised_answer)
     tokens = lambda x: F.filter(F.split(x, " "), lambda t: t != "")
-
-    def f1(gold: Column) -> Column:
-        a, b = tokens(p), tokens(gold)
-        same = token_overlap(a, b)
-        return F.when((F.size(a) == 0) | (F.size(b) == 0), (F.size(a) == F.size(b)).cast("double")).otherwise(2.0 * same / (F.size(a) + F.size(b)))
-
-    rows = df.select(*by, F.array_max(F.transform(golds, f1)).alias("f1"), F.array_contains(golds, p).cast("double").alias("em"))
-    return rows.groupBy(*by).agg(F.avg("f1").alias("f1"), F.avg("em").alias("em"))
+    said = normalised_answer(F.coalesce(F.col(prediction), F.lit("")))
+    # A row for each reference answer: texts are normalised once, and the best answer of a row is a partial maximum.
+    rows = df.select(*by, said.alias("_said"), golds.alias("_golds")).withColumn("_row", F.monotonically_increasing_id())
+    pairs = rows.select(*by, "_row", "_said", F.explode("_golds").alias("_gold")).select(*by, "_row", (F.col("_said") == F.col("_gold")).cast("double").alias("_em"), tokens(F.col("_said")).alias("_a"), tokens(F.col("_gold")).alias("_b"))
+    a, b = F.size("_a"), F.size("_b")
+    f1 = F.when((a == 0) | (b == 0), (a == b).cast("double")).otherwise(2.0 * token_overlap(F.col("_a"), F.col("_b")) / (a + b))
+    best = pairs.groupBy(*by, "_row").agg(F.max(f1).alias("_f1"), F.max("_em").alias("_em"))
+    return best.groupBy(*by).agg(F.avg("_f1").alias("f1"), F.avg("_em").alias("em"))
 
 
 def _lcs(a: list[str], b: list[str]) -> int:

@@ -117,10 +117,18 @@ def resampled_datasets(config: DataFrame, replicates: int, seed: int) -> DataFra
     return drawn.select("replicate", "task", "task_no", "slot", "place").join(placed.select("task", "place", "dataset"), ["task", "place"]).select("replicate", "task", "task_no", "slot", "dataset")
 
 
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _raw_lists(scores: DataFrame) -> DataFrame:
-    """A row for each model and dataset with its raw scores in their order, a short list."""
+    """A row for each model and dataset with its raw scores in their order, a short list.
+
+    The lists are few bytes and become many rows of draws, so they are dealt to as many tasks as a shuffle has, which
+    adaptive planning would join again by their size.
+    """
     raw = scores.select("model", "model_no", "dataset", "position", clean("raw").alias("raw")).where("raw IS NOT NULL")
-    return raw.groupBy("model", "model_no", "dataset").agg(F.transform(F.sort_array(F.collect_list(F.struct("position", "raw"))), lambda x: x["raw"]).alias("raws"))
+    return raw.repartition(_tasks(scores), "model", "dataset").groupBy("model", "model_no", "dataset").agg(F.transform(F.sort_array(F.collect_list(F.struct("position", "raw"))), lambda x: x["raw"]).alias("raws"))
 
 
 def _resampled_mean(seed: int, *keys: Column) -> Column:
@@ -170,7 +178,7 @@ def significance_ranks(boot: DataFrame, category: str, alpha: float = 0.05) -> D
     ``boot`` is computed once, at the call.
     """
     rows = boot.where("language IS NULL").select(F.col(category).cast("string").alias("category"), "model", F.col("replicate").cast("long").alias("replicate"), clean("score").alias("score"))
-    rows = rows.where("model IS NOT NULL AND replicate IS NOT NULL AND score IS NOT NULL").repartition("category", "model").groupBy("category", "model", "replicate").agg(F.avg("score").alias("score"))
+    rows = rows.where("model IS NOT NULL AND replicate IS NOT NULL AND score IS NOT NULL").repartition(_tasks(boot), "category", "model").groupBy("category", "model", "replicate").agg(F.avg("score").alias("score"))
     lists = rows.groupBy("category", "model").agg(F.sort_array(F.collect_list(F.struct("replicate", "score"))).alias("of"))
     scores = F.col("of.score")
     models = settled(lists.select("category", F.struct(_quantile(scores, 0.5).alias("median"), "model").alias("at"), F.col("of.replicate").alias("replicates"), scores.alias("scores")))
