@@ -4,37 +4,34 @@ Everything here works on one Arrow batch at a time.  A word is a maximal run of
 bytes other than space and ``\\t \\n \\v \\f \\r``; those separators are ASCII, so
 working on UTF-8 bytes gives the same words as working on code points.
 
-Word hashes are 64-bit polynomials over a fixed random byte table, mixed by a
-bijective finaliser.  Two different words get the same hash with probability
-about 2**-64.
+Word hashes take a word by lanes of 8 bytes: each lane is folded into a 64-bit state that
+is mixed again; words of more than ``LONG_WORD`` bytes are hashed by keyed BLAKE2b.  No
+structure of the word (repeats, complements, shifts) makes two words equal more often than
+by chance, 2**-64.  The constants are in this file, so one 64-bit hash is no defence against a
+writer who solves for equal hashes on purpose; where an equal hash alone would remove or
+link a text, a second hash with a state, constants and mixing order of its own is taken too.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
 _BLOCK = 1 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
-_BYTES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.int64).astype(U64)
-_BYTES_LOWER = _BYTES.copy()
-_BYTES_LOWER[ord("A") : ord("Z") + 1] = _BYTES[ord("a") : ord("z") + 1]
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, U64(base & (2**64 - 1)))
-    out[0] = 1
-    with np.errstate(over="ignore"):
-        return np.multiply.accumulate(out)
-
-
-_POW, _INV = _powers(_BASE, _BLOCK), _powers(_INVERSE, _BLOCK)
+#: Longer words are hashed by BLAKE2b, one call a word.
+LONG_WORD = 64
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+#: The bytes of a word's last lane that belong to it, by their number.
+_LANE = np.array([(1 << (8 * k)) - 1 for k in range(9)], U64)
+_SEEDS = (U64(0x243F6A8885A308D3), U64(0x13198A2E03707344))
+_FACTORS = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -64,18 +61,40 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _range_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Hash of each byte range; the ranges lie within ``data``, which may be longer than a block."""
-    n = len(data)
-    power, inverse = (_POW, _INV) if n <= _BLOCK else (_powers(_BASE, n), _powers(_INVERSE, n))
-    sums = np.zeros(n + 1, U64)
-    np.cumsum(table[data] * power[:n], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U64))
-
-
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and hash of every word, in order.  Words do not cross ``offsets``."""
-    table = _BYTES_LOWER if lower else _BYTES
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seconds: bool) -> list[np.ndarray]:
+    """Hash of each byte range of ``data``; with ``seconds``, an independent second one as well."""
+    size = ends - starts
+    out = [mix(size.astype(U64) ^ seed) for seed in _SEEDS[: 1 + seconds]]
+    # A view with a lane at every byte.
+    lanes = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    on = np.flatnonzero(size <= LONG_WORD)
+    at, left = starts[on], size[on]
+    while len(on):
+        lane = lanes[at] & _LANE[np.minimum(left, 8)]
+        out[0][on] = mix((out[0][on] ^ lane) * _FACTORS[0])
+        if seconds:
+            out[1][on] = mix(out[1][on] * _FACTORS[1] + mix(lane + _SEEDS[1]))
+        more = left > 8
+        on, at, left = on[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG_WORD):
+        digest = np.frombuffer(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=16, key=b"word").digest(), U64)
+        for k, x in enumerate(out):
+            x[i] = digest[k]
+    return out
+
+
+def _next_separator(data: np.ndarray, at: int, end: int) -> int:
+    """The first place of ``at`` to ``end`` (excluded) that holds a separator, or ``end``."""
+    while at < end:
+        found = np.flatnonzero(_SEPARATOR[data[at : min(end, at + _BLOCK)]])
+        if len(found):
+            return at + int(found[0])
+        at += _BLOCK
+    return end
+
+
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, seconds: bool = False) -> tuple[np.ndarray, ...]:
+    """Start, end and hash (with ``seconds``, also the second hash) of every word, in order.  Words do not cross ``offsets``."""
     edges = np.unique(offsets)
     out, at, n = [], 0, len(data)
     with np.errstate(over="ignore"):
@@ -86,9 +105,8 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[n
                 if edges[k] > at:
                     to = int(edges[k])
                 else:  # one long text: cut at a separator, so memory follows the block and not the text
-                    while to < n and not _SEPARATOR[data[to]] and to != edges[min(k + 1, len(edges) - 1)]:
-                        to += 1
-            part = data[at:to]
+                    to = _next_separator(data, to, int(edges[min(k + 1, len(edges) - 1)]))
+            part = _LOWER[data[at:to]] if lower else data[at:to]
             inner = edges[np.searchsorted(edges, at) : np.searchsorted(edges, to)] - at
             inside = ~_SEPARATOR[part]
             first, last = inside.copy(), inside.copy()
@@ -99,10 +117,10 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[n
             last[cut] = inside[cut]
             s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
             if len(s):
-                out.append((s + at, e + at, _range_hash(part, s, e, table)))
+                out.append((s + at, e + at, *_word_hashes(part, s, e, seconds)))
             at = to
     if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), *[np.zeros(0, U64)] * (1 + seconds)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 

@@ -8,8 +8,8 @@ also starts in a text of smaller id.  Two passes find such windows:
    corpus has windows, so no machine holds it whole: it is cut into blocks of cells, each
    block is merged by one task, and every chunk gets back which of its own cells hold two or
    more.  Counts are only ever too high, so no repeated window is lost.
-2. Chunks send on the windows whose cells are repeated in both functions, by a 128-bit hash
-   and with the least id in the chunk: at most one row for each window and chunk, so a window
+2. Chunks send on the windows whose cells are repeated in both functions, by 128 bits
+   (two hashes, each from a word hash of its own) and with the least id in the chunk: at most one row for each window and chunk, so a window
    of a third of all texts is no hot key.  The least id of all decides.
 
 Texts equal to one of smaller id are settled beforehand (all their windows are repeated) and
@@ -107,7 +107,7 @@ class Chunk:
         self.texts = rows.column("text").combine_chunks()
         self.taken = np.array([r not in skip for r in rows.column("row").to_pylist()], bool)
         data, offsets = kernels.text_bytes(self.texts)
-        starts, _, self.words = kernels.words(data, offsets)
+        starts, _, self.words, self.second_words = kernels.words(data, offsets, seconds=True)
         self.bounds = kernels.word_bounds(offsets, starts)
         first, bounds = kernels.shingles(self.words, self.bounds, WIDTH, short=False)
         size = np.diff(bounds)
@@ -118,11 +118,11 @@ class Chunk:
         self.at = (np.arange(len(doc)) - np.repeat(bounds[:-1], size) + np.repeat(self.bounds[:-1], size))[on]
 
     def second(self, at: np.ndarray) -> np.ndarray:
-        """Another 64 bits for the windows that start at these words."""
+        """Another 64 bits for the windows that start at these words, from an independent hash of each word."""
         total = np.zeros(len(at), U64)
         with np.errstate(over="ignore"):
             for i in range(WIDTH):
-                total = total * U64(0xD6E8FEB86659FD93) + mix(self.words[at + i] ^ U64(0xA0761D6478BD642F))
+                total = total * U64(0xD6E8FEB86659FD93) + mix(self.second_words[at + i] ^ U64(0xA0761D6478BD642F))
         return mix(total)
 
     def cells(self, function: int, bits: int) -> np.ndarray:

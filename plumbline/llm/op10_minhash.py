@@ -52,13 +52,32 @@ BLOCK = 128
 _UNSET = np.uint64(2**64 - 1)
 
 
+def _both_sets(texts: pa.Array, width: int, seconds: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    data, offsets = kernels.text_bytes(texts)
+    starts, _, *words = kernels.words(data, offsets, lower=True, seconds=seconds)
+    of_text = kernels.word_bounds(offsets, starts)
+    hashes, bounds = kernels.shingles(words[0], of_text, width)
+    firsts = [np.unique(hashes[bounds[i] : bounds[i + 1]], return_index=True)[1] + bounds[i] for i in range(len(bounds) - 1)]
+    at = np.concatenate([*firsts, np.zeros(0, np.int64)])
+    other = kernels.shingles(words[1], of_text, width)[0][at] if seconds else at[:0].astype(U64)
+    return hashes[at], other, np.concatenate([[0], np.cumsum([len(x) for x in firsts])]).astype(np.int64)
+
+
 def sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of every text, ascending, and the bounds of the texts.  A-Z count as a-z."""
-    data, offsets = kernels.text_bytes(texts)
-    starts, _, words = kernels.words(data, offsets, lower=True)
-    hashes, bounds = kernels.shingles(words, kernels.word_bounds(offsets, starts), width)
-    own = [np.unique(hashes[bounds[i] : bounds[i + 1]]) for i in range(len(bounds) - 1)]
-    return np.concatenate([*own, np.zeros(0, U64)]), np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
+    hashes, _, bounds = _both_sets(texts, width, False)
+    return hashes, bounds
+
+
+def named_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """``sets``, and two numbers of 64 bits that name each set: sums over its shingles, each from a word hash of its own."""
+    hashes, other, bounds = _both_sets(texts, width, True)
+    of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    names = [np.zeros(len(bounds) - 1, U64) for _ in range(2)]
+    with np.errstate(over="ignore"):
+        for total, x in zip(names, (hashes, other), strict=True):
+            np.add.at(total, of, mix(x ^ U64(0x2545F4914F6CDD1D)))
+    return hashes, bounds, names
 
 
 def sketches(hashes: np.ndarray, bounds: np.ndarray, places: int = COORDINATES) -> np.ndarray:
@@ -107,16 +126,10 @@ def signatures(df: DataFrame, width: int, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, bounds = sets(batch.column(1), width)
+            hashes, bounds, names = named_sets(batch.column(1), width)
             sketch = sketches(hashes, bounds)
             size = np.diff(bounds)
-            doc = np.repeat(np.arange(len(size)), size)
-            names = []
-            with np.errstate(over="ignore"):
-                for salt in (1, 2):
-                    total = np.zeros(len(size), U64)
-                    np.add.at(total, doc, mix(hashes ^ U64(salt * 0x2545F4914F6CDD1D)))
-                    names.append(pa.array(total.view(np.int64)))
+            names = [pa.array(x.view(np.int64)) for x in names]
             keys = bands(sketch)
             some = size > 0
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)), pa.array(keys[some].reshape(-1).view(np.int64)))
