@@ -13,7 +13,7 @@ comparisons they can lead to at most.  A pair must share the smaller l of the tw
    are one class and are joined once, by their least id.
 2. A second pass writes prefixes, without tokens that a cell shows to be of one text only.
 3. Every text is compared with one text of less id, that with which it shares most tokens
-   among those that head a posting list.  This links groups of near copies in linear work.
+   (and enough) among those that head a posting list.  This links groups of near copies in linear work.
 4. Where a posting list then still holds several components, pairs of different components
    are counted by their shared tokens, and compared if these are enough.  Lists of more than
    ``BLOCK`` texts make no pairs: they are dealt in blocks to tasks of fixed size, which
@@ -234,9 +234,9 @@ def links(df: DataFrame, first: DataFrame, width: int, percent: int, id_col: str
     heads = texts.join(repeated, name, "left").where("least IS NULL OR id = least")
     postings = heads.select("id", "n", "l", F.explode("tokens").alias("token"))
     lists = written(postings.groupBy("token").agg(F.min("id").alias("head"), F.max("id").alias("most")).where("head <> most").select("token", "head"), "join-lists")
-    members = written(postings.join(lists, "token"), "join-members")
+    members = written(postings.join(F.broadcast(lists) if small_enough(lists) else lists, "token"), "join-members")
 
-    by_head = members.where("id <> head").groupBy("head", "id").agg(F.count(F.lit(1)).alias("c"))
+    by_head = members.where("id <> head").groupBy("head", "id").agg(F.count(F.lit(1)).alias("c"), F.min("l").alias("l")).where("c >= l")
     stars = by_head.groupBy("id").agg(F.max(F.struct("c", (-F.col("head")).alias("less"))).alias("best")).select((-F.col("best.less")).alias("a"), F.col("id").alias("b"))
     found = confirmed(df, written(stars, "join-stars"), width, percent, id_col, text_col, "join-star")
 
