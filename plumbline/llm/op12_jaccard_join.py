@@ -12,13 +12,18 @@ comparisons they can lead to at most.  A pair must share the smaller l of the tw
    by blocks of cells; it decides the order and each l, never a result.  Texts of equal sets
    are one class and are joined once, by their least id.
 2. A second pass writes prefixes, without tokens that a cell shows to be of one text only.
-3. Every text is compared with one text of less id, that with which it shares most tokens
-   (and enough) among those that head a posting list.  This links groups of near copies in linear work.
-4. Where a posting list then still holds several components, pairs of different components
-   are counted by their shared tokens, and compared if these are enough.  Lists of more than
-   ``BLOCK`` texts make no pairs: they are dealt in blocks to tasks of fixed size, which
-   compare on full sets, within the task, pairs that share enough tokens of such lists; the
-   counts of all others allow for the tokens that they may share there.
+   A text keeps those that other prefixes hold as well, in the order of how many do.  As every
+   l is at least ``1 + n // LENGTHEN``, all partners of a text of m such tokens share at least
+   some r of them: a text of fewer has no partner, and any other meets its partners in the
+   posting lists of its first m - r + 1, its keys.
+3. Every text is compared with one text of less id, that with which it shares most keys among
+   those that head a posting list.  This links groups of near copies in linear work.
+4. Where a posting list then still holds several components, texts of different components
+   meet.  Lists of more than ``SHORT`` texts make no pairs: they are dealt in blocks to tasks
+   of fixed size, which count and compare within the task.
+
+In 3 and 4, two texts are compared on full sets only if they share as many tokens of their
+prefixes as the smaller l of the two.
 
 Links are confirmed on full sets of hashes.  No group's pairs are written, and every pair of
 a sufficient likeness is in one component, whatever the estimates are.
@@ -48,10 +53,11 @@ from plumbline.llm.op10_minhash import named_sets, sets, similar
 WIDTH, PERCENT = 4, 85
 #: Cells of the sketch and of one block of it, as powers of two: 4 MB are broadcast, whatever the corpus.
 CELL_BITS, BLOCK_BITS = 22, 16
-#: A text asks for so many shared tokens at most, and a comparison of n tokens costs as much as n / VERIFY entries.
-MOST_MATCHES, VERIFY = 8, 16
-#: Texts of one block of a long posting list.  A task compares two blocks.
-BLOCK = 128
+#: A text of n tokens asks for one shared token in its prefix, and one more for each LENGTHEN of n at least; for twice as
+#: many and EXTRA at most.  A comparison costs as much as n / VERIFY entries of posting lists.
+LENGTHEN, EXTRA, VERIFY = 16, 6, 16
+#: Texts of a posting list whose pairs are joined, and of one block of a longer list; a task compares two blocks.
+SHORT, BLOCK = 128, 256
 #: A code of the sketch is so many times the count's binary logarithm; 0 is a count of one.
 _STEPS = 8
 
@@ -124,11 +130,12 @@ def prefix(codes: np.ndarray, percent: int) -> tuple[int, int]:
     """Length of the prefix and number of its tokens that a partner must share, for a set's codes in order."""
     n = len(codes)
     shared = least_shared(n, percent)
-    matches = np.arange(1, min(MOST_MATCHES, shared) + 1)
-    others = np.exp2(codes[: n - shared + len(matches)] / _STEPS) - 1
+    least = 1 + n // LENGTHEN
+    matches = np.arange(least, min(2 * least + EXTRA, shared) + 1)
+    others = np.exp2(codes[: n - shared + matches[-1]] / _STEPS) - 1
     entries = np.cumsum(others)[n - shared + matches - 1]
     best = int(np.argmin(entries * (1 + n / (VERIFY * matches))))
-    return n - shared + best + 1, best + 1
+    return n - shared + int(matches[best]), int(matches[best])
 
 
 def prefixes(df: DataFrame, width: int, percent: int, codes: np.ndarray, id_col: str, text_col: str) -> DataFrame:
@@ -188,16 +195,31 @@ def confirmed(df: DataFrame, pairs: DataFrame, width: int, percent: int, id_col:
     return written(rows.join(content, "id").groupBy("a", "part").applyInArrow(run, "a long, b long"), f"{name}-links")
 
 
+def _incidence(lists: list[np.ndarray]) -> np.ndarray:
+    """A row for each list, a column for each number that two lists or more hold."""
+    flat, of = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    held, place, n = np.unique(flat, return_inverse=True, return_counts=True)
+    column = np.cumsum(n > 1) - 1
+    out = np.zeros((len(lists), int((n > 1).sum())), np.float32)
+    on = n[place] > 1
+    out[of[on], column[place[on]]] = 1
+    return out
+
+
 def _within_blocks(percent: int):
-    """Links between rows of different components of two blocks of one long list, as far as this list is the first of those that
-    both are in and these are enough; once two components are linked, they count as one."""
+    """Links between rows of different components of two blocks of one long list, as far as it is the first list of those whose
+    keys both have; once two components are linked, they count as one."""
 
     def run(group: pa.Table) -> pa.Table:
         token = group.column("token")[0].as_py()
         ids, comps, matches, left = (group.column(c).to_numpy(zero_copy_only=False) for c in ("id", "component", "l", "is_left"))
-        lists = [np.sort(np.array(x, np.int64)) for x in group.column("lists").to_pylist()]
+        tokens, keys = ([np.array(x, np.int64) for x in group.column(c).to_pylist()] for c in ("tokens", "keys"))
         full = [np.frombuffer(x, U64) for x in group.column("shingles").to_pylist()]
         size = np.array([len(x) for x in full])
+        lefts, rights = np.flatnonzero(left), np.flatnonzero(~left)
+        shared, earlier = _incidence(tokens), _incidence([x[x < token] for x in keys])
+        near = (shared[lefts] @ shared[rights].T >= np.minimum.outer(matches[lefts], matches[rights])) & (earlier[lefts] @ earlier[rights].T == 0)
+        near &= (comps[lefts][:, None] != comps[rights]) & (100 * np.minimum.outer(size[lefts], size[rights]) >= percent * np.maximum.outer(size[lefts], size[rights]))
         root = {c: c for c in comps.tolist()}
 
         def find(c: int) -> int:
@@ -207,22 +229,24 @@ def _within_blocks(percent: int):
             return c
 
         out = []
-        rows = np.flatnonzero(~left)
-        for i in np.flatnonzero(left):
-            near = rows[(comps[rows] != comps[i]) & (100 * np.minimum(size[rows], size[i]) >= percent * np.maximum(size[rows], size[i]))]
-            for j in near:
-                a, b = find(int(comps[i])), find(int(comps[j]))
-                if a == b:
-                    continue
-                both = np.intersect1d(lists[i], lists[j], assume_unique=True)
-                if both[0] == token and len(both) >= min(matches[i], matches[j]) and similar(full[i], full[j], percent):
-                    root[max(a, b)] = min(a, b)
-                    out.append((int(ids[i]), int(ids[j])))
+        for x, y in np.argwhere(near):
+            i, j = lefts[x], rights[y]
+            a, b = find(int(comps[i])), find(int(comps[j]))
+            if a != b and similar(full[i], full[j], percent):
+                root[max(a, b)] = min(a, b)
+                out.append((int(ids[i]), int(ids[j])))
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return run
 
 
+def _sharing(pairs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs`` (``a``, ``b``) that share enough tokens of their prefixes to be linked."""
+    a, b = (shared.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("l").alias(f"l_{x}"), F.col("tokens").alias(f"tokens_{x}")) for x in "ab")
+    both = pairs.join(a, "a").join(b, "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    return both.where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= F.least("l_a", "l_b")).select("a", "b").distinct()
+
+
 def links(df: DataFrame, first: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """``a``, ``b``: confirmed links that connect whatever is linked."""
     known = first.where("id IS NOT NULL AND n_shingles > 0").select("id", F.col("n_shingles").alias("n"), "s1", "s2")
@@ -233,12 +257,18 @@ def links(df: DataFrame, first: DataFrame, width: int, percent: int, id_col: str
     texts = written(prefixes(df, width, percent, frequencies(first), id_col, text_col).where("id IS NOT NULL AND n > 0"), "join-prefixes")
     heads = texts.join(repeated, name, "left").where("least IS NULL OR id = least")
     postings = heads.select("id", "n", "l", F.explode("tokens").alias("token"))
-    lists = written(postings.groupBy("token").agg(F.min("id").alias("head"), F.max("id").alias("most")).where("head <> most").select("token", "head"), "join-lists")
-    members = written(postings.join(F.broadcast(lists) if small_enough(lists) else lists, "token"), "join-members")
-
-    by_head = members.where("id <> head").groupBy("head", "id").agg(F.count(F.lit(1)).alias("c"), F.min("l").alias("l")).where("c >= l")
+    held = written(postings.groupBy("token").agg(F.min("id").alias("head"), F.max("id").alias("most"), F.count(F.lit(1)).alias("k")).where("head <> most").select("token", "k"), "join-held")
+    ranked = postings.join(held, "token").groupBy("id", "n", "l").agg(F.sort_array(F.collect_list(F.struct("k", "token"))).alias("ranked"))
+    fewest = F.expr(f"1 + ({percent} * n + 99) div 100 div {LENGTHEN}").cast("int")
+    ranked = ranked.where(F.size("ranked") >= fewest).select("id", "n", "l", F.transform("ranked", lambda x: x["token"]).alias("tokens"), fewest.alias("fewest"))
+    shared = written(ranked.select("id", "n", "l", "tokens", F.slice("tokens", F.lit(1), F.size("tokens") - F.col("fewest") + 1).alias("keys")), "join-shared")
+
+    keys = shared.select("id", F.explode("keys").alias("token")).distinct()
+    lists = written(keys.groupBy("token").agg(F.min("id").alias("head"), F.max("id").alias("most")).where("head <> most").select("token", "head"), "join-lists")
+    members = written(keys.join(lists, "token"), "join-members")
+    by_head = members.where("id <> head").groupBy("head", "id").agg(F.count(F.lit(1)).alias("c"))
     stars = by_head.groupBy("id").agg(F.max(F.struct("c", (-F.col("head")).alias("less"))).alias("best")).select((-F.col("best.less")).alias("a"), F.col("id").alias("b"))
-    found = confirmed(df, written(stars, "join-stars"), width, percent, id_col, text_col, "join-star")
+    found = confirmed(df, written(_sharing(stars, shared, percent), "join-stars"), width, percent, id_col, text_col, "join-star")
 
     labels = written(components(found), "join-labels").withColumnRenamed("node", "id")
     placed = members.drop("head").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -247,25 +277,21 @@ def links(df: DataFrame, first: DataFrame, width: int, percent: int, id_col: str
     open_lists = written(open_lists.select("token", F.col("main.component").alias("main"), "n_all", (F.col("n_all") - F.col("main.k")).alias("n_others")), "join-open")
     rows = written(placed.join(open_lists, "token"), "join-unsettled")
 
-    long_rows = rows.where(F.col("n_all") > BLOCK)
-    long_lists = written(long_rows.groupBy("id", "l").agg(F.collect_set("token").alias("lists")), "join-long")
-    with_long = rows.where(F.col("n_all") <= BLOCK).join(long_lists.groupBy("id").agg(F.max(F.size("lists")).alias("n_long")), "id", "left").select("token", "id", "n", "l", "component", F.coalesce("n_long", F.lit(0)).alias("n_long"))
-    short = written(with_long, "join-short")
-    a, b = (short.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "l", "component", "n_long")]) for x in "ab")
-    met = a.join(b, "token").where((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
-    wanted = F.greatest(F.lit(1), F.min(F.least("l_a", "l_b") - F.least("n_long_a", "n_long_b")))
-    pairs = met.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(F.count(F.lit(1)).alias("c"), wanted.alias("wanted")).where("c >= wanted").select("a", "b")
-    more = confirmed(df, written(pairs, "join-pairs"), width, percent, id_col, text_col, "join-pair")
+    short = rows.where(F.col("n_all") <= SHORT)
+    a, b = (short.select("token", F.col("id").alias(x), F.col("component").alias(f"component_{x}")) for x in "ab")
+    pairs = a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b"))).select("a", "b").distinct()
+    more = confirmed(df, written(_sharing(pairs, shared, percent), "join-pairs"), width, percent, id_col, text_col, "join-pair")
 
     # Every pair of different components has a row outside the main one: those rows, in blocks, meet all rows, in blocks.
+    long_rows = rows.where(F.col("n_all") > SHORT)
     left_blocks, right_blocks = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("n_others", "n_all"))
     own = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
     lefts = long_rows.where("component <> main").withColumn("i", F.pmod(own, left_blocks).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), right_blocks - 1))).withColumn("is_left", F.lit(True))
     rights = long_rows.withColumn("j", F.pmod(own, right_blocks).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), left_blocks - 1))).withColumn("is_left", F.lit(False))
     columns = ["token", "i", "j", "id", "component", "is_left"]
-    of_id = long_lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("lists"))).alias("lists"), F.min("l").alias("l"))
     content = written(contents(df, written(long_rows.select("id").distinct(), "join-long-ids"), width, id_col, text_col), "join-long-sets")
-    blocks = lefts.select(columns).unionByName(rights.select(columns)).join(of_id, "id").join(content, "id")
+    of_id = shared.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens"), F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"), F.min("l").alias("l"))
+    blocks = lefts.select(columns).unionByName(rights.select(columns)).join(content.join(of_id, "id"), "id")
     hot = written(blocks.groupBy("token", "i", "j").applyInArrow(_within_blocks(percent), "a long, b long"), "join-block-links")
     return same.unionByName(found).unionByName(more).unionByName(hot)
 

@@ -26,6 +26,7 @@ def collages(rng, n, passages, picks):
 @pytest.mark.parametrize("block", [128, 6])
 def test_against_plain_python(spark, monkeypatch, block):
     monkeypatch.setattr(op, "BLOCK", block)
+    monkeypatch.setattr(op, "SHORT", block)
     rng = random.Random(block)
     texts = [*family(rng, 60, 200, 8, "a"), *family(rng, 40, 40, 3, "b"), *family(rng, 30, 9, 2, "c"), *collages(rng, 60, 12, 9), "one", "ONE", "two words", "Two Words", "é É x y z", None, "", " \n", "y" * 60_000, "x " * 30_000, "X " * 20_000]
     texts += texts[:25]
@@ -68,12 +69,15 @@ def test_any_prefixes_of_a_link_share_enough():
 
 def test_prefixes_lengthen_with_cost():
     rare, common = np.zeros(100, np.uint8), np.full(100, 80, np.uint8)
-    assert op.prefix(rare, 85) == (16, 1)
-    assert op.prefix(common, 85)[1] > 1
+    assert op.prefix(rare, 85) == (15 + 7, 7)
+    assert op.prefix(common, 85)[1] > 7
     mixed = np.sort(np.concatenate([np.zeros(14, np.uint8), common[:86]]))
     length, matches = op.prefix(mixed, 85)
-    assert length == 15 + matches
+    assert length == 15 + matches and 7 <= matches <= 20
     assert op.prefix(np.array([40], np.uint8), 85) == (1, 1)
+    for n in range(1, 300):
+        length, matches = op.prefix(np.arange(n).astype(np.uint8), 85)
+        assert 1 + n // op.LENGTHEN <= matches <= op.least_shared(n, 85) and length == n - op.least_shared(n, 85) + matches
 
 
 def test_counts_are_exact_codes_where_cells_are_many(spark):
