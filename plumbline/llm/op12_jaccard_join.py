@@ -51,8 +51,8 @@ from plumbline.llm.kernels import U64, mix
 from plumbline.llm.op10_minhash import named_sets, sets, similar
 
 WIDTH, PERCENT = 4, 85
-#: Cells of the sketch and of one block of it, as powers of two: 4 MB are broadcast, whatever the corpus.
-CELL_BITS, BLOCK_BITS = 22, 16
+#: Cells of the sketch and of one block of it, as powers of two: 32 MB are broadcast and 64 MB kept by a task, whatever the corpus.
+CELL_BITS, BLOCK_BITS = 25, 17
 #: A text of n tokens asks for one shared token in its prefix, and one more for each LENGTHEN of n at least; for twice as
 #: many and EXTRA at most.  A comparison costs as much as n / VERIFY entries of posting lists.
 LENGTHEN, EXTRA, VERIFY = 16, 6, 16
@@ -81,10 +81,11 @@ def named(df: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     ``block`` of cells, ``n`` cells, their ``gaps`` and ``counts``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << CELL_BITS, np.uint32)
+        counts = np.zeros(1 << CELL_BITS, np.uint16)
         for batch in batches:
             hashes, bounds, names = named_sets(batch.column(1), width)
-            np.add.at(counts, _cell(hashes), 1)
+            cells, more = np.unique(_cell(hashes), return_counts=True)
+            counts[cells] = np.minimum(counts[cells] + more, 65535)
             n = len(bounds) - 1
             yield _both(n, id=batch.column(0), n_shingles=pa.array(np.diff(bounds)), s1=pa.array(names[0].view(np.int64)), s2=pa.array(names[1].view(np.int64)))
         for block in range(1 << (CELL_BITS - BLOCK_BITS)):
@@ -240,11 +241,11 @@ def _within_blocks(percent: int):
     return run
 
 
-def _sharing(pairs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+def _sharing(pairs: DataFrame, shared: DataFrame) -> DataFrame:
     """The ``pairs`` (``a``, ``b``) that share enough tokens of their prefixes to be linked."""
-    a, b = (shared.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("l").alias(f"l_{x}"), F.col("tokens").alias(f"tokens_{x}")) for x in "ab")
-    both = pairs.join(a, "a").join(b, "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    return both.where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= F.least("l_a", "l_b")).select("a", "b").distinct()
+    a, b = (shared.select(F.col("id").alias(x), F.col("l").alias(f"l_{x}"), F.col("tokens").alias(f"tokens_{x}")) for x in "ab")
+    both = pairs.join(a, "a").join(b, "b")
+    return both.where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= F.least("l_a", "l_b")).select("a", "b")
 
 
 def links(df: DataFrame, first: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -256,19 +257,21 @@ def links(df: DataFrame, first: DataFrame, width: int, percent: int, id_col: str
 
     texts = written(prefixes(df, width, percent, frequencies(first), id_col, text_col).where("id IS NOT NULL AND n > 0"), "join-prefixes")
     heads = texts.join(repeated, name, "left").where("least IS NULL OR id = least")
-    postings = heads.select("id", "n", "l", F.explode("tokens").alias("token"))
-    held = written(postings.groupBy("token").agg(F.min("id").alias("head"), F.max("id").alias("most"), F.count(F.lit(1)).alias("k")).where("head <> most").select("token", "k"), "join-held")
-    ranked = postings.join(held, "token").groupBy("id", "n", "l").agg(F.sort_array(F.collect_list(F.struct("k", "token"))).alias("ranked"))
+    postings = heads.select("id", F.explode("tokens").alias("token"))
+    held = written(postings.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "join-held")
+    ranked = postings.join(held, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("k", "token"))).alias("ranked"))
+    ranked = ranked.join(heads.groupBy("id").agg(F.min("n").alias("n"), F.min("l").alias("l")), "id")
     fewest = F.expr(f"1 + ({percent} * n + 99) div 100 div {LENGTHEN}").cast("int")
-    ranked = ranked.where(F.size("ranked") >= fewest).select("id", "n", "l", F.transform("ranked", lambda x: x["token"]).alias("tokens"), fewest.alias("fewest"))
-    shared = written(ranked.select("id", "n", "l", "tokens", F.slice("tokens", F.lit(1), F.size("tokens") - F.col("fewest") + 1).alias("keys")), "join-shared")
+    # Rows of one id are one text here, with the tokens of all, the fewest to share and the least l.
+    ranked = ranked.select("id", "l", F.array_distinct(F.transform("ranked", lambda x: x["token"])).alias("tokens"), fewest.alias("fewest"))
+    shared = written(ranked.where(F.size("tokens") >= F.col("fewest")).select("id", "l", "tokens", F.slice("tokens", F.lit(1), F.size("tokens") - F.col("fewest") + 1).alias("keys")), "join-shared")
 
-    keys = shared.select("id", F.explode("keys").alias("token")).distinct()
+    keys = shared.select("id", F.explode("keys").alias("token"))
     lists = written(keys.groupBy("token").agg(F.min("id").alias("head"), F.max("id").alias("most")).where("head <> most").select("token", "head"), "join-lists")
     members = written(keys.join(lists, "token"), "join-members")
     by_head = members.where("id <> head").groupBy("head", "id").agg(F.count(F.lit(1)).alias("c"))
     stars = by_head.groupBy("id").agg(F.max(F.struct("c", (-F.col("head")).alias("less"))).alias("best")).select((-F.col("best.less")).alias("a"), F.col("id").alias("b"))
-    found = confirmed(df, written(_sharing(stars, shared, percent), "join-stars"), width, percent, id_col, text_col, "join-star")
+    found = confirmed(df, written(_sharing(stars, shared), "join-stars"), width, percent, id_col, text_col, "join-star")
 
     labels = written(components(found), "join-labels").withColumnRenamed("node", "id")
     placed = members.drop("head").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -280,7 +283,7 @@ def links(df: DataFrame, first: DataFrame, width: int, percent: int, id_col: str
     short = rows.where(F.col("n_all") <= SHORT)
     a, b = (short.select("token", F.col("id").alias(x), F.col("component").alias(f"component_{x}")) for x in "ab")
     pairs = a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b"))).select("a", "b").distinct()
-    more = confirmed(df, written(_sharing(pairs, shared, percent), "join-pairs"), width, percent, id_col, text_col, "join-pair")
+    more = confirmed(df, written(_sharing(pairs, shared), "join-pairs"), width, percent, id_col, text_col, "join-pair")
 
     # Every pair of different components has a row outside the main one: those rows, in blocks, meet all rows, in blocks.
     long_rows = rows.where(F.col("n_all") > SHORT)
@@ -290,8 +293,7 @@ def links(df: DataFrame, first: DataFrame, width: int, percent: int, id_col: str
     rights = long_rows.withColumn("j", F.pmod(own, right_blocks).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), left_blocks - 1))).withColumn("is_left", F.lit(False))
     columns = ["token", "i", "j", "id", "component", "is_left"]
     content = written(contents(df, written(long_rows.select("id").distinct(), "join-long-ids"), width, id_col, text_col), "join-long-sets")
-    of_id = shared.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens"), F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"), F.min("l").alias("l"))
-    blocks = lefts.select(columns).unionByName(rights.select(columns)).join(content.join(of_id, "id"), "id")
+    blocks = lefts.select(columns).unionByName(rights.select(columns)).join(content.join(shared, "id"), "id")
     hot = written(blocks.groupBy("token", "i", "j").applyInArrow(_within_blocks(percent), "a long, b long"), "join-block-links")
     return same.unionByName(found).unionByName(more).unionByName(hot)
 
