@@ -193,11 +193,17 @@ def cell(c: Column) -> Column:
     return F.struct(shown.alias("shown"), F.coalesce(key, shown).alias("sort"), n.alias("number"))
 
 
-def snippet(text: Column, term: Column, before: int = 40, length: int = 160) -> Column:
-    """The text around the first place of a term."""
-    at = F.greatest(F.call_function("locate", F.lower(term), F.lower(text)) - before, F.lit(1))
-    cut = F.substr(text, at, F.lit(length))
-    return F.concat(F.when(at > 1, "…").otherwise(""), cut, F.when(at + length <= F.length(text), "…").otherwise(""))
+#: Characters of a snippet before and after the term, and of one without the term.  Fixed values.
+SNIPPET_BEFORE, SNIPPET_AFTER, SNIPPET_WITHOUT = 50, 90, 140
+
+
+def snippet(text: Column, term: Column) -> Column:
+    """The text around the first place of a term, in any case; the text's start if it does not hold the term.  A cut is marked."""
+    at = F.call_function("locate", F.lower(term), F.lower(text))
+    start = F.greatest(at - 1 - SNIPPET_BEFORE, F.lit(0))
+    end = F.least(F.length(text), at - 1 + F.length(term) + SNIPPET_AFTER)
+    around = F.concat(F.when(start > 0, "…").otherwise(""), F.substr(text, start + 1, end - start), F.when(end < F.length(text), "…").otherwise(""))
+    return F.when(at == 0, F.substring(text, 1, SNIPPET_WITHOUT)).otherwise(around)
 
 
 def json_object(c: Column) -> Column:

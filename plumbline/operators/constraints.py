@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.sentences import Boundaries
+
 CONSTRAINTS: dict[str, Callable[..., Column]] = {}
 
 
@@ -70,7 +72,13 @@ constraint("format:highlights")(_highlights)
 constraint("format:placeholders")(lambda x, n: F.regexp_count(x, F.lit(r"\[[^\n]*?\]")) >= n)
 constraint("format:title")(lambda x: F.exists(F.regexp_extract_all(x, F.lit(r"<<([^\n]+)>>"), F.lit(1)), lambda t: _strip(F.regexp_replace(t, "[<>]", "")) != ""))
 constraint("format:postscript")(lambda x, mark: F.lower(x).rlike(r"(?s)\s*" + {"P.P.S": r"p\.\s?p\.\s?s", "P.S.": r"p\.\s?s\."}.get(mark, r"\Q" + mark.lower() + r"\E") + ".*"))
-constraint("length:sentences")(lambda x, relation, n: _compare(F.size(F.filter(F.split(x, r"(?<=[.!?])\s+"), lambda s: _strip(s) != "")), relation, n))
+@constraint("length:sentences")
+def _sentences(x: Column, relation: str, n: int, boundaries: Boundaries | None = None) -> Column:
+    """With learnt ``boundaries`` a stop after an abbreviation ends no sentence; without, a sentence ends at every mark before white space."""
+    count = boundaries.count(x) if boundaries else F.size(F.filter(F.split(x, r"(?<=[.!?])\s+"), lambda s: _strip(s) != ""))
+    return _compare(count, relation, n)
+
+
 constraint("length:words")(lambda x, relation, n: _compare(F.size(_words(x)), relation, n))
 constraint("punctuation:no_comma")(lambda x: ~F.contains(x, F.lit(",")))
 constraint("content:no_digits")(lambda x: ~x.rlike(r"\d"))
@@ -137,8 +145,11 @@ IDS: dict[str, tuple[str, dict[str, str]]] = {
 }
 
 
-def by_id(instruction: str, arguments: dict) -> tuple[str, dict] | None:
-    """Name and arguments of the constraint that a public id stands for, with or without a language's prefix."""
+def by_id(instruction: str, arguments: dict, boundaries: Boundaries | None = None) -> tuple[str, dict] | None:
+    """Name and arguments of the constraint that a public id stands for, with or without a language's prefix.
+
+    ``boundaries`` (``sentences.learn``) are used where sentences are counted.
+    """
     head, _, rest = instruction.partition(":")
     language, plain = (head, rest) if head in ("fr", "es", "ca") else ("en", instruction)
     if plain == "detectable_format:constrained_response":
@@ -146,7 +157,8 @@ def by_id(instruction: str, arguments: dict) -> tuple[str, dict] | None:
     if plain not in IDS:
         return None
     name, names = IDS[plain]
-    return name, {names[k]: v for k, v in arguments.items() if k in names and v is not None}
+    out = {names[k]: v for k, v in arguments.items() if k in names and v is not None}
+    return name, out | ({"boundaries": boundaries} if boundaries and name == "length:sentences" else {})
 
 
 def met(response: Column, name: str, **arguments) -> Column | None:

@@ -84,6 +84,75 @@ def percentile_interval(df: DataFrame, by: list[str], value: str, alpha: float =
     return df.groupBy(*by).agg(F.percentile(clean(value), F.array(F.lit(alpha / 2), F.lit(0.5), F.lit(1 - alpha / 2))).alias("p")).select(*by, F.col("p")[0].alias("lower"), F.col("p")[1].alias("median"), F.col("p")[2].alias("upper"))
 
 
+#: Bits of a value's ordered form that one round of ``selected_interval`` settles.
+RADIX_BITS = 16
+#: Wanted places (a few a group) that are broadcast to the values; more are joined.
+BROADCAST_PLACES = 500_000
+
+
+def _ordered(v: Column) -> Column:
+    """A whole number that orders as the double does: its bits, those below the sign turned round if it is negative."""
+    bits = F.call_function("java_method", F.lit("java.lang.Double"), F.lit("doubleToLongBits"), v + F.lit(0.0)).cast("long")
+    return F.when(bits < 0, bits.bitwiseXOR(F.lit(2**63 - 1))).otherwise(bits)
+
+
+def _double(key: Column) -> Column:
+    bits = F.when(key < 0, key.bitwiseXOR(F.lit(2**63 - 1))).otherwise(key)
+    return F.call_function("java_method", F.lit("java.lang.Double"), F.lit("longBitsToDouble"), bits).cast("double")
+
+
+def selected_interval(df: DataFrame, by: list[str], value: str, alpha: float = 0.05) -> DataFrame:
+    """``percentile_interval`` for groups of any size: exact selection that never holds a group's values.
+
+    Values become whole numbers of the same order.  Each of four rounds counts the values by 16 more leading bits, adds
+    the counts up to find in which bucket each wanted place falls, and goes on with the values of those buckets alone.
+    A round's counts are combined in the tasks: at most 65,536 rows a group and task are shuffled.
+    """
+    shares = [alpha / 2, 0.5, 1 - alpha / 2]
+    names = [f"_by{i}" for i in range(len(by))]
+    rows = df.select(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)], clean(value).cast("double").alias("_v"))
+    sizes = settled(rows.groupBy(*names).agg(F.count("_v").alias("_n")))
+    position = lambda q: F.lit(q) * (F.col("_n") - 1)
+    places = F.array_distinct(F.array(*[f(position(q)).cast("long") for q in shares for f in (F.floor, F.ceil)]))
+    wanted = sizes.where("_n > 0").select(*names, F.explode(places).alias("place")).withColumns({"rest": F.col("place"), "prefix": F.lit(0).cast("long")})
+    values = rows.where("_v IS NOT NULL").select(*names, _ordered(F.col("_v")).alias("key"))
+
+    def same(a: str, b: str, more: Column) -> Column:
+        out = more
+        for n in names:
+            out = out & F.col(f"{a}.{n}").eqNullSafe(F.col(f"{b}.{n}"))
+        return out
+
+    def few(places: DataFrame) -> DataFrame:
+        return F.broadcast(places) if places.count() <= BROADCAST_PLACES else places
+
+    for low in range(64 - RADIX_BITS, -1, -RADIX_BITS):
+        prefix = F.shiftright("key", low)
+        if low < 64 - RADIX_BITS:
+            open_ = wanted.select(*names, "prefix").distinct()
+            values = values.alias("v").join(few(open_).alias("w"), same("v", "w", F.shiftright("v.key", low + RADIX_BITS) == F.col("w.prefix")), "left_semi")
+        above = [F.lit(0).cast("long") if low == 64 - RADIX_BITS else F.shiftright("key", low + RADIX_BITS)]
+        counts = values.groupBy(*names, above[0].alias("above"), prefix.alias("bucket")).agg(F.count(F.lit(1)).alias("k"))
+        upto = F.sum("k").over(Window.partitionBy(*names, "above").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+        counts = settled(counts.withColumn("upto", upto))
+        inside = (F.col("w.prefix") == F.col("c.above")) & (F.col("w.rest") < F.col("c.upto")) & (F.col("w.rest") >= F.col("c.upto") - F.col("c.k"))
+        found = counts.alias("c").join(few(wanted).alias("w"), same("c", "w", inside))
+        wanted = settled(found.select(*[F.col(f"w.{n}").alias(n) for n in names], "w.place", (F.col("w.rest") - (F.col("c.upto") - F.col("c.k"))).alias("rest"), F.col("c.bucket").alias("prefix")))
+    picked = wanted.select(*[F.col(n).alias(f"p{n}") for n in names], "place", _double(F.col("prefix")).alias("picked"))
+    by_place = picked.groupBy(*[f"p{n}" for n in names]).agg(F.map_from_entries(F.collect_list(F.struct("place", "picked"))).alias("at"))
+    match = F.lit(True)
+    for n in names:
+        match = match & F.col(n).eqNullSafe(F.col(f"p{n}"))
+    joined = sizes.join(by_place, match, "left")
+
+    def quantile(q: float) -> Column:
+        lower, upper = F.floor(position(q)).cast("long"), F.ceil(position(q)).cast("long")
+        a, b = F.try_element_at("at", lower), F.try_element_at("at", upper)
+        return F.when((lower == upper) | (a == b), a).otherwise((upper - position(q)) * a + (position(q) - lower) * b)
+
+    return joined.select(*[F.col(n).alias(c) for n, c in zip(names, by, strict=True)], *[quantile(q).alias(n) for q, n in zip(shares, ("lower", "median", "upper"), strict=True)])
+
+
 def combined_margin(df: DataFrame, by: list[str], lower: str, upper: str) -> DataFrame:
     """Margin of the mean of independent estimates, from their intervals."""
     variance = F.pow((F.col(upper) - F.col(lower)) / (2 * Z), F.lit(2.0))

@@ -67,7 +67,7 @@ def mean_ci_by_group(spark, d):
 
 @query("SELECT event_type, round(quantile_cont(value, 0.025), 6) AS lower, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.975), 6) AS upper FROM events GROUP BY ALL")
 def percentile_ci(spark, d):
-    return ranking.percentile_interval(table(spark, d, "events"), ["event_type"], "value").select("event_type", *[r6(c).alias(c) for c in ("lower", "median", "upper")])
+    return ranking.selected_interval(table(spark, d, "events"), ["event_type"], "value").select("event_type", *[r6(c).alias(c) for c in ("lower", "median", "upper")])
 
 
 @query("SELECT o_orderpriority, round(1.96 * sqrt(sum(power((o_totalprice * 1.1 - o_totalprice * 0.9) / 3.92, 2)) / power(count(*), 2)), 4) AS margin FROM orders GROUP BY ALL")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.catalog import query, r6, table
 from plumbline.functions import labels as L
 from plumbline.functions.hashing import draw_sql
-from plumbline.operators import constraints, metrics
+from plumbline.operators import constraints, metrics, sentences
 
 _BAG = r"list_filter(string_split(regexp_replace(regexp_replace(lower({}), '[!-/:-@\[-`{{-~]', '', 'g'), '\s+', ' ', 'g'), ' '), lambda t: t NOT IN ('', 'a', 'an', 'the'))"
 
@@ -199,3 +199,12 @@ def nearest_label_tags(spark, d):
     tags = L.json_to_tags(F.col("tokens"), F.to_json(F.struct(named.alias("per"))), ["per"])
     rows = rows.withColumn("tags", tags).withColumn("json", L.tags_to_json(F.col("tokens"), F.col("tags"), ["per"]))
     return rows.select("item_id", F.array_join("tags", " ").alias("tags"), "json")
+
+
+@query()
+def sentence_counts(spark, d):
+    """Sentences of every document by boundaries learnt from all of them, and a public constraint that counts these."""
+    docs = table(spark, d, "documents")
+    learnt = sentences.learn(docs)
+    name, arguments = constraints.by_id("length_constraints:number_sentences", {"relation": "at least", "num_sentences": 10}, learnt)
+    return docs.select("doc_id", learnt.count(F.col("text")).alias("n_sentences"), constraints.met(F.coalesce("text", F.lit("")), name, **arguments).alias("at_least_10"))

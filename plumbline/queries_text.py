@@ -13,7 +13,7 @@ from plumbline.functions import text as T
 from plumbline.functions.hashing import draw_sql
 from plumbline.operators import curation, planning, serving
 from plumbline.session import scratch_folder
-from plumbline.sources import files
+from plumbline.sources import files, store
 
 
 def _docs(spark, d, *columns: str) -> DataFrame:
@@ -47,10 +47,12 @@ def parsed_cells(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", cell["shown"].alias("shown"), cell["sort"].alias("sort"), cell["number"].alias("number"), cell["shown"].isNotNull().alias("is_text"))
 
 
-@query("""SELECT doc_id, CASE WHEN p > 40 THEN '…' ELSE '' END || substr(text, greatest(p - 40, 1), 160) || CASE WHEN greatest(p - 40, 1) + 160 <= length(text) THEN '…' ELSE '' END AS snippet FROM (SELECT doc_id, text, strpos(lower(text), 'the') AS p FROM documents) WHERE p <> 41""")
+@query("""SELECT doc_id, CASE WHEN p < 0 THEN substr(text, 1, 140) ELSE CASE WHEN s > 0 THEN '…' ELSE '' END || substr(text, s + 1, e - s) || CASE WHEN e < length(text) THEN '…' ELSE '' END END AS snippet
+FROM (SELECT *, greatest(p - 50, 0) AS s, least(length(text), p + length(term) + 90) AS e FROM (SELECT doc_id, text, term, strpos(lower(text), term) - 1 AS p FROM (SELECT *, CASE WHEN doc_id % 2 = 0 THEN 'the' ELSE 'mentre' END AS term FROM documents)))""")
 def search_snippets(spark, d):
-    rows = _docs(spark, d, "doc_id", "text").where("instr(lower(text), 'the') <> 41")
-    return rows.select("doc_id", T.snippet(F.col("text"), F.lit("the")).alias("snippet"))
+    """All documents, searched for one of two terms; many do not hold theirs."""
+    term = F.when(F.col("doc_id") % 2 == 0, "the").otherwise("mentre")
+    return _docs(spark, d, "doc_id", "text").select("doc_id", T.snippet(F.col("text"), term).alias("snippet"))
 
 
 @query("""SELECT item_id, text || chr(10) || 'more' AS question, 'first ' || item_id || '|second' AS choices, 'second' AS chosen, 'a,b' AS letters FROM benchmark""")
@@ -389,14 +391,16 @@ def json_lines(spark, d):
     return files.jsonl_records(spark, path).select(F.col("evaluation_id").alias("id"), F.col("model_info.name").alias("name"), F.col("schema_version").alias("version"))
 
 
-@query("SELECT n_nationkey::VARCHAR AS id, n_name AS name FROM nation UNION ALL SELECT 'r' || r_regionkey, r_name FROM region")
+@query("SELECT n_nationkey::VARCHAR AS id, n_name || CASE WHEN n_nationkey % 3 = 0 THEN ' 2' ELSE '' END AS name FROM nation UNION ALL SELECT 'r' || r_regionkey, r_name FROM region")
 def record_tree(spark, d):
-    """Records in a folder tree, written only where they changed, then more of them appended and merged in order."""
-    tree, lines, merged = (_folder(spark, x) for x in ("tree", "lines", "merged"))
+    """Records in a store, a third of them replaced by new versions; read as a folder tree, then more of them appended and merged in order."""
+    held, tree, lines, merged = (_folder(spark, x) for x in ("store", "tree", "lines", "merged"))
     record = lambda key, name: F.struct(F.lit("0.2.1").alias("schema_version"), key.alias("evaluation_id"), F.struct(name.alias("name")).alias("model_info"))
-    nations = table(spark, d, "nation").select(record(F.col("n_nationkey").cast("string"), F.col("n_name")).alias("r"), F.col("n_nationkey").alias("part")).select("r.*", "part")
-    for stored in (None, spark.read.schema(nations.schema).json):  # the second time nothing has changed
-        files.write_changed(nations, tree, "part", stored and stored(tree))
+    for name in (F.col("n_name"), F.concat("n_name", F.when(F.col("n_nationkey") % 3 == 0, " 2").otherwise(""))):
+        nations = table(spark, d, "nation").select(record(F.col("n_nationkey").cast("string"), name).alias("r"))
+        files.write_changed(nations.select("r.*"), held, "evaluation_id")
+    # A file for each record, as the reader of trees wants them.
+    store.read(spark, held).select(F.from_json("value", files.RECORD_SCHEMA).alias("r"), "key").select("r.*", "key").write.partitionBy("key").json(tree)
     regions = table(spark, d, "region").select(record(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")), F.col("r_name")).alias("r")).select("r.*")
     files.append_results(regions.where("evaluation_id < 'r2'"), lines)
     files.append_results(regions.where("evaluation_id >= 'r2'"), lines)
@@ -404,6 +408,20 @@ def record_tree(spark, d):
     return spark.read.json(merged).select(F.col("evaluation_id").alias("id"), F.col("model_info.name").alias("name"))
 
 
+@query("""SELECT c_custkey::VARCHAR AS key, c_name AS name, c_acctbal + CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS balance FROM customer WHERE c_custkey % 7 <> 0
+UNION ALL SELECT 's' || s_suppkey, s_name, s_acctbal FROM supplier""")
+def versioned_records(spark, d):
+    """A store after three writes: all customers, then a third changed and a seventh removed, then suppliers added."""
+    folder, k = _folder(spark, "store"), F.col("c_custkey")
+    first = table(spark, d, "customer").select(k.cast("string").alias("key"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), k)
+    second = first.where(k % 7 != 0).withColumn("balance", F.col("balance") + F.when(k % 3 == 0, 1).otherwise(0))
+    for rows in (first, second):
+        store.write(store.changed(rows.drop("c_custkey"), folder, "key", remove_missing=True), folder)
+    suppliers = table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("key"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
+    store.write(store.changed(suppliers, folder, "key"), folder)
+    return store.read(spark, folder).select(F.from_json("value", "key string, name string, balance double").alias("r")).select("r.*")
+
+
 @query("SELECT n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'train' ELSE 'test' END AS split, 'a, \"b\"' AS note FROM nation")
 def csv_splits(spark, d):
     """Local CSV files of two splits, with quotes and commas in them."""

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.sources import store
+
 RECORD_SCHEMA = """schema_version string, evaluation_id string, evaluation_timestamp string, retrieved_timestamp string,
 source_metadata struct<source_name string, source_type string, source_organization_name string, source_organization_url string, evaluator_relationship string>,
 model_info struct<name string, id string, additional_details struct<num_model_parameters string, max_sequence_length string, vocabulary_size string, merge string, generative string, generative_type string, commercially_licensed string, open string, trained_from_scratch string, model_url string>, inference_engine struct<name string, version string>>,
@@ -146,15 +148,13 @@ def board_csv(spark: SparkSession, path: str) -> DataFrame:
     return body.select(F.col("row"), F.explode(F.array(*out)).alias("c")).select("row", "c.*")
 
 
-def write_changed(df: DataFrame, path: str, key: str, stored: DataFrame | None) -> int:
-    """Writes rows whose content differs from what is stored under their key, as JSON by key; how many they were."""
-    rows = df.withColumn("_hash", F.sha2(F.to_json(F.struct(*df.columns)), 256))
-    if stored is not None:
-        old = stored.select(key, F.sha2(F.to_json(F.struct(*df.columns)), 256).alias("_hash"))
-        rows = rows.join(old, [key, "_hash"], "left_anti")
-    n = rows.count()
+def write_changed(df: DataFrame, path: str, key: str) -> int:
+    """Puts the rows that are new, or differ from what is stored under their key, into the store at ``path``, in place of the old
+    ones and in one transaction; how many they were.  Nothing is written where nothing has changed."""
+    log = store.changed(df, path, key)
+    n = log.count()
     if n:
-        rows.drop("_hash").write.mode("append").partitionBy(key).json(path)
+        store.write(log, path)
     return n
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import text as T
 from plumbline.operators import planning, records
 from plumbline.plans import leaderboard
-from plumbline.sources import files
+from plumbline.sources import files, store
 from plumbline.sources.config import config_from, inferred_task
 from plumbline.streaming import ingest
 
@@ -116,9 +116,9 @@ def test_sources_and_sinks(spark, tmp_path):
     assert got == {("", "model"): "a, b", ("Task A", "x"): "1", ("Task A", "y"): "2", ("Task B", "z"): "3"}
     df = spark.createDataFrame([("k1", 1), ("k2", 2)], "k string, v long")
     path = str(tmp_path / "out")
-    assert files.write_changed(df, path, "k", None) == 2
-    again = spark.read.schema("v long, k string").json(path)
-    assert files.write_changed(df.withColumn("v", F.when(F.col("k") == "k2", 5).otherwise(F.col("v")).cast("long")), path, "k", again.select("k", "v")) == 1
+    assert files.write_changed(df, path, "k") == 2 and files.write_changed(df, path, "k") == 0
+    assert files.write_changed(df.withColumn("v", F.when(F.col("k") == "k2", 5).otherwise(F.col("v")).cast("long")), path, "k") == 1
+    assert sorted(r.value for r in store.read(spark, path).collect()) == ['{"k":"k1","v":1}', '{"k":"k2","v":5}']
     assert files.content_hash(df) == files.content_hash(df.orderBy(F.desc("v")).repartition(2)) != files.content_hash(df.limit(1))
     snaps = spark.createDataFrame([("a", 1, 50), ("b", 2, 50), ("c", 3, 90)], "name string, time int, bytes long")
     assert sorted(r.name for r in files.to_prune(snaps, 100).collect()) == ["a", "b"]
