@@ -13,9 +13,10 @@ Two lines are the same if they are equal after white space at their ends is cut;
 without a word are neither counted nor removed.
 
 Edge cases: a null text has no lines and stays null; a null site adds nothing to a
-line's spread; a line repeated in a document counts once; documents of equal id are
-handled alike (what is flagged depends on the lines only), a null id counts as an id;
-an empty table gives an empty result; other columns pass through whatever their names
+line's spread; a line repeated in a document counts once, ties do not arise; repeated rows
+and rows of equal or null id are handled each by its own text (what is flagged depends on
+the lines only); a text of any length is handled whole, in work that follows its number of
+lines however many are flagged; an empty table gives an empty result; other columns pass through whatever their names
 (``without_boilerplate``) or are ignored (``line_report``).
 """
 
@@ -35,7 +36,8 @@ _ENDS = " \t\n\x0b\f\r"
 
 
 def _key(line: Column) -> Column:
-    return F.xxhash64(F.btrim(line, F.lit(_ENDS)))
+    # As text: arrays of binary values are made distinct without a hash table.
+    return F.md5(F.btrim(line, F.lit(_ENDS)).cast("binary"))
 
 
 def _lines(text: Column) -> Column:
@@ -43,13 +45,13 @@ def _lines(text: Column) -> Column:
 
 
 def line_sites(df: DataFrame, site_col: str, text_col: str = "text") -> DataFrame:
-    """``line`` (hash) and ``site``: a row for each distinct line of each document."""
+    """``line`` (128-bit hash) and ``site``: a row for each distinct line of each document."""
     keys = F.array_distinct(F.transform(F.filter(_lines(F.col(text_col)), lambda x: x.rlike(WORD)), _key))
     return df.select(F.col(site_col).alias("site"), F.explode(keys).alias("line"))
 
 
 def boilerplate_lines(df: DataFrame, site_col: str, text_col: str = "text", min_sites: int = MIN_SITES) -> DataFrame:
-    """``line`` (hash) of the lines that stand on ``min_sites`` sites or more."""
+    """``line`` (128-bit hash) of the lines that stand on ``min_sites`` sites or more."""
     spread = line_sites(df, site_col, text_col)
     near = max(1.0, BAND * min_sites)
     # A line in fewer documents than ``min_sites`` cannot reach it, whatever the sketch says.
@@ -72,23 +74,26 @@ def _cut(df: DataFrame, site_col: str, id_col: str, text_col: str, min_sites: in
     flagged = written(boilerplate_lines(df, site_col, text_col, min_sites), "boilerplate")
     if small_enough(flagged):
         flagged = F.broadcast(flagged)
-    own = df.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(F.transform(_lines(F.col(text_col)), _key))).alias("line"))
-    bad = own.join(flagged, "line").groupBy("id").agg(F.collect_set("line").alias("bad"))
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).alias("own_id"))
-    rows = rows.join(bad, F.col("own_id").eqNullSafe(F.col("id")), "left").select("row", "bad")
+    digest = F.md5(F.col(text_col).cast("binary"))
+    # Places of flagged lines, by id and text: rows that are equal in both are alike, null ids are no one group.
+    # The digest goes into the exploded array: beside it, it would be computed again for each line.
+    keys = F.transform(_lines(F.col(text_col)), lambda x: F.when(x.rlike(WORD), _key(x)))
+    placed = F.transform(F.array(digest), lambda d: F.transform(keys, lambda key, i: F.struct(d.alias("digest"), i.alias("place"), key.alias("line"))))[0]
+    own = df.select(F.col(id_col).alias("id"), F.explode(placed).alias("own")).select("id", "own.*").where("line IS NOT NULL")
+    bad = own.join(flagged, "line").groupBy("id", "digest").agg(F.collect_set("place").alias("bad"))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).alias("own_id"), digest.alias("own_digest"))
+    rows = rows.join(bad, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_digest") == F.col("digest")), "left").select("row", "bad")
     text = F.col("row").getField(text_col)
     lines = _lines(text)
-
-    def goes(x: Column) -> Column:
-        return F.array_contains("bad", _key(x)) & x.rlike(WORD)
-
-    removed = F.filter(lines, goes)
-    touched = F.size(removed) > 0
+    touched = F.size("bad") > 0
     if spare_copies:
-        touched = touched & F.exists(lines, lambda x: x.rlike(WORD) & ~goes(x))
+        touched = touched & (F.size(F.filter(lines, lambda x: x.rlike(WORD))) > F.size("bad"))
     touched = F.coalesce(F.col("bad").isNotNull() & touched, F.lit(False))
-    kept = F.when(touched, F.array_join(F.filter(lines, lambda x: ~goes(x)), "\n")).otherwise(text)
-    n_removed = F.when(touched, F.size(removed)).otherwise(0).cast("long")
+    # A hashed difference of places: the work follows the number of lines, however many are flagged.
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "bad")
+    remaining = F.transform(F.array(lines), lambda own: F.array_join(F.transform(stay, lambda i: F.get(own, i)), "\n"))[0]
+    kept = F.when(touched, remaining).otherwise(text)
+    n_removed = F.when(touched, F.size("bad")).otherwise(0).cast("long")
     return rows.select("row", F.struct(kept.alias("kept"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), n_removed.alias("n_removed")).alias("cut"))
 
 

@@ -65,3 +65,14 @@ def test_near_threshold_counts_are_exact(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, source string, text string")
     assert op.line_report(df, "source").count() == 0 and op.without_boilerplate(df, "source").count() == 0
+
+
+def test_a_text_of_many_flagged_lines_and_null_ids(spark):
+    lines = [f"line number {i}" for i in range(100_000)]
+    rows = [(i, f"s{i}", "\n".join(lines)) for i in range(10)] + [(None, "s1", f"own {i}\nline number {i}") for i in range(300)] + [(77, "x", None), (None, None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4)
+    got = op.line_report(df, "source").collect()
+    assert sorted(r.n_removed for r in got) == [0, 0] + [1] * 300 + [100_000] * 10
+    assert sorted(r.kept for r in got if r.n_removed == 1) == sorted(f"own {i}" for i in range(300))
+    spared = op.without_boilerplate(df, "source", spare_copies=True).collect()
+    assert sum((r.text or "").count("\n") == 99_999 for r in spared) == 10 and sum(r.text == f"own {i}" for i in range(300) for r in spared) == 300
