@@ -9,16 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.hashing import draw
-
-
-def weighted_distance(a: str, b: str, insert: int, delete: int, substitute: int) -> int:
-    """Least cost of turning ``a`` into ``b``."""
-    row = [j * insert for j in range(len(b) + 1)]
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i * delete
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + delete, row[j - 1] + insert, last + (0 if x == y else substitute))
-    return row[-1]
+from plumbline.functions.matching import weighted_distance
 
 
 def closest(text: str, options: list[str], insert: int = 1000, delete: int = 1, substitute: int = 1000) -> tuple[str, int]:

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.hashing import draw
+from plumbline.functions.matching import common_length, fewest_crossings
+from plumbline.functions.stems import porter
 
 REGISTRY: dict[str, Callable[..., DataFrame]] = {}
 
@@ -133,36 +135,26 @@ def question_answering(df: DataFrame, by: list[str], prediction: str = "predicti
     return best.groupBy(*by).agg(F.avg("_f1").alias("f1"), F.avg("_em").alias("em"))
 
 
-def _lcs(a: list[str], b: list[str]) -> int:
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
-
-
 def rouge_l_score(prediction: str, reference: str) -> float:
     """Over runs of the letters a-z and digits, letter case aside, as the usual scorer takes them."""
     a, b = (re.findall("[a-z0-9]+", x.lower()) for x in (prediction, reference))
-    n = _lcs(a, b)
+    n = common_length(a, b)
     return 2 * n / (len(a) + len(b)) if n else 0.0
 
 
 def meteor_score(prediction: str, reference: str, alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5) -> float:
     """Exact and stem matches, then recall-weighted precision less a penalty for broken order (Banerjee, Lavie, 2005).
 
-    The synonym stage needs a lexicon and is left out.  A word's stem is the word without its commonest endings.
+    Each stage aligns the words that the stage before left free: as many pairs as can be, with the fewest crossings.
+    Stems are Porter's.  The synonym stage needs a lexicon and is left out.
     """
     a, b = (re.findall(r"\w+|[^\w\s]", x.lower()) for x in (prediction, reference))
     pairs, free_a, free_b = [], list(range(len(a))), list(range(len(b)))
-    for of in (str, _stem):
-        for i in reversed(list(free_a)):
-            j = next((j for j in reversed(free_b) if of(a[i]) == of(b[j])), None)
-            if j is not None:
-                pairs.append((i, j))
-                free_a.remove(i)
-                free_b.remove(j)
+    for of in (str, porter):
+        new = [(free_a[i], free_b[j]) for i, j in fewest_crossings([of(a[i]) for i in free_a], [of(b[j]) for j in free_b])]
+        pairs += new
+        met_a, met_b = {i for i, _ in new}, {j for _, j in new}
+        free_a, free_b = [i for i in free_a if i not in met_a], [j for j in free_b if j not in met_b]
     if not pairs:
         return 0.0
     pairs.sort()
@@ -172,10 +164,6 @@ def meteor_score(prediction: str, reference: str, alpha: float = 0.9, beta: floa
     return mean * (1 - gamma * (chunks / len(pairs)) ** beta)
 
 
-def _stem(word: str) -> str:
-    return re.sub(r"(?<=[a-z]{3})(?:ations?|ings?|edly|ly|ed|es|s|e)$", "", word)
-
-
 def _grams(items, n: int) -> Counter:
     return Counter(tuple(items[i : i + n]) for i in range(len(items) - n + 1))
 
