@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.catalog import query, r6, table
 from plumbline.functions import labels as L
 from plumbline.functions.hashing import draw_sql
-from plumbline.operators import constraints, metrics, sentences
+from plumbline.operators import constraints, language, metrics, sentences
 
 _BAG = r"list_filter(string_split(regexp_replace(regexp_replace(lower({}), '[!-/:-@\[-`{{-~]', '', 'g'), '\s+', ' ', 'g'), ' '), lambda t: t NOT IN ('', 'a', 'an', 'the'))"
 
@@ -208,3 +208,17 @@ def sentence_counts(spark, d):
     learnt = sentences.learn(docs)
     name, arguments = constraints.by_id("length_constraints:number_sentences", {"relation": "at least", "num_sentences": 10}, learnt)
     return docs.select("doc_id", learnt.count(F.col("text")).alias("n_sentences"), constraints.met(F.coalesce("text", F.lit("")), name, **arguments).alias("at_least_10"))
+
+
+@query(r"""WITH codes AS (SELECT doc_id, lang, list_transform(string_split(' ' || trim(regexp_replace(lower(text), '[^\p{L}]+', ' ', 'g')) || ' ', ''), lambda c: unicode(c)::BIGINT) AS c FROM documents),
+    three AS (SELECT doc_id, lang, unnest(list_transform(range(1, len(c) - 1), lambda i: ((c[i] * 31 + c[i + 1]) * 31 + c[i + 2]) % 4096)) AS bucket FROM codes),
+    n AS (SELECT lang, bucket, count(*) AS n FROM three WHERE doc_id % 5 <> 0 AND lang IS NOT NULL GROUP BY ALL), t AS (SELECT lang, sum(n) AS t FROM n GROUP BY lang),
+    w AS (SELECT t.lang AS language, b.bucket, round(1000 * ln((coalesce(n, 0) + 1)::DOUBLE / (t + 4096)))::BIGINT AS w FROM t CROSS JOIN (SELECT unnest(range(4096)) AS bucket) b LEFT JOIN n ON n.lang = t.lang AND n.bucket = b.bucket),
+    bags AS (SELECT doc_id, bucket, count(*) AS k FROM three GROUP BY ALL), s AS (SELECT doc_id, language, sum(k * w) AS s FROM bags JOIN w USING (bucket) GROUP BY ALL),
+    best AS (SELECT doc_id, min_by(language, (-s, language)) AS language, max(s) AS top FROM s GROUP BY doc_id), c AS (SELECT doc_id, 1.0 / sum(exp((s - top)::DOUBLE / 1000)) AS c FROM s JOIN best USING (doc_id) GROUP BY doc_id)
+    SELECT d.doc_id, d.doc_id % 5 = 0 AS held_out, best.language, round(c, 6) AS confidence FROM documents d LEFT JOIN best USING (doc_id) LEFT JOIN c USING (doc_id)""")
+def detected_languages(spark, d):
+    """Every document's language by a model of four fifths of them; the rest are held out."""
+    docs = table(spark, d, "documents")
+    model = language.learn(docs.where("doc_id % 5 <> 0"), "text", "lang")
+    return model.scored(docs, ["doc_id"], "text").select("doc_id", (F.col("doc_id") % 5 == 0).alias("held_out"), "language", r6("confidence").alias("confidence"))
