@@ -11,8 +11,10 @@ comparisons they can lead to at most.  A pair must share the smaller l of the tw
 1. One pass names each set (128 bits) and counts tokens into a sketch of fixed size, merged
    by blocks of cells; it decides the order and each l, never a result.  Texts of equal sets
    are one class and are joined once, by their least id.
-2. A second pass writes prefixes, without tokens that a cell shows to be of one text only.
-   A text keeps those that other prefixes hold as well, in the order of how many do.  As every
+2. A second pass writes prefixes.  A text keeps those tokens that other prefixes hold as well,
+   in the order of how many do: prefixes meet by blocks of tokens, packed, so most of their
+   tokens, which no other text has, never become rows.  Tokens that the sketch shows to be
+   frequent are few and may be very frequent: they become rows, added up before any shuffle.  As every
    l is at least ``1 + n // LENGTHEN``, all partners of a text of m such tokens share at least
    some r of them: a text of fewer has no partner, and any other meets its partners in the
    posting lists of its first m - r + 1, its keys.
@@ -58,6 +60,10 @@ CELL_BITS, BLOCK_BITS = 25, 17
 LENGTHEN, EXTRA, VERIFY = 16, 6, 16
 #: Texts of a posting list whose pairs are joined, and of one block of a longer list; a task compares two blocks.
 SHORT, BLOCK = 128, 256
+#: A token is frequent if its cell's count is so many times the mean of all cells, and LEAST_HOT at least: what a packed block
+#: holds of any other token is bounded.  Blocks have some MEETING tokens of prefixes, MEETINGS blocks at least; one piece of a
+#: block comes from PIECE tokens of a task.
+HOT, LEAST_HOT, MEETING, MEETINGS, PIECE = 8, 1024, 1 << 22, 64, 1 << 21
 #: A code of the sketch is so many times the count's binary logarithm; 0 is a count of one.
 _STEPS = 8
 
@@ -112,7 +118,7 @@ def frequencies(first: DataFrame) -> np.ndarray:
         total = np.zeros(1 << BLOCK_BITS, np.int64)
         for n, gaps, counts in zip(*(rows.column(c).to_pylist() for c in ("n", "gaps", "counts")), strict=True):
             total[np.cumsum(_unpacked(gaps, n))] += _unpacked(counts, n)
-        codes = np.round(_STEPS * np.log2(np.maximum(total, 1))).astype(np.uint8)
+        codes = np.minimum(np.round(_STEPS * np.log2(np.maximum(total, 1))), 255).astype(np.uint8)
         return pa.table({"block": rows.column("block").slice(0, 1).cast(pa.int32()), "codes": pa.array([codes.tobytes()], pa.binary())})
 
     out = np.zeros(1 << CELL_BITS, np.uint8)
@@ -140,8 +146,9 @@ def prefix(codes: np.ndarray, percent: int) -> tuple[int, int]:
 
 
 def prefixes(df: DataFrame, width: int, percent: int, codes: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``n``, ``s1``, ``s2``, ``l`` (tokens to share) and ``tokens`` of the prefix that other texts may have."""
+    """``id``, ``n``, ``s1``, ``s2``, ``l`` (tokens to share), and the prefix: ``hot`` tokens, which are frequent, and other ``tokens``."""
     known = df.sparkSession.sparkContext.broadcast(codes)
+    frequent = hot_code(codes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,19 +157,85 @@ def prefixes(df: DataFrame, width: int, percent: int, codes: np.ndarray, id_col:
             code = known.value[_cell(hashes)]
             order = np.lexsort((hashes, code, np.repeat(np.arange(len(size)), size)))
             hashes, code = hashes[order], code[order]
-            matches, tokens = np.zeros(len(size), np.int32), []
+            matches, parts = np.zeros(len(size), np.int32), ([], [])
             for i in range(len(size)):
                 own = slice(bounds[i], bounds[i + 1])
                 if size[i]:
                     length, matches[i] = prefix(code[own], percent)
-                    tokens.append(hashes[own][:length][code[own][:length] > 0])
+                    most = length - np.count_nonzero(code[own][:length] >= frequent)
+                    parts[0].append(hashes[own][:most])
+                    parts[1].append(hashes[own][most:length])
                 else:
-                    tokens.append(hashes[:0])
-            ends = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*tokens, np.zeros(0, U64)]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), *[pa.array(x.view(np.int64)) for x in names], pa.array(matches), lists], names=["id", "n", "s1", "s2", "l", "tokens"])
+                    for part in parts:
+                        part.append(hashes[:0])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), *[pa.array(x.view(np.int64)) for x in names], pa.array(matches), *map(_lists, parts)], names=["id", "n", "s1", "s2", "l", "tokens", "hot"])
 
-    return map_arrow(df.select(F.col(id_col).cast("long"), F.col(text_col)), run, "id long, n long, s1 long, s2 long, l int, tokens array<long>")
+    return map_arrow(df.select(F.col(id_col).cast("long"), F.col(text_col)), run, "id long, n long, s1 long, s2 long, l int, tokens array<long>, hot array<long>")
+
+
+def _lists(tokens: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*tokens, np.zeros(0, U64)]).view(np.int64)))
+
+
+def hot_code(codes: np.ndarray) -> int:
+    """The least code of a frequent token."""
+    mean = np.exp2(np.arange(256) / _STEPS) @ np.bincount(codes, minlength=256) / len(codes)
+    return int(np.ceil(_STEPS * np.log2(max(LEAST_HOT, HOT * mean))))
+
+
+def held(heads: DataFrame, blocks: int) -> DataFrame:
+    """``id``, ``token`` and ``k`` (the prefixes that hold it) of tokens that several prefixes hold."""
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, tokens, size = [], [], 0
+        for batch in batches:
+            lists = batch.column(1)
+            ids.append(np.repeat(batch.column(0).to_numpy(), lists.value_lengths().to_numpy(zero_copy_only=False)))
+            tokens.append(lists.flatten().to_numpy())
+            size += len(tokens[-1])
+            if size >= PIECE:
+                yield _pieces(np.concatenate(ids), np.concatenate(tokens), blocks)
+                ids, tokens, size = [], [], 0
+        if size:
+            yield _pieces(np.concatenate(ids), np.concatenate(tokens), blocks)
+
+    def meet(group: pa.Table) -> pa.Table:
+        tokens = np.concatenate([np.frombuffer(x, np.int64) for x in group.column("tokens").to_pylist()])
+        order = np.argsort(tokens, kind="stable")
+        ordered = tokens[order]
+        starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        counts = np.diff(np.append(starts, len(ordered)))
+        k = np.repeat(counts, counts)
+        kept = k > 1
+        ids = np.concatenate([_ids(*x) for x in zip(*(group.column(c).to_pylist() for c in ("ids", "n", "owners")), strict=True)])
+        return pa.table({"id": ids[order[kept]], "token": ordered[kept], "k": k[kept]})
+
+    packed = map_arrow(heads.select("id", "tokens").where(F.size("tokens") > 0), pieces, "block int, tokens binary, owners binary, ids binary, n int")
+    rare = packed.groupBy("block").applyInArrow(meet, "id long, token long, k long").select("id", "token", "k")
+    postings = heads.select("id", F.explode("hot").alias("token"))
+    counts = written(postings.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "join-held")
+    return rare.unionByName(postings.join(counts, "token").select("id", "token", "k"))
+
+
+def _pieces(ids: np.ndarray, tokens: np.ndarray, blocks: int) -> pa.RecordBatch:
+    """Postings as a row for each block: tokens, and their texts as places in the row's list of ids."""
+    block = ((tokens.view(U64) >> U64(20)) % U64(blocks)).astype(np.int32)
+    order = np.lexsort((ids, block))
+    block, ids, tokens = block[order], ids[order], tokens[order]
+    starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+    rows = []
+    for a, b in zip(starts, np.append(starts[1:], len(block)), strict=True):
+        own, n = np.unique(ids[a:b], return_counts=True)
+        gaps = np.diff(own.astype(np.int64), prepend=np.int64(0)).tobytes()
+        rows.append((int(block[a]), tokens[a:b].tobytes(), _packed(n), pa.compress(gaps, codec="zstd", asbytes=True), len(own)))
+    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["block", "tokens", "owners", "ids", "n"])
+
+
+def _ids(gaps: bytes, n: int, owners: bytes) -> np.ndarray:
+    own = np.cumsum(np.frombuffer(pa.decompress(gaps, decompressed_size=8 * n, codec="zstd", asbytes=True), np.int64))
+    return np.repeat(own, _unpacked(owners, n))
 
 
 def contents(df: DataFrame, ids: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -257,9 +330,8 @@ def links(df: DataFrame, first: DataFrame, width: int, percent: int, id_col: str
 
     texts = written(prefixes(df, width, percent, frequencies(first), id_col, text_col).where("id IS NOT NULL AND n > 0"), "join-prefixes")
     heads = texts.join(repeated, name, "left").where("least IS NULL OR id = least")
-    postings = heads.select("id", F.explode("tokens").alias("token"))
-    held = written(postings.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "join-held")
-    ranked = postings.join(held, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("k", "token"))).alias("ranked"))
+    meeting = texts.agg(F.sum(F.size("tokens")).alias("n")).head()["n"] or 0
+    ranked = held(heads, max(MEETINGS, -(-meeting // MEETING))).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("k", "token"))).alias("ranked"))
     ranked = ranked.join(heads.groupBy("id").agg(F.min("n").alias("n"), F.min("l").alias("l")), "id")
     fewest = F.expr(f"1 + ({percent} * n + 99) div 100 div {LENGTHEN}").cast("int")
     # Rows of one id are one text here, with the tokens of all, the fewest to share and the least l.

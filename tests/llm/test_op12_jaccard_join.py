@@ -27,6 +27,10 @@ def collages(rng, n, passages, picks):
 def test_against_plain_python(spark, monkeypatch, block):
     monkeypatch.setattr(op, "BLOCK", block)
     monkeypatch.setattr(op, "SHORT", block)
+    if block == 6:  # tokens of four texts are frequent, and tokens meet in three blocks
+        monkeypatch.setattr(op, "LEAST_HOT", 4)
+        monkeypatch.setattr(op, "HOT", 0)
+        monkeypatch.setattr(op, "MEETINGS", 3)
     rng = random.Random(block)
     texts = [*family(rng, 60, 200, 8, "a"), *family(rng, 40, 40, 3, "b"), *family(rng, 30, 9, 2, "c"), *collages(rng, 60, 12, 9), "one", "ONE", "two words", "Two Words", "é É x y z", None, "", " \n", "y" * 60_000, "x " * 30_000, "X " * 20_000]
     texts += texts[:25]
@@ -84,3 +88,17 @@ def test_counts_are_exact_codes_where_cells_are_many(spark):
     df = spark.createDataFrame([(i, "a b c d" if i < 64 else f"a b c {i}") for i in range(100)], "doc_id long, text string").repartition(5)
     codes = op.frequencies(op.named(df, 4, "doc_id", "text"))
     assert sorted(codes[codes > 0]) == [48] and (codes == 0).sum() == len(codes) - 1
+
+
+def test_prefixes_meet_whole(spark, monkeypatch):
+    """Rows of (id, token, k) from packed blocks and from frequent tokens equal plain counts, ids of one text twice included."""
+    rng = random.Random(8)
+    rows = [(rng.choice([-5, i, i + 10**12]), [rng.randrange(-(2**62), 2**62) if rng.random() < 0.7 else k for k in range(rng.randrange(6))], [9, 8][: rng.randrange(3)]) for i in range(300)]
+    got = sorted(tuple(r) for r in op.held(spark.createDataFrame(rows, "id long, tokens array<long>, hot array<long>").repartition(3), 5).collect())
+    counts = {}
+    for i, tokens, hot in rows:
+        for t in [*tokens, *hot]:
+            counts.setdefault((t in (8, 9), t), []).append(i)
+    assert got == sorted((i, t, len(ids)) for (_, t), ids in counts.items() if len(ids) > 1 for i in ids)
+    codes = np.zeros(1 << op.CELL_BITS, np.uint8)
+    assert op.hot_code(codes) == 80 and op.hot_code(codes + np.uint8(80)) == 104
