@@ -447,7 +447,7 @@ def regrouped_choices(df: DataFrame, question: str, choice: str, order: str, lab
     return checked.select(question, F.when(F.size("options") == F.col("n"), F.col("options")).otherwise(F.raise_error(F.lit("questions differ in their number of choices"))).alias("options"))
 
 
-def windows(df: DataFrame, tokens: str, length: int, stride: int) -> DataFrame:
+def windows(df: DataFrame, tokens: str, length: int | Column, stride: int) -> DataFrame:
     """Overlapping windows of a token array: ``window``, ``start``; consecutive ones share ``stride`` tokens."""
     step = length - stride
     n = F.greatest(F.size(tokens) - length, F.lit(0))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.sources import store
+from plumbline.sources import store, treebank
 
 RECORD_SCHEMA = """schema_version string, evaluation_id string, evaluation_timestamp string, retrieved_timestamp string,
 source_metadata struct<source_name string, source_type string, source_organization_name string, source_organization_url string, evaluator_relationship string>,
@@ -63,13 +63,17 @@ def split_of_file(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(?:-\d+-of-\d+)?\.parquet$", 1)
 
 
-def conllu(spark: SparkSession, path: str) -> DataFrame:
+def conllu(spark: SparkSession, path: str, split_bytes: int | None = None) -> DataFrame:
     """Sentences of a treebank: ``doc``, ``source``, ``ids``, ``tokens``, ``tags``.
 
     Sentences end at lines that are empty or blank, whatever ends a line.  A token range (``3-4``) keeps its own form and
-    the tag of its first part.  Each file is read whole by one task: treebanks are many files of some megabytes.
+    the tag of its first part.  Each file is read whole by one task; with ``split_bytes``, by a task for each so many bytes.
     """
-    blocks = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"\r?\n(?:[ \t]*\r?\n)+")).alias("value")).where(F.trim("value") != "")
+    if split_bytes:
+        blocks = treebank.line_blocks(spark, path, split_bytes)
+    else:
+        blocks = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"\r?\n(?:[ \t]*\r?\n)+")).alias("value")).where(F.trim("value") != "")
+    blocks = blocks.select(F.regexp_replace("value", r"[\r\n]+\z", "").alias("value"))
     lines = F.split(F.trim("value"), "\r?\n")
     comment = lambda name: F.nullif(F.regexp_extract("value", rf"(?m)^# {name} = (.*?)\r?$", 1), F.lit(""))
     cells = F.transform(F.filter(lines, lambda x: ~x.startswith("#") & F.contains(x, F.lit("\t"))), lambda x: F.split(x, "\t"))
