@@ -180,7 +180,8 @@ def _lists(tokens: list[np.ndarray]) -> pa.ListArray:
 
 def hot_code(codes: np.ndarray) -> int:
     """The least code of a frequent token."""
-    mean = np.exp2(np.arange(256) / _STEPS) @ np.bincount(codes, minlength=256) / len(codes)
+    counts = sum(np.bincount(part, minlength=256) for part in np.array_split(codes, max(1, len(codes) >> 18)))
+    mean = np.exp2(np.arange(256) / _STEPS) @ counts / len(codes)
     return int(np.ceil(_STEPS * np.log2(max(LEAST_HOT, HOT * mean))))
 
 
@@ -329,7 +330,7 @@ def links(df: DataFrame, first: DataFrame, width: int, percent: int, id_col: str
     same = known.join(repeated, name).where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
 
     texts = written(prefixes(df, width, percent, frequencies(first), id_col, text_col).where("id IS NOT NULL AND n > 0"), "join-prefixes")
-    heads = texts.join(repeated, name, "left").where("least IS NULL OR id = least")
+    heads = texts.join(F.broadcast(repeated) if small_enough(repeated) else repeated, name, "left").where("least IS NULL OR id = least")
     meeting = texts.agg(F.sum(F.size("tokens")).alias("n")).head()["n"] or 0
     ranked = held(heads, max(MEETINGS, -(-meeting // MEETING))).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("k", "token"))).alias("ranked"))
     ranked = ranked.join(heads.groupBy("id").agg(F.min("n").alias("n"), F.min("l").alias("l")), "id")
