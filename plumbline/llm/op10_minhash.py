@@ -14,9 +14,10 @@ Links are confirmed on full sets, in two steps that never emit the pairs of a gr
 
 1. Texts of equal sets are one class, named by its least id.  In each bucket every class
    is compared with the least one.
-2. Where a bucket then still holds several components, classes of different components
-   are compared with each other, block by block; blocks have a fixed size, so a large
-   bucket is many tasks' work.  Only confirmed links are emitted.
+2. Where the others of a bucket, which that leaves uncompared with each other, then still
+   hang in several components, classes of different components are compared, block by
+   block; blocks have a fixed size, so a large bucket is many tasks' work.  A bucket of two
+   classes is done after the first step.  Only confirmed links are emitted.
 
 Classes of one bucket whose sketches agree in less than ``least_agreement`` of the places
 are not compared on full sets.  By the Chernoff bound a pair of likeness 0.8 falls under
@@ -198,7 +199,8 @@ def _compare(percent: int, least_agreement: float = LEAST_AGREEMENT):
 
 
 def _with_content(rows: DataFrame, content: DataFrame) -> DataFrame:
-    return rows.join(content, "id")
+    """The stored, narrow ``rows`` with their sets; these move once, to their group, unless the rows are too many to broadcast."""
+    return content.join(F.broadcast(rows) if small_enough(rows) else rows, "id")
 
 
 def links(df: DataFrame, sig: DataFrame, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text", least_agreement: float = LEAST_AGREEMENT) -> DataFrame:
@@ -211,7 +213,7 @@ def links(df: DataFrame, sig: DataFrame, width: int, percent: int, id_col: str =
     known = sig.where("id IS NOT NULL AND n_shingles > 0")
     name = ["s1", "s2", "n_shingles"]
     repeated = written(known.groupBy(*name).agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*name, "least"), "minhash-classes")
-    of_class = known.join(repeated, name, "left")
+    of_class = known.join(F.broadcast(repeated) if small_enough(repeated) else repeated, name, "left")
     same = of_class.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
     heads = of_class.where("least IS NULL OR id = least")
     rows = heads.select("id", F.posexplode("bands").alias("band", "key"))
@@ -228,11 +230,12 @@ def links(df: DataFrame, sig: DataFrame, width: int, percent: int, id_col: str =
     stars = stars.join(sizes, "centre").select("centre", "id", F.pmod("part", F.ceil(F.col("n") / BLOCK)).alias("part"))
     spokes = stars.select("centre", "part", "id", F.lit(False).alias("is_left"))
     hubs = stars.select("centre", "part").distinct().select("centre", "part", F.col("centre").alias("id"), F.lit(True).alias("is_left"))
-    first = _with_content(spokes.unionByName(hubs), content).select("centre", "part", "id", "is_left", F.lit(-1).alias("band"), F.xxhash64("id", "sketch", "n_shingles").alias("component"), "sketch", "shingles")
+    first = _with_content(written(spokes.unionByName(hubs), "minhash-dealt"), content).select("centre", "part", "id", "is_left", F.lit(-1).alias("band"), F.xxhash64("id", "sketch", "n_shingles").alias("component"), "sketch", "shingles")
     found = written(first.groupBy("centre", "part").applyInArrow(_compare(percent, least_agreement), "a long, b long"), "minhash-stars")
 
     labels = written(components(found), "minhash-labels").withColumnRenamed("node", "id")
-    open_ = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")).select("band", "key", "id", "component")
+    # The least class of a bucket has been compared with all others there.
+    open_ = members.where("id <> centre").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")).select("band", "key", "id", "component")
     parts = open_.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("n"))
     unsettled = parts.groupBy("band", "key").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n_all"), F.max(F.struct("n", "component")).alias("main")).where("parts > 1")
     unsettled = written(unsettled.select("band", "key", F.col("main.component").alias("main"), "n_all", (F.col("n_all") - F.col("main.n")).alias("n_others")), "minhash-open")
@@ -243,7 +246,7 @@ def links(df: DataFrame, sig: DataFrame, width: int, percent: int, id_col: str =
     lefts = rows.where("component <> main").withColumn("i", F.pmod(own, left_blocks).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), right_blocks - 1))).withColumn("is_left", F.lit(True))
     rights = rows.withColumn("j", F.pmod(own, right_blocks).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), left_blocks - 1))).withColumn("is_left", F.lit(False))
     columns = ["band", "key", "i", "j", "id", "component", "is_left"]
-    second = _with_content(lefts.select(columns).unionByName(rights.select(columns)), content).select(*columns, "sketch", "shingles", "keys")
+    second = _with_content(written(lefts.select(columns).unionByName(rights.select(columns)), "minhash-blocks"), content).select(*columns, "sketch", "shingles", "keys")
     more = written(second.groupBy("band", "key", "i", "j").applyInArrow(_compare(percent, least_agreement), "a long, b long"), "minhash-links")
     return same.unionByName(found).unionByName(more)
 

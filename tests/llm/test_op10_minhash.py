@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import op10_minhash as op
 from plumbline.llm.components import components
@@ -97,6 +98,22 @@ def test_exact_setting_gives_the_same(spark):
         assert {r.id: (r.n_shingles, r.component_id) for r in op.near_duplicates(df, 2, 80, least_agreement=least).collect()} == want
 
 
+def test_the_least_of_a_bucket_is_compared_once(spark, monkeypatch):
+    """Two buckets whose least class links with none.  The one of two classes is done with that; in the other, the rest still meet."""
+    rng = random.Random(12)
+    words = [[f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(3)]
+    texts = [(1, words[0]), (2, words[1]), (3, words[0]), (4, words[2]), (5, [*words[2][:-1], "end"])]
+    texts[2] = (3, [*words[0][:40], *words[1][:20]])
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts], "doc_id long, text string")
+    # One bucket holds 1 and 3, another one 2, 4 and 5, whatever the texts are.
+    sig = op.signatures(df, 2).withColumn("bands", F.array(F.when(F.col("id").isin(1, 3), 7).otherwise(8).cast("long")))
+    stored = {}
+    monkeypatch.setattr(op, "written", lambda rows, name, store=op.written: stored.setdefault(name, store(rows, name)))
+    assert [(r.a, r.b) for r in op.links(df, sig, 2, 80).collect()] == [(4, 5)]
+    assert {r.id for r in stored["minhash-buckets"].collect()} == {1, 2, 3, 4, 5}
+    assert sorted((r.key, r.id) for r in stored["minhash-unsettled"].collect()) == [(8, 4), (8, 5)]
+
+
 def test_ids_must_be_whole_numbers(spark):
     with pytest.raises(TypeError, match="whole number"):
         op.near_duplicates(spark.createDataFrame([("x", "a b")], "doc_id string, text string"))
