@@ -55,8 +55,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete every table that ``written`` made in this application; call it once the results are stored."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{spark.sparkContext.applicationId}")
+    _delete(spark, f"{shared_folder(spark)}/{spark.sparkContext.applicationId}")
+
+
+def drop(stored: DataFrame) -> None:
+    """Delete a table that ``written`` made; call it once all that is derived from it is stored."""
+    for file in stored.inputFiles()[:1]:
+        _delete(stored.sparkSession, file.rsplit("/", 1)[0])
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     with contextlib.suppress(Exception):
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -27,6 +27,8 @@ comparisons they can lead to at most.  A pair must share the smaller l of the tw
 In 3 and 4, two texts are compared on full sets only if they share as many tokens of their
 prefixes as the smaller l of the two.
 
+Tables of prefixes and of sets are deleted once what is derived from them is stored.
+
 Links are confirmed on full sets of hashes.  No group's pairs are written, and every pair of
 a sufficient likeness is in one component, whatever the estimates are.
 
@@ -47,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import map_arrow, small_enough, table, whole_numbers, written
+from plumbline.llm.common import BROADCAST_ROWS, drop, map_arrow, small_enough, table, whole_numbers, written
 from plumbline.llm.components import components
 from plumbline.llm.kernels import U64, mix
 from plumbline.llm.op10_minhash import named_sets, sets, similar
@@ -267,7 +269,11 @@ def confirmed(df: DataFrame, pairs: DataFrame, width: int, percent: int, id_col:
     dealt = written(pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part")), f"{name}-dealt")
     rows = dealt.select("a", "part", F.col("b").alias("id")).unionByName(dealt.select("a", "part").distinct().select("a", "part", F.col("a").alias("id")))
     content = written(contents(df, written(rows.select("id").distinct(), f"{name}-ids"), width, id_col, text_col), f"{name}-sets")
-    return written(rows.join(content, "id").groupBy("a", "part").applyInArrow(run, "a long, b long"), f"{name}-links")
+    # Sets move once, to their group, unless the rows are too many to broadcast.
+    rows = F.broadcast(rows) if small_enough(dealt, BROADCAST_ROWS // 2) else rows
+    found = written(content.join(rows, "id").groupBy("a", "part").applyInArrow(run, "a long, b long"), f"{name}-links")
+    drop(content)
+    return found
 
 
 def _incidence(lists: list[np.ndarray]) -> np.ndarray:
@@ -338,6 +344,7 @@ def links(df: DataFrame, first: DataFrame, width: int, percent: int, id_col: str
     # Rows of one id are one text here, with the tokens of all, the fewest to share and the least l.
     ranked = ranked.select("id", "l", F.array_distinct(F.transform("ranked", lambda x: x["token"])).alias("tokens"), fewest.alias("fewest"))
     shared = written(ranked.where(F.size("tokens") >= F.col("fewest")).select("id", "l", "tokens", F.slice("tokens", F.lit(1), F.size("tokens") - F.col("fewest") + 1).alias("keys")), "join-shared")
+    drop(texts)
 
     keys = shared.select("id", F.explode("keys").alias("token"))
     lists = written(keys.groupBy("token").agg(F.min("id").alias("head"), F.max("id").alias("most")).where("head <> most").select("token", "head"), "join-lists")

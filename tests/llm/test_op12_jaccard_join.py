@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -43,6 +44,29 @@ def test_against_plain_python(spark, monkeypatch, block):
     assert len({c for _, c in want.values()}) < len(want) - 60
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_prefixes_and_sets_are_deleted_once_links_are_stored(spark, monkeypatch, small):
+    """With rows broadcast and with none, and the result can still be read again and again."""
+    monkeypatch.setattr(op, "small_enough", lambda stored, rows=0: small)
+    folders = {}
+
+    def spy(rows, name, store=op.written):
+        out = store(rows, name)
+        folders[name] = Path(out.inputFiles()[0].removeprefix("file:").replace("///", "/")).parent
+        assert folders[name].is_dir()
+        return out
+
+    monkeypatch.setattr(op, "written", spy)
+    rng = random.Random(6)
+    texts = [*family(rng, 40, 60, 4, "a"), *collages(rng, 30, 10, 8), "one", "ONE", None]
+    data = list(enumerate(texts))
+    got = op.linked(spark.createDataFrame(data, "doc_id long, text string").repartition(3))
+    for _ in range(2):
+        assert {r.id: (r.n_shingles, r.component_id) for r in got.collect()} == brute.near(data, 4, 85)
+    gone = {name for name, folder in folders.items() if not folder.exists()}
+    assert gone == {"join-prefixes", "join-star-sets", "join-pair-sets"}
+
+
 def test_equal_and_null_ids_and_empty_table(spark):
     df = spark.createDataFrame([(7, "a b c d e f g"), (7, "h i j k l m n"), (3, "h i j k l m n"), (9, "a b c d e f g"), (None, "a b c d e f g"), (None, None)], "doc_id long, text string")
     got = sorted(((r.id, r.component_id) for r in op.linked(df).collect()), key=str)
