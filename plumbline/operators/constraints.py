@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.sentences import Boundaries
+from plumbline.operators.sentences import Boundaries, Counted
 
 CONSTRAINTS: dict[str, Callable[..., Column]] = {}
 
@@ -73,7 +73,7 @@ constraint("format:placeholders")(lambda x, n: F.regexp_count(x, F.lit(r"\[[^\n]
 constraint("format:title")(lambda x: F.exists(F.regexp_extract_all(x, F.lit(r"<<([^\n]+)>>"), F.lit(1)), lambda t: _strip(F.regexp_replace(t, "[<>]", "")) != ""))
 constraint("format:postscript")(lambda x, mark: F.lower(x).rlike(r"(?s)\s*" + {"P.P.S": r"p\.\s?p\.\s?s", "P.S.": r"p\.\s?s\."}.get(mark, r"\Q" + mark.lower() + r"\E") + ".*"))
 @constraint("length:sentences")
-def _sentences(x: Column, relation: str, n: int, boundaries: Boundaries | None = None) -> Column:
+def _sentences(x: Column, relation: str, n: int, boundaries: Boundaries | Counted | None = None) -> Column:
     """With learnt ``boundaries`` a stop after an abbreviation ends no sentence; without, a sentence ends at every mark before white space."""
     count = boundaries.count(x) if boundaries else F.size(F.filter(F.split(x, r"(?<=[.!?])\s+"), lambda s: _strip(s) != ""))
     return _compare(count, relation, n)
@@ -145,10 +145,10 @@ IDS: dict[str, tuple[str, dict[str, str]]] = {
 }
 
 
-def by_id(instruction: str, arguments: dict, boundaries: Boundaries | None = None) -> tuple[str, dict] | None:
+def by_id(instruction: str, arguments: dict, boundaries: Boundaries | Counted | None = None) -> tuple[str, dict] | None:
     """Name and arguments of the constraint that a public id stands for, with or without a language's prefix.
 
-    ``boundaries`` (``sentences.learn``) are used where sentences are counted.
+    ``boundaries`` (``sentences.learn``, or ``sentences.Counted``) are used where sentences are counted.
     """
     head, _, rest = instruction.partition(":")
     language, plain = (head, rest) if head in ("fr", "es", "ca") else ("en", instruction)

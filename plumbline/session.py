@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,3 +38,23 @@ def scratch_folder(spark: SparkSession) -> str:
     if _own_folder is None:
         _own_folder = "file://" + tempfile.mkdtemp(prefix="spark-")
     return _own_folder
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` computed once, as a table in the scratch folder whose size Spark knows when it plans a join; cached where there is no folder."""
+    spark = df.sparkSession
+    try:
+        path = f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    except ValueError:
+        return df.persist()
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``stored`` made; call it once all that is derived from it is stored."""
+    spark = table.sparkSession
+    for file in table.inputFiles()[:1] if not table.is_cached else ():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file.rsplit("/", 1)[0])
+        with contextlib.suppress(Exception):
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

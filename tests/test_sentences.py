@@ -6,9 +6,13 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from plumbline import queries_metrics
 from plumbline.operators import constraints, sentences
 
+DIR = "/root/testdata/sf0.001"
+
 CLOSE, OPEN = "\"'”’»)]}", "\"'“‘«([{¿¡"
 
 
@@ -145,3 +149,27 @@ def test_empty_corpus(spark):
     got = sentences.learn(spark.createDataFrame([], "text string"))
     df = spark.createDataFrame([("A bee. C d",)], "x string")
     assert df.select(got.count(df.x)).head()[0] == 2
+
+
+def test_counts_by_joins_where_lists_are_long(spark, learnt, monkeypatch):
+    texts, got = learnt
+    monkeypatch.setattr(sentences, "MOST_ENTRIES", 5)
+    fresh = [t for t, _ in texts[:100]] + [t for t, _ in corpus(random.Random(10), 100)] + ["", " \n", None, "one", "one", "No. (3. \"Tree\" 4. tree) J. Tree, J. The", "Wait... \"The\" ? (the) . Dr.", "j,. Smith. Smith", "Dr.  \n The \t tree", "Mr. Smith. " * 2000]
+    df = spark.createDataFrame(list(enumerate(fresh)), "i int, text string").repartition(3)
+    counts = sentences.Boundaries(got.firsts, got.pairs, got.heads).counted(df.select(F.lit(1).alias("same"), "i", "text"), ["same", "i"])
+    model = learn([t for t, _ in texts])
+    assert sorted((r.i, r.n_sentences) for r in counts.collect()) == [(i, count(t, model)) for i, t in enumerate(fresh)]
+    # Rows that are alike stay apart.
+    assert [r.n for r in sentences.Boundaries(got.firsts, got.pairs, got.heads).counted(spark.createDataFrame([("A bee. C",)] * 3, "text string"), [], n="n").collect()] == [2, 2, 2]
+    with pytest.raises(ValueError, match="more than 5"):
+        sentences.Boundaries(got.firsts, got.pairs, got.heads).count(df.text)
+
+
+def test_query_has_no_longest_list(spark, monkeypatch):
+    monkeypatch.setattr(sentences, "MOST_ENTRIES", 5)
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").collect()
+    model = learn([r.text for r in docs])
+    want = {(r.doc_id, count(r.text, model)) for r in docs}
+    rows = queries_metrics.sentence_counts(spark, DIR).collect()
+    assert {(r.doc_id, r.n_sentences) for r in rows} == want and len(rows) == len(docs)
+    assert all(r.at_least_10 is (r.n_sentences >= 10) for r in rows)
