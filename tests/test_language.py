@@ -51,3 +51,31 @@ def test_held_out_documents(spark):
 def test_no_language_is_an_error(spark):
     with pytest.raises(ValueError, match="no row"):
         language.learn(spark.createDataFrame([], "text string, lang string"), "text", "lang")
+
+
+def test_scores_shuffle_nothing_and_make_no_row_for_a_letter(spark):
+    df = spark.createDataFrame([(1, "en", "the dog"), (2, "de", "der Hund")], "id long, lang string, text string")
+    plan = language.learn(df, "text", "lang").scored(df, ["id"], "text")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+
+
+def test_more_languages_than_a_task_holds_and_texts_longer_than_a_part(spark, monkeypatch):
+    monkeypatch.setattr(language, "_LANGUAGES", 2)
+    names = [f"l{i}" for i in range(7)]
+    rows = [(i, names[i % 7], f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} 𝒜ñ {i} {'dog ' * (300_000 if i == 7 else i % 5)}") for i in range(90)] + [(90, None, "dog"), (91, "l0", None), (92, "l1", " 1 ")]
+    df = spark.createDataFrame(rows, "id long, lang string, text string").coalesce(1)
+    model = language.learn(df, "text", "lang")
+    counts = {x: Counter() for x in names}
+    for _, lang, text in rows:
+        if lang:
+            counts[lang].update(buckets(text))
+    weights = {r[0]: r[1] for r in model.weights.collect()}
+    assert model.languages == names and len(weights) == 4096
+    for i, x in enumerate(names):
+        assert all(weights[b][i] == round(1000 * math.log((counts[x][b] + 1) / (counts[x].total() + 4096))) for b in {*counts[x], 0, 4095})
+    found = {r.id: r.language for r in model.scored(df, ["id"], "text").collect()}
+    assert len(found) == len(rows) and found[91] is None and found[92] is None
+    for i, _, text in [*rows[:8], rows[90]]:
+        bag = Counter(buckets(text))
+        scores = {x: sum(n * weights[b][k] for b, n in bag.items()) for k, x in enumerate(names)}
+        assert found[i] == min(x for x in names if scores[x] == max(scores.values()))
